@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kavyamill.llm.common import Texts, checkpointed, labelled_sample, mix, record_batch, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, labelled_sample, mix, text_blocks
 
 BUCKETS = 1 << 15
 #: The mean log ratio counts for so many n-grams.
@@ -89,21 +90,25 @@ def counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log((target + SMOOTHING * BUCKETS * prior) / (target.sum() + SMOOTHING * BUCKETS)) - np.log(prior)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, labels: DataFrame) -> DataFrame:
-    """(doc_id, log_weight, gumbel, label): -infinity as null for a text without n-grams."""
-    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("label", pa.int32())])
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("doc_id", "text", "label")
+def with_log_weight(rows: DataFrame, ratio: np.ndarray, name: str = "log_weight") -> DataFrame:
+    """rows with the log-weight of their text in one more column; null for a text without n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, t in text_blocks(batch):
                 text, bucket = ngrams(t)
                 n = np.bincount(text, minlength=t.n)
-                mean = np.bincount(text, ratio[bucket], t.n) / np.maximum(n, 1)
-                yield record_batch(schema, batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(NGRAMS * mean, mask=n == 0), batch.column(2).slice(at, to - at).cast(pa.int32()))
+                weight = NGRAMS * np.bincount(text, ratio[bucket], t.n) / np.maximum(n, 1)
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight, mask=n == 0)], names=[*part.schema.names, name])
 
-    uniform = (F.abs(F.xxhash64(F.lit("gumbel"), "doc_id") % (1 << 52)) + 0.5) / float(1 << 52)
-    return rows.mapInArrow(run, "doc_id long, log_weight double, label int").withColumn("gumbel", -F.log(-F.log(uniform)))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
+
+def key_of(log_weight: str) -> Column:
+    """The log-weight plus Gumbel noise that the doc_id draws."""
+    uniform = (F.abs(F.xxhash64(F.lit("gumbel"), F.col("doc_id").cast("long")) % (1 << 52)) + 0.5) / float(1 << 52)
+    return F.col(log_weight) - F.log(-F.log(uniform))
 
 
 def cutoff_of(weight: np.ndarray, good: np.ndarray, kept_share: float) -> float:
@@ -133,21 +138,36 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return high if low == high else df.where(F.col(key).between(low, high)).select(key).orderBy(F.desc(key)).limit(max(1, k - above)).agg(F.min(key)).first()[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_share: float = 0.995) -> DataFrame:
-    """doc_id, log_weight, key (log_weight plus Gumbel noise) and kept of every row of docs.
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_share: float = 0.995) -> tuple[np.ndarray, DataFrame, float]:
+    """The buckets' log ratios, (doc_id, log_weight, key) of every row of docs, and the k-th largest key.
 
-    The models' target and the cutoff come from at most `most_labelled` labelled rows; raw counts from all
-    documents. Without a good label all texts with an n-gram are kept. Null, empty and blank texts, which have no
-    n-gram, are not kept. Equal keys at the border are all kept, so repeated rows share one fate. Other columns of
-    docs are ignored.
+    The target model and the cutoff come from at most `most_labelled` labelled rows; raw counts, k and the k-th key
+    from all documents. Without a good label every key is large enough.
     """
     sample = labelled_sample(labels, "quality", most_labelled)
-    scored = checkpointed(log_weights(docs, counts(docs, sample), sample))
-    # Noise drawn from the text's own row id; the temperature keeps it small beside the distance of the classes.
-    scored = scored.withColumn("key", F.col("log_weight") + F.col("gumbel"))
+    ratio = counts(docs, sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "label")
+    scored = checkpointed(with_log_weight(rows, ratio).select("doc_id", "log_weight", key_of("log_weight").alias("key"), "label"))
     judged = scored.where("label is not null and log_weight is not null").select("log_weight", "label").limit(2 * most_labelled).toArrow()
     weight, good = judged["log_weight"].to_numpy(), judged["label"].to_numpy() == 1
-    cutoff = cutoff_of(weight, good, kept_share) if good.any() else -np.inf
-    k = scored.where(F.col("log_weight") >= F.lit(float(cutoff))).count()
-    least = kth_largest(scored.where("key is not null"), "key", k) if k else np.inf
+    if not good.any():
+        return ratio, scored, -np.inf
+    k = scored.where(F.col("log_weight") >= F.lit(cutoff_of(weight, good, kept_share))).count()
+    return ratio, scored, kth_largest(scored.where("key is not null"), "key", k) if k else np.inf
+
+
+def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_share: float = 0.995) -> DataFrame:
+    """doc_id, log_weight, key (log_weight plus Gumbel noise) and kept of every row of docs.
+
+    The k rows of the largest keys are kept (see fit()). Without a good label all texts with an n-gram are kept. Null,
+    empty and blank texts, which have no n-gram, are not kept. Equal keys at the border are all kept, so repeated rows
+    share one fate. Other columns of docs are ignored.
+    """
+    _, scored, least = fit(docs, labels, most_labelled, kept_share)
     return scored.select("doc_id", "log_weight", "key", F.coalesce(F.col("key") >= F.lit(float(least)), F.lit(False)).alias("kept"))
+
+
+def select_good(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_share: float = 0.995) -> DataFrame:
+    """The rows of docs, with all their columns, that classify() keeps; weighed anew rather than joined."""
+    ratio, _, least = fit(docs, labels, most_labelled, kept_share)
+    return with_log_weight(docs, ratio, "_log_weight").where(key_of("_log_weight") >= F.lit(float(least))).drop("_log_weight")
