@@ -19,14 +19,15 @@ MAX_LOOKUP = 50_000
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "mi", "ft", "in", "l", "ml", "s", "sec", "min", "h", "hr", "hours", "days", "years", "%", "°c", "°f", "kw", "kwh", "w", "v", "hz", "mph", "dollars", "euros", "cents")
 NAME, UNIT, NUMBER = "\ue000", "\ue002", "\ue001"
 
-_NAMES = r"(?<=[\p{Ll}\p{N},;:]\s)(\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)*)(?!\p{L})"
-_UNITS = rf"(?i)(?<=\d)\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
+# The patterns begin with a plain character, which is what most places fail at.
+_NAMES = r"(\s)(?<=[\p{Ll}\p{N},;:]\s)(\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)*)(?!\p{L})"
+_UNITS = rf"(?i)(\d)\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
 _TOKEN = rf"{NAME}\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)*|{UNIT}[\p{{L}}%°]+|\d+(?:[.,:/]\d+)*|\p{{L}}+"
 
 
 def tokens(text: Column) -> Column:
     """Words, numbers, names and units in their order, names and units marked."""
-    marked = F.regexp_replace(F.regexp_replace(F.translate(text, NAME + UNIT, ""), _NAMES, f"{NAME}$1"), _UNITS, f" {UNIT}$1")
+    marked = F.regexp_replace(F.regexp_replace(F.translate(text, NAME + UNIT, ""), _NAMES, f"$1{NAME}$2"), _UNITS, f"$1 {UNIT}$2")
     return F.regexp_extract_all(F.coalesce(marked, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
