@@ -2,5 +2,45 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as a query under its name, with its SQL where there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A VALUES list for an oracle, from the rows that the query uses."""
+
+    def one(x: object) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        if isinstance(x, list | tuple):
+            return "[" + ", ".join(map(one, x)) + "]"
+        return str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+from kavyamill.plans import corpus, meter, prosody, text, timeline  # noqa: E402, F401  each registers its queries
