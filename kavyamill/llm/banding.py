@@ -3,13 +3,15 @@
 Bucket entries travel as packed arrays, one row for each block and slot of the key space. A block that holds several
 entries of a bucket links them to the least of them right there and sends only that one on; the reader of a slot
 does the same with what the blocks have sent. So a bucket with very many members adds one entry a block to one task,
-and its pairs are as many as its members, not their square. What such stars miss is made up for by second_pairs():
-members of one bucket whose classes are still apart are compared too.
+and its first pairs are as many as its members, not their square. Such stars miss links, as similarity is not
+transitive: second_links() then compares the members of a bucket whose classes are still apart, in pieces of a bounded
+size, the likeliest first, and leaves out what has meanwhile become one class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,20 @@ from pyspark.sql import functions as F
 from kavyamill.llm.graph import connected_components
 
 SLOTS = 1 << 12
+#: Members of a bucket that meet in one task, and pairs that are verified between two looks at their classes.
+PIECE, CHUNK = 512, 128
+
+
+class Kernel(Protocol):
+    """What second_links() needs of an operator: signatures with their band hashes, and exact similarities."""
+
+    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]: ...
+
+    def similarities(self, left: list[str], right: list[str]) -> np.ndarray: ...
+
 PACKED = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 PACKED_DDL = "slot int, keys binary, ids binary"
+_ROWS = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -33,66 +47,141 @@ def star(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def pack(ids: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: ids[i] is in each bucket of buckets[i]. Slot -1: pairs found here, centre as key."""
+    """Rows of a block: ids[i] is in each bucket of buckets[i]. A slot below 0 has (bucket, least id, id) found here."""
     if not len(ids):
         return
     key, who = buckets.ravel(), np.repeat(ids.astype(np.int64), buckets.shape[1])
+    key = (key >> np.uint64(32)) * np.uint64(SLOTS) + key % np.uint64(SLOTS)
     order, first, lead = star(key, who)
     key, who = key[order], who[order]
     tail = who != who[lead]
-    pairs = np.unique(np.stack([who[lead][tail], who[tail]], 1), axis=0) if tail.any() else np.zeros((0, 2), np.int64)
+    found = np.stack([key[tail].view(np.int64), who[lead][tail], who[tail]], 1)
     key, who = key[first], who[first]
     slot = (key % np.uint64(SLOTS)).astype(np.int32)
     order = np.argsort(slot, kind="stable")
-    slot, key, who = slot[order], (key[order] >> np.uint64(32)).astype("<u4"), who[order]
+    slot, key, who = slot[order], (key[order] // np.uint64(SLOTS)).astype("<u4"), who[order]
     cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
     slots = slot[cuts[:-1]].tolist()
     keys, whos = [key[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [who[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    for at in range(0, len(pairs), 4096):
-        part = pairs[at : at + 4096]
+    for at in range(0, len(found), 4096):
+        part = found[at : at + 4096]
         slots.append(-1 - (at // 4096 + int(ids[0])) % SLOTS)
         keys.append(part[:, 0].tobytes())
-        whos.append(part[:, 1].tobytes())
+        whos.append(part[:, 1:].tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(keys, pa.binary()), pa.array(whos, pa.binary())], schema=PACKED)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key and id of the bucket entries, then of the pairs, in a batch of packed rows."""
-    keys, ids, a, b = [], [], [], []
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key and id of the bucket entries, then (bucket, least id, id) of what blocks have found, in packed rows."""
+    keys, ids, found = [], [], []
     for slot, k, i in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
         if slot < 0:
-            a.append(np.frombuffer(k.as_buffer(), np.int64))
-            b.append(np.frombuffer(i.as_buffer(), np.int64))
+            found.append(np.concatenate([np.frombuffer(k.as_buffer(), np.int64)[:, None], np.frombuffer(i.as_buffer(), np.int64).reshape(-1, 2)], 1))
         else:
             keys.append(np.frombuffer(k.as_buffer(), "<u4").astype(np.uint64) * np.uint64(SLOTS) + np.uint64(slot))
             ids.append(np.frombuffer(i.as_buffer(), np.int64))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(keys, np.uint64), join(ids, np.int64), join(a, np.int64), join(b, np.int64)
-
-
-def _pair_rows(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    found = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    for at in range(0, len(found), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 65536, i])) for i in (0, 1)], schema=_PAIRS)
+    join = lambda x, empty: np.concatenate(x) if x else empty
+    return join(keys, np.zeros(0, np.uint64)), join(ids, np.zeros(0, np.int64)), join(found, np.zeros((0, 3), np.int64))
 
 
-def candidate_pairs(packed: DataFrame) -> DataFrame:
-    """Distinct (a, b): each member of a bucket with the bucket's least, or with the least of its block."""
+def shared_buckets(packed: DataFrame) -> DataFrame:
+    """(bucket, a, b) for each member b of a bucket but its least, a being the least of the bucket, or of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_read(x) for x in batches]
         if not parts:
             return
-        key, ids, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, ids, found = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, _, lead = star(key, ids)
-        ids = ids[order]
+        key, ids = key[order], ids[order]
         tail = ids != ids[lead]
-        yield from _pair_rows(np.concatenate([a, ids[lead][tail]]), np.concatenate([b, ids[tail]]))
+        rows = np.concatenate([found, np.stack([key[tail].view(np.int64), ids[lead][tail], ids[tail]], 1)])
+        for at in range(0, len(rows), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at : at + 65536, i])) for i in range(3)], schema=_ROWS)
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "slot").mapInArrow(run, "a long, b long").distinct()
+    return packed.repartition(n, "slot").mapInArrow(run, "bucket long, a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
     """(id, component) of the verified links' ends."""
     return connected_components(links, "a", "b")
+
+
+def second_links(shared: DataFrame, found: DataFrame, texts: DataFrame, kernel: Kernel, least: float) -> DataFrame:
+    """Verified (a, b) between members of a bucket of three or more whose classes (found: id, component) are apart.
+
+    A bucket of more than PIECE members is cut into groups, and each two groups meet in a task of their own, so that
+    a task holds two pieces at most. A pair that shares several buckets is looked at in the first of its bands only.
+    Pairs whose signatures agree too little for `least` (by 3.3 standard errors) are left out; the others are verified
+    exactly, the likeliest first, unless links found meanwhile have joined them.
+    """
+    members = shared.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
+    rows = members.join(mixed.select("bucket", "n"), "bucket")
+    groups = F.ceil(F.col("n") / PIECE).cast("int")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id"), groups).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+    rows = rows.select("bucket", F.least("group", "other").alias("g1"), F.greatest("group", "other").alias("g2"), "id", "component", "group")
+    rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "component", "group", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            at = 0
+            for i, key in enumerate(keys):
+                if last is not None and key != last:
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    yield from compare(held)
+                    held, at = [], i
+                last = key
+            held.append(batch.slice(at))
+        yield from compare(held)
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        ids, label, group = t["id"].to_numpy(), t["component"].to_numpy(), t["group"].to_numpy()
+        words, bucket, cross = t["text"].to_pylist(), t["bucket"][0].as_py(), t["g1"][0].as_py() != t["g2"][0].as_py()
+        signature, band_keys = kernel.sign(words)
+        band_keys = ((band_keys >> np.uint64(32)) * np.uint64(SLOTS) + band_keys % np.uint64(SLOTS)).view(np.int64)
+        floor = least - 3.3 * float(np.sqrt(least * (1 - least) / signature.shape[1]))
+        lefts, rights, scores = [], [], []
+        for i in range(len(ids) - 1):
+            rest = np.arange(i + 1, len(ids))
+            rest = rest[(label[rest] != label[i]) & ((group[rest] != group[i]) if cross else True)]
+            if not len(rest):
+                continue
+            score = (signature[rest] == signature[i]).mean(1)
+            rest, score = rest[score >= floor], score[score >= floor]
+            same = band_keys[rest] == band_keys[i]
+            own = band_keys[i][same.argmax(1)] == bucket
+            lefts.append(np.full(int(own.sum()), i))
+            rights.append(rest[own])
+            scores.append(score[own])
+        if not lefts:
+            return
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        order = np.argsort(-np.concatenate(scores), kind="stable")
+        left, right = left[order], right[order]
+        _, now = np.unique(label, return_inverse=True)
+        links = []
+        while len(left):
+            a, b = left[:CHUNK], right[:CHUNK]
+            good = kernel.similarities([words[i] for i in a], [words[i] for i in b]) >= least
+            for i, j in zip(a[good], b[good], strict=True):
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                now[now == now[j]] = now[i]
+            left, right = left[CHUNK:], right[CHUNK:]
+            apart = now[left] != now[right]
+            left, right = left[apart], right[apart]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_PAIRS)
+
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()

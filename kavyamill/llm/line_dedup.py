@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.banding import PACKED_DDL, candidate_pairs, classes, pack
+from kavyamill.llm.banding import PACKED_DDL, classes, pack, second_links, shared_buckets
 from kavyamill.llm.common import checkpointed, mix
 
 #: Characters of a shingle, least Jaccard similarity, and least characters of a line that is compared at all.
@@ -87,6 +87,17 @@ def similarities(left: list[str], right: list[str]) -> np.ndarray:
     return np.bincount(pair[begins], both, len(left)) / np.maximum(either, 1)
 
 
+class Kernel:
+    """Signatures and similarities of lines, for the second comparison."""
+
+    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        signature = np.concatenate([signatures(texts[at : at + 512]) for at in range(0, len(texts), 512)])
+        return signature, buckets(signature)
+
+    def similarities(self, left: list[str], right: list[str]) -> np.ndarray:
+        return similarities(left, right)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of each line that is compared, line being its id."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64())])
@@ -150,10 +161,13 @@ def removed_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, class_line) of each line that goes: all of a component but its first, by doc_id and line_no."""
     rows = checkpointed(occurrences(docs))
     lines = rows.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    pairs = checkpointed(candidate_pairs(line_buckets(docs)))
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    shared = checkpointed(shared_buckets(line_buckets(docs)))
+    pairs = shared.select("a", "b").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     texts = checkpointed(line_texts(docs, lines.join(ends, "line").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]))
-    found = classes(verified(pairs, texts, least))
+    links = checkpointed(verified(pairs, texts, least))
+    more = second_links(shared, classes(links), texts.withColumnRenamed("line", "id"), Kernel(), least)
+    found = classes(links.unionByName(more))
     named = lines.join(found.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
     named = named.withColumn("class_line", F.coalesce("component", "line"))
     heads = named.groupBy("class_line").agg(F.min("first").alias("head"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.banding import PACKED_DDL, candidate_pairs, classes, pack
+from kavyamill.llm.banding import PACKED_DDL, classes, pack, second_links, shared_buckets
 from kavyamill.llm.common import Texts, checkpointed, mix, shingle_hashes, text_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -104,6 +104,22 @@ def similarities(t: Texts) -> np.ndarray:
     return shared / np.maximum(whole, 1)
 
 
+class Kernel:
+    """Signatures and similarities of texts, for the second comparison."""
+
+    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for at in range(0, len(texts), 256):
+            t = Texts.of(texts[at : at + 256])
+            shingle, text = elements(t)
+            parts.append(dart_minhash(regions(shingle, text), text, t.n))
+        signature = np.concatenate(parts)
+        return signature, buckets(signature)
+
+    def similarities(self, left: list[str], right: list[str]) -> np.ndarray:
+        return similarities(Texts.of([x for pair in zip(left, right, strict=True) for x in pair]))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Packed bucket entries of (id, text)."""
 
@@ -156,11 +172,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     keys = checkpointed(rows.mapInArrow(text_key, "doc_id long, key binary").groupBy("doc_id").agg(F.min("key").alias("key")))
     copies = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
     texts = rows.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
-    pairs = candidate_pairs(signatures(texts))
     first = keys.join(copies, "key").select("doc_id", "id")  # copies meet the same partners: only the first is compared
-    pairs = pairs.join(first.select(F.col("doc_id").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("doc_id").alias("b"), F.col("id").alias("y")), "b")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    links = checkpointed(verified(pairs, texts, least))
+    shared = shared_buckets(signatures(texts))
+    shared = shared.join(first.select(F.col("doc_id").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("doc_id").alias("b"), F.col("id").alias("y")), "b")
+    shared = checkpointed(shared.select("bucket", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+    links = checkpointed(verified(shared.select("a", "b").distinct(), texts, least))
+    links = links.unionByName(checkpointed(second_links(shared, classes(links), texts, Kernel(), least)))
     copied = keys.join(copies, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     found = classes(links.unionByName(copied))
     joined = keys.select("doc_id").join(found, keys.doc_id == found.id, "left")
