@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from kavyamill.llm.graph import connected_components
 
-SLOTS = 1 << 12
+#: Entries that are packed at once.
+ENTRIES = 1 << 19
 #: Members of a bucket that meet in one task, and pairs that are verified between two looks at their classes.
 PIECE, CHUNK = 512, 128
 
@@ -46,39 +47,61 @@ def star(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order, first, np.repeat(first, np.diff(np.append(first, len(order))))
 
 
-def pack(ids: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+def slots_for(df: DataFrame) -> int:
+    """Several slots for each partition that reads them."""
+    return max(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_of(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key >> np.uint64(32)) * np.uint64(slots) + key % np.uint64(slots)
+
+
+def packed(blocks: Iterator[tuple[np.ndarray, np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of (ids, buckets) of many blocks, some of them taken together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for ids, buckets in blocks:
+        held.append((ids, buckets))
+        size += buckets.size
+        if size >= ENTRIES:
+            yield from pack(*(np.concatenate(x) for x in zip(*held, strict=True)), slots)
+            held, size = [], 0
+    if held:
+        yield from pack(*(np.concatenate(x) for x in zip(*held, strict=True)), slots)
+
+
+def pack(ids: np.ndarray, buckets: np.ndarray, slots: int) -> Iterator[pa.RecordBatch]:
     """Rows of a block: ids[i] is in each bucket of buckets[i]. A slot below 0 has (bucket, least id, id) found here."""
     if not len(ids):
         return
-    key, who = buckets.ravel(), np.repeat(ids.astype(np.int64), buckets.shape[1])
-    key = (key >> np.uint64(32)) * np.uint64(SLOTS) + key % np.uint64(SLOTS)
+    key, who = bucket_of(buckets.ravel(), slots), np.repeat(ids.astype(np.int64), buckets.shape[1])
     order, first, lead = star(key, who)
     key, who = key[order], who[order]
     tail = who != who[lead]
     found = np.stack([key[tail].view(np.int64), who[lead][tail], who[tail]], 1)
     key, who = key[first], who[first]
-    slot = (key % np.uint64(SLOTS)).astype(np.int32)
+    slot = (key % np.uint64(slots)).astype(np.int32)
     order = np.argsort(slot, kind="stable")
-    slot, key, who = slot[order], (key[order] // np.uint64(SLOTS)).astype("<u4"), who[order]
+    slot, key, who = slot[order], (key[order] // np.uint64(slots)).astype("<u4"), who[order]
     cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
-    slots = slot[cuts[:-1]].tolist()
+    names = slot[cuts[:-1]].tolist()
     keys, whos = [key[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [who[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
-        slots.append(-1 - (at // 4096 + int(ids[0])) % SLOTS)
+        names.append(-1 - (at // 4096 + int(ids[0])) % slots)
         keys.append(part[:, 0].tobytes())
         whos.append(part[:, 1:].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(keys, pa.binary()), pa.array(whos, pa.binary())], schema=PACKED)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(keys, pa.binary()), pa.array(whos, pa.binary())], schema=PACKED)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key and id of the bucket entries, then (bucket, least id, id) of what blocks have found, in packed rows."""
     keys, ids, found = [], [], []
     for slot, k, i in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
         if slot < 0:
             found.append(np.concatenate([np.frombuffer(k.as_buffer(), np.int64)[:, None], np.frombuffer(i.as_buffer(), np.int64).reshape(-1, 2)], 1))
         else:
-            keys.append(np.frombuffer(k.as_buffer(), "<u4").astype(np.uint64) * np.uint64(SLOTS) + np.uint64(slot))
+            keys.append(np.frombuffer(k.as_buffer(), "<u4").astype(np.uint64) * np.uint64(slots) + np.uint64(slot))
             ids.append(np.frombuffer(i.as_buffer(), np.int64))
     join = lambda x, empty: np.concatenate(x) if x else empty
     return join(keys, np.zeros(0, np.uint64)), join(ids, np.zeros(0, np.int64)), join(found, np.zeros((0, 3), np.int64))
@@ -88,7 +111,7 @@ def shared_buckets(packed: DataFrame) -> DataFrame:
     """(bucket, a, b) for each member b of a bucket but its least, a being the least of the bucket, or of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_read(x) for x in batches]
+        parts = [_read(x, slots) for x in batches]
         if not parts:
             return
         key, ids, found = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -99,7 +122,7 @@ def shared_buckets(packed: DataFrame) -> DataFrame:
         for at in range(0, len(rows), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at : at + 65536, i])) for i in range(3)], schema=_ROWS)
 
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots, n = slots_for(packed), int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packed.repartition(n, "slot").mapInArrow(run, "bucket long, a long, b long")
 
 
@@ -148,7 +171,7 @@ def second_links(shared: DataFrame, found: DataFrame, texts: DataFrame, kernel:
         ids, label, group = t["id"].to_numpy(), t["component"].to_numpy(), t["group"].to_numpy()
         words, bucket, cross = t["text"].to_pylist(), t["bucket"][0].as_py(), t["g1"][0].as_py() != t["g2"][0].as_py()
         signature, band_keys = kernel.sign(words)
-        band_keys = ((band_keys >> np.uint64(32)) * np.uint64(SLOTS) + band_keys % np.uint64(SLOTS)).view(np.int64)
+        band_keys = bucket_of(band_keys, slots).view(np.int64)
         floor = least - 3.3 * float(np.sqrt(least * (1 - least) / signature.shape[1]))
         lefts, rights, scores = [], [], []
         for i in range(len(ids) - 1):
@@ -182,6 +205,6 @@ def second_links(shared: DataFrame, found: DataFrame, texts: DataFrame, kernel:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_PAIRS)
 
-    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots, n = slots_for(shared), int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()

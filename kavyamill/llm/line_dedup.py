@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.banding import PACKED_DDL, classes, pack, second_links, shared_buckets
+from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
 from kavyamill.llm.common import checkpointed, mix
 
 #: Characters of a shingle, least Jaccard similarity, and least characters of a line that is compared at all.
@@ -115,26 +115,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def line_buckets(docs: DataFrame) -> DataFrame:
     """Packed bucket entries of the distinct lines of each block."""
+    slots = slots_for(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lines: dict[str, None] = {}
+        size = 0
         for batch in batches:
-            lines: dict[str, None] = {}
-            size = 0
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if compared(line) and line not in lines:
-                        lines[line] = None
-                        size += len(line)
-                        if size >= BLOCK:
-                            yield from entries(list(lines))
-                            lines, size = {}, 0
-            yield from entries(list(lines))
-
-    def entries(lines: list[str]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    for line in (text or "").split("\n"):
+                        if compared(line) and line not in lines:
+                            lines[line] = None
+                            size += len(line)
+                            if size >= BLOCK:
+                                yield entries(list(lines))
+                                lines, size = {}, 0
         if lines:
-            yield from pack(np.array([line_id(x) for x in lines]), buckets(signatures(lines)))
+            yield entries(list(lines))
+
+    def entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([line_id(x) for x in lines]), buckets(signatures(lines))
 
-    return docs.select("text").mapInArrow(run, PACKED_DDL)
+    return docs.select("text").mapInArrow(lambda batches: packed(blocks(batches), slots), PACKED_DDL)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

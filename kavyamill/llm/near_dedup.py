@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.banding import PACKED_DDL, classes, pack, second_links, shared_buckets
+from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
 from kavyamill.llm.common import Texts, checkpointed, mix, shingle_hashes, text_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -123,15 +123,17 @@ class Kernel:
 def signatures(docs: DataFrame) -> DataFrame:
     """Packed bucket entries of (id, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    slots = slots_for(docs)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, to, t in text_blocks(batch):
                 shingle, text = elements(t)
                 has = np.bincount(text, minlength=t.n) > 0
-                yield from pack(ids[at:to][has], buckets(dart_minhash(regions(shingle, text), text, t.n)[has]))
+                yield ids[at:to][has], buckets(dart_minhash(regions(shingle, text), text, t.n)[has])
 
-    return docs.mapInArrow(run, PACKED_DDL)
+    return docs.mapInArrow(lambda batches: packed(blocks(batches), slots), PACKED_DDL)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
