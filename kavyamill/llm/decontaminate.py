@@ -19,10 +19,11 @@ MAX_LOOKUP = 50_000
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "mi", "ft", "in", "l", "ml", "s", "sec", "min", "h", "hr", "hours", "days", "years", "%", "°c", "°f", "kw", "kwh", "w", "v", "hz", "mph", "dollars", "euros", "cents")
 NAME, UNIT, NUMBER = "\ue000", "\ue002", "\ue001"
 
-# The patterns begin with a plain character, which is what most places fail at.
-_NAMES = r"(\s)(?<=[\p{Ll}\p{N},;:]\s)(\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)*)(?!\p{L})"
+# A name is one capitalised word after a word or comma: whole names would swallow a sentence's first word where a
+# passage is quoted inside another. The patterns begin with a plain character, which is what most places fail at.
+_NAMES = r"(\s)(?<=[\p{Ll}\p{N},;:]\s)(\p{Lu}\p{Ll}+)(?!\p{L})"
 _UNITS = rf"(?i)(\d)\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
-_TOKEN = rf"{NAME}\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)*|{UNIT}[\p{{L}}%°]+|\d+(?:[.,:/]\d+)*|\p{{L}}+"
+_TOKEN = rf"{NAME}\p{{Lu}}\p{{Ll}}+|{UNIT}[\p{{L}}%°]+|\d+(?:[.,:/]\d+)*|\p{{L}}+"
 
 
 def tokens(text: Column) -> Column:
