@@ -53,4 +53,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+
+
+def _op1_sql() -> str:
+    """All windows of all documents against all templates of their length, by exact shingles."""
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.template_words(text)
+        length, step = licenses.window_of(len(words))
+        rows.append(f"('{name}', {length}, {step}, [{', '.join(repr(w) for w in words)}])")
+    shingles = "list_distinct(list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i + 4], ' ')))"
+    return f"""
+        WITH t AS (SELECT license_id, length, step, {shingles.format("words")} AS held FROM (VALUES {", ".join(rows)}) AS v(license_id, length, step, words)),
+        w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, c.length, unnest(range(0, len(w), c.step)) AS start, w FROM w, (SELECT DISTINCT length, step FROM t) c),
+        p AS (SELECT doc_id, length, start, {shingles.format("part")} AS shingles FROM (SELECT doc_id, length, start, w[start + 1:start + length] AS part FROM s) WHERE len(part) >= 5),
+        m AS (SELECT doc_id, license_id, start, len(list_intersect(shingles, held)) / len(held) AS share FROM p JOIN t USING (length))
+        SELECT doc_id, license_id, max(share) AS containment, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(start) AS BIGINT) AS first_word FROM m WHERE share >= 0.8 GROUP BY doc_id, license_id"""
+
+
+def _op5_sql() -> str:
+    """Rules by the longest that fits. The tables' html has no canonical link and no refresh, so no url has an alias."""
+    fits = []
+    for rule in sorted(url_filter.RULES, key=lambda x: (-len(x), x)):
+        host, slash, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}') THEN '{rule}'")
+    verdicts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in url_filter.RULES.items())
+    return f"""
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        r AS (SELECT *, CASE {" ".join(fits)} END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE 'allow' END AS verdict FROM r"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_url_filter": _op5_sql()}
