@@ -266,3 +266,36 @@ def repeat_depths(syllables: Column) -> Column:
     go = lambda i: (i > 1) & (at(i) == at(i - 2)) & (at(i) != at(i - 1))
     di = F.aggregate(places, F.struct(F.lit(0).alias("run"), F.lit(1).alias("best")), lambda s, i: F.struct(F.when(go(i), s["run"] + 1).otherwise(F.when((i > 0) & (at(i) != at(i - 1)), 2).otherwise(1)).alias("run"), F.greatest(s["best"], F.when(go(i), F.floor((s["run"] + 1) / 2).cast("int")).otherwise(1)).alias("best")), lambda s: s["best"])
     return F.struct(mono.alias("mono"), di.alias("di"))
+
+
+def segment_size(total: Column, per_pada: Column) -> Column:
+    """Syllables of a reciting unit: half verses of short meters, pādas of long ones; by the total where the meter is
+    unknown; null below eight syllables and where nothing fits."""
+    near = lambda n: total.between(n - 1, n + 1)
+    size = F.when(per_pada == 8, F.when(total >= 24, 16).otherwise(8))
+    size = size.when(per_pada.isin(11, 12, 14), F.when(total >= per_pada * 3, per_pada * 2).otherwise(per_pada))
+    size = size.when(per_pada == 15, F.when(near(60), 30).otherwise(15)).when(per_pada.isin(17, 19, 21), per_pada)
+    size = size.when(near(32), 16).when(near(44), 22).when(near(48), 24).when(near(56), 28)
+    return F.when(total >= 8, size)
+
+
+def recitation_pieces(written: Column, syllables: Column, per_pada: Column) -> Column:
+    """Reciting units: the written pieces if there are as many as expected, four of them in pairs where two are, else
+    cuts at every segment_size() syllables; the written pieces where the size is unknown or the verse too short."""
+    total = F.size(syllables)
+    size = segment_size(total, per_pada)
+    expected = F.bround(total / size, 0)
+    cuts = F.transform(F.sequence(F.lit(0), F.ceil(total / size).cast("int") - 1), lambda i: F.array_join(F.slice(syllables, i * size + 1, size), ""))
+    paired = F.array(F.concat_ws(" ", F.get(written, F.lit(0)), F.get(written, F.lit(1))), F.concat_ws(" ", F.get(written, F.lit(2)), F.get(written, F.lit(3))))
+    fits = size.isNotNull() & (total >= size * 1.4)
+    chosen = F.when(F.size(written) == expected, written).when((F.size(written) == 4) & (expected == 2), paired).when(F.size(cuts) >= 2, cuts)
+    return F.coalesce(F.when(fits, chosen), written)
+
+
+def hemistich_candidate(whole: DataFrame, halved: DataFrame) -> DataFrame:
+    """Verdicts of whole verses, and where there is none those of the verse read as a half and doubled; a doubled
+    verse is not taken for vegavati."""
+    second = halved.where("primary_id <> 'vegavati'").select("verse_id", *[F.col(c).alias(f"_{c}") for c in ("status", "primary_id", "match_type")])
+    found = whole.join(second, "verse_id", "left")
+    none = F.col("primary_id").isNull() | (F.col("status") == "unidentified")
+    return found.select("verse_id", *[F.when(none & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "primary_id", "match_type")], (none & F.col("_primary_id").isNotNull()).alias("doubled"))
