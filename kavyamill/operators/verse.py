@@ -299,3 +299,21 @@ def hemistich_candidate(whole: DataFrame, halved: DataFrame) -> DataFrame:
     found = whole.join(second, "verse_id", "left")
     none = F.col("primary_id").isNull() | (F.col("status") == "unidentified")
     return found.select("verse_id", *[F.when(none & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "primary_id", "match_type")], (none & F.col("_primary_id").isNotNull()).alias("doubled"))
+
+
+def word_weights(line: Column) -> Column:
+    """(word, weights) of a roman line: each syllable belongs to the word that its vowel stands in, with the weight that
+    it has in the whole line."""
+    words = F.split(F.trim(line), r"\s+")
+    sizes = F.transform(words, lambda w: F.size(P.tokens(P.canonical_iast(w))))
+    ends = P.prefix_sums(sizes)
+    pattern = P.iast_pattern(line)
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.substr(pattern, F.get(ends, i) - F.get(sizes, i) + 1, F.get(sizes, i)).alias("weights")))
+
+
+def source_url(work: Column, urls: dict[str, str]) -> Column:
+    """The url of the first title that a work's name contains; null without."""
+    out = F.lit(None).cast("string")
+    for title, url in reversed(urls.items()):
+        out = F.when(F.contains(work, F.lit(title)), url).otherwise(out)
+    return out

@@ -81,3 +81,11 @@ def test_half_verses(spark):
     doubled = whole.unionByName(whole.withColumn("unit_no", F.col("unit_no") + 2))
     both = V.hemistich_candidate(M.identify(whole.where("false"), "classical").unionByName(M.identify(whole.select("verse_id", "unit_no", F.lit("GG").alias("pattern")), "classical")), M.identify(doubled, "classical"))
     assert tuple(both.first()) == ("v", "provisional", "mandakranta", "exact", True)
+
+
+def test_word_weights(spark):
+    df = spark.createDataFrame([("sarvasya cāhaṁ hṛdi sanniviṣṭo",)], "l string")
+    found = df.select(V.word_weights(F.col("l")).alias("w")).first().w
+    assert [tuple(x) for x in found] == [("sarvasya", "GGL"), ("cāhaṁ", "GG"), ("hṛdi", "LL"), ("sanniviṣṭo", "GLGG")]
+    urls = df.select(V.source_url(F.lit("the Book of Feet, 2"), {"Book": "u:1", "Feet": "u:2"}).alias("a"), V.source_url(F.lit("x"), {"Book": "u:1"}).alias("b")).first()
+    assert tuple(urls) == ("u:1", None)
