@@ -88,3 +88,17 @@ def client_key(direct: Column, forwarded: Column, peer: Column) -> Column:
 
 def truthy(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes"), F.lit(False))
+
+
+def nearest_sibling(rows: DataFrame, ident: str, on: list[str], value: str) -> DataFrame:
+    """Each row with the row of equal keys nearest in value, the least id of equal ones: by the neighbours in the order
+    of distinct values, and the two least ids of each value, not by pairs."""
+    place = F.row_number().over(Window.partitionBy(*on, value).orderBy(ident))
+    levels = rows.withColumn("_p", place).groupBy(*on, value).agg(F.min(ident).alias("_m1"), F.min(F.when(F.col("_p") == 2, F.col(ident))).alias("_m2"))
+    w = Window.partitionBy(*on).orderBy(value)
+    sides = [F.struct(F.abs(F.col(value) - f(value, 1).over(w)).alias("gap"), f("_m1", 1).over(w).alias("sibling")) for f in (F.lag, F.lead)]
+    levels = levels.select(*on, value, "_m1", "_m2", F.array(*sides).alias("_sides"))
+    own = F.when(F.col(ident) == F.col("_m1"), F.col("_m2")).otherwise(F.col("_m1"))
+    every = F.concat(F.array(F.struct(F.lit(0.0).alias("gap"), own.alias("sibling"))), F.col("_sides"))
+    joined = rows.join(levels, [*on, value]).withColumn("_best", F.array_min(F.filter(every, lambda x: x["sibling"].isNotNull())))
+    return joined.where("_best is not null").select(*rows.columns, "_best.gap", "_best.sibling")

@@ -83,12 +83,9 @@ def nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH p AS (SELECT a.p_partkey, b.p_partkey AS other, abs(a.p_retailprice - b.p_retailprice) AS gap FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) SELECT p_partkey, arg_min(other, struct_pack(g := gap, o := other)) AS other, round(min(gap), 6) AS gap FROM p GROUP BY p_partkey")
 def asof_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of equal brand and type nearest in price: the neighbours on both sides in the order of prices."""
+    """The part of equal brand and type nearest in price, the first of equal ones."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_retailprice").alias("price"))
-    w = Window.partitionBy("p_brand", "p_type").orderBy("price", "p_partkey")
-    sides = part.select("p_partkey", F.array(*[F.struct((F.abs(f("price", 1).over(w) - F.col("price"))).alias("gap"), f("p_partkey", 1).over(w).alias("other")) for f in (F.lag, F.lead)]).alias("s"))
-    best = F.array_min(F.filter("s", lambda x: x["other"].isNotNull()))
-    return sides.withColumn("b", best).where("b is not null").select("p_partkey", "b.other", F.round("b.gap", 6).alias("gap"))
+    return C.nearest_sibling(part, "p_partkey", ["p_brand", "p_type"], "price").select("p_partkey", F.col("sibling").alias("other"), F.round("gap", 6).alias("gap"))
 
 
 @query("SELECT p_partkey, coalesce(CASE p_brand WHEN 'Brand#1' THEN 'own' WHEN 'Brand#2' THEN 'own' END, CASE p_type WHEN 'ECONOMY' THEN 'by type' WHEN 'STANDARD' THEN 'by type' END, 'default') AS tier FROM part")
