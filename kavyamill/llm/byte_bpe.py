@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 #: White_Space as the tokenizers' own regex engine has it for \s.
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that are kept at once, and the longest that is; both bound a worker's memory, not the result.
-KEPT_PIECES, KEPT_CHARS = 600_000, 32
-KEPT_PAIRS = 2_000_000
+KEPT_PIECES, KEPT_CHARS = 150_000, 32
+KEPT_PAIRS = 300_000
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
