@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kavyamill.llm.graph import connected_components
 
 #: Entries that are packed at once.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 18
 #: Members of a bucket that meet in one task, and pairs that are verified between two looks at their classes.
 PIECE, CHUNK = 512, 128
 
