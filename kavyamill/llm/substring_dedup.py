@@ -71,7 +71,9 @@ def _common_left(p: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 
 def block_anchors(t: Texts) -> tuple[np.ndarray, ...] | None:
-    """Anchors of a block: hash, hash of the whole context or 0, text, place; and settled runs: text, from, to."""
+    """Anchors of a block: hash, hash of the whole context or 0, text, place, whether all of it recurs; and settled runs:
+    text, from, to. Settled runs send anchors too, for other texts to be compared with: one for each phase, if it has
+    one whose whole context is in the run, else all."""
     n = len(t.data)
     if n < LENGTH:
         return None
@@ -102,15 +104,37 @@ def block_anchors(t: Texts) -> tuple[np.ndarray, ...] | None:
     for s in (till + 1, till + shift + 1):
         np.add.at(settled, s, -1)
     settled = np.cumsum(settled)[: len(inside)] > 0
-    at = np.unique(least[inside & ~settled])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (settled & inside).astype(np.int8), [0]])))
     runs = edges[::2], edges[1::2] - 1
+    at, known = _with_settled(np.unique(least[inside & ~settled]), h, least, *runs)
     text, start = owner[at], t.bounds[owner[at]]
     whole = (at - REACH >= start) & (at + LENGTH <= t.bounds[text + 1])
     context = np.zeros(len(at), np.uint64)
     w = at[whole]
     context[whole] = mix((p[w + LENGTH] - p[w - REACH]) * down[w - REACH]) | np.uint64(1)
-    return h[at], context, text, at - start, owner[runs[0]], runs[0] - t.bounds[owner[runs[0]]], runs[1] - t.bounds[owner[runs[0]]]
+    return h[at], context, text, at - start, known, owner[runs[0]], runs[0] - t.bounds[owner[runs[0]]], runs[1] - t.bounds[owner[runs[0]]]
+
+
+def _with_settled(at: np.ndarray, h: np.ndarray, least: np.ndarray, begin: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors `at` and those of the settled runs of starts, in order, and which are known to recur in all offsets."""
+    if not len(begin):
+        return at, np.zeros(len(at), bool)
+    size = till - begin + 1
+    run = np.repeat(np.arange(len(begin)), size)
+    start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[run]
+    place = least[start]
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (run[1:] != run[:-1])])
+    place, run = place[new], run[new]
+    central = (place - REACH >= begin[run]) & (place <= till[run])
+    # A run has one period: a central anchor holds every string of the anchors that are equal to it.
+    order = np.lexsort((~central, h[place], run))
+    place, run, central = place[order], run[order], central[order]
+    first = np.concatenate([[True], (run[1:] != run[:-1]) | (h[place[1:]] != h[place[:-1]])])
+    phase = np.cumsum(first) - 1
+    sent = first | ~central[first][phase]
+    place, central = place[sent], central[sent]
+    every = np.union1d(at, place)
+    return every, np.isin(every, place[central])
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Texts]]:
@@ -135,11 +159,11 @@ def anchors(docs: DataFrame) -> DataFrame:
                 found = block_anchors(t)
                 if found is None:
                     continue
-                h, context, text, place, run_text, run_from, run_to = found
+                h, context, text, place, known, run_text, run_from, run_to = found
                 order = np.lexsort((context, h))
-                h, context, text, place = h[order], context[order], text[order], place[order]
+                h, context, text, place, known = h[order], context[order], text[order], place[order], known[order]
                 same = np.concatenate([[False], (h[1:] == h[:-1]) & (context[1:] == context[:-1]) & (context[1:] > 0)]) if len(h) else np.zeros(0, bool)
-                twice = same.copy()
+                twice = same | known
                 twice[:-1] |= same[1:]
                 k, place = keys[text], place + base[text]
                 rows: list[tuple] = []

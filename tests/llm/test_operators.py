@@ -248,3 +248,37 @@ def test_bpe_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[0].n_tokens == by[1].n_tokens == 0 and by[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[2].ids_sha256 == by[3].ids_sha256 and by[4].decoded_sha256 == hashlib.sha256(("é" * 70000).encode()).hexdigest()
+
+
+def cut_rows(spark, rows):
+    found = substring_dedup.digests(substring_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3))).collect()
+    return sorted(map(tuple, found), key=repr), sorted(((i, *x) for (i, _), x in zip(rows, brute_cut([(t or "").encode() for _, t in rows]), strict=True)), key=repr)
+
+
+def test_substring_dedup_against_periodic_texts(spark):
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long_line, odd = made(60), made(190), made(77)
+    texts = [line * 20, line * 7, "=" * 5000, "=" * 400, made(300) + long_line * 9 + made(500), long_line[50:] + long_line * 2, odd * 6 + made(30), odd[20:] + odd * 4 + odd[:40]]
+    texts += [made(100) + "-" * 470 + made(100), made(50) + "-" * 400 + made(70), made(10) + line * 7 + made(30), (made(200) * 2) + made(300), made(400) + "-" * 399]
+    found, wanted = cut_rows(spark, list(enumerate(texts)))
+    by_id = {x[0]: x for x in wanted}
+    assert found == wanted and by_id[1][1:3] == (420, 420) and by_id[3][1:3] == (400, 400)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_settled_runs_still_ask(seed):
+    """Every string of a settled run lies in the context of an anchor that is sent."""
+    rng = random.Random(seed)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [made(rng.randrange(0, 300)) + made(rng.choice([1, 2, 7, 60, 150, 200])) * rng.randrange(3, 500) + made(rng.randrange(0, 300)) for _ in range(20)]
+    for text in texts:
+        raw = text.encode()[:8000]
+        t = substring_dedup.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        found = substring_dedup.block_anchors(t)
+        if found is None:
+            continue
+        held = set()
+        for at in found[3].tolist():
+            held |= {raw[i : i + 400] for i in range(max(0, at - 200), min(at, len(raw) - 400) + 1)}
+        assert all(raw[i : i + 400] in held for i in range(len(raw) - 399))
