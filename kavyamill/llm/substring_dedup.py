@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def block_anchors(t: Texts) -> tuple[np.ndarray, ...] | None:
     n = len(t.data)
     if n < LENGTH:
         return None
-    owner = np.searchsorted(t.bounds, np.arange(n), side="right") - 1
+    owner = np.repeat(np.arange(t.n), np.diff(t.bounds))
     inside = np.zeros(n - LENGTH + 1, bool)
     inside[:] = owner[: n - LENGTH + 1] == owner[LENGTH - 1 :]
     if not inside.any():
@@ -192,12 +193,14 @@ def repeated(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
-            for slot, *fields in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6)), strict=True):
-                h, context, k, place, last = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(fields, ("<u8", "<u8", "<i8", "<i4", "<i4" if slot < 0 else "?"), strict=True))
-                if slot < 0:
-                    yield _found(k, np.full(len(k), RECUR), np.zeros(len(k), np.int64), place, last)
-                else:
-                    parts.append((h, context, k, place, last))
+            settled = pc.less(batch.column(0), 0)
+            done, rest = batch.filter(settled), batch.filter(pc.invert(settled))
+            k, place, till = (_joined(done.column(i), kind) for i, kind in ((3, "<i8"), (4, "<i4"), (5, "<i4")))
+            for at in range(0, len(k), 65536):
+                cut = slice(at, at + 65536)
+                yield _found(k[cut], np.full(len(k[cut]), RECUR), np.zeros(len(k[cut]), np.int64), place[cut], till[cut])
+            if rest.num_rows:
+                parts.append(tuple(_joined(rest.column(i), kind) for i, kind in enumerate(("<u8", "<u8", "<i8", "<i4", "?"), 1)))
         if not parts:
             return
         h, context, k, place, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -219,13 +222,23 @@ def repeated(packed: DataFrame) -> DataFrame:
     return packed.repartition(n, "slot").mapInArrow(run, _FOUND)
 
 
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    """The packed values of all rows, one after another; the batch they come from need not be kept."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind)
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].copy().view(kind)
+
+
 def _found(k, kind, h, place, till) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), f.type, safe=False) for x, f in zip((k, kind.astype(np.int32), h, place.astype(np.int32), till.astype(np.int32)), _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA)
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(h, k, place, settled, before, bytes): the bytes around each anchor asked for, REACH to the left of it."""
-    listed = asked.groupBy("k").agg(F.collect_list(F.struct("h", "place", "till")).alias("asked"))
+    listed = asked.groupBy("k").agg(F.collect_set(F.struct("h", "place", "till")).alias("asked"))
     joined = docs.select("k", F.encode("text", "UTF-8").alias("raw")).join(listed, "k").select("k", "raw", F.explode("asked").alias("x"))
     before = F.least(F.col("x.place"), F.lit(REACH))
     return joined.select("x.h", "k", "x.place", F.col("x.till").alias("settled"), before.alias("before"), F.substring("raw", F.col("x.place") - before + 1, before + LENGTH).alias("bytes")).dropDuplicates(["h", "k", "place"])
@@ -360,11 +373,14 @@ def compared(context: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(k, spans): packed (from, to) of starts at which recurring strings begin; docs has k and text."""
+    """(k, starts): the (from, to) of starts at which recurring strings begin; docs has k and text. Rows of the same k are
+    copies: all of each recurs, and one goes on to be compared with others."""
     found = checkpointed(repeated(anchors(docs)))
     settled = found.where(F.col("kind") == RECUR)
     more = compared(contexts(docs, found.where(F.col("kind") == ASK)))
-    starts = settled.unionByName(more).select("k", "place", "till")
+    copies = docs.groupBy("k").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where((F.col("n") > 1) & (F.col("size") >= LENGTH))
+    copies = copies.select("k", F.lit(0).alias("place"), (F.col("size") - LENGTH).alias("till"))
+    starts = settled.unionByName(more).select("k", "place", "till").unionByName(copies)
     return starts.groupBy("k").agg(F.collect_set(F.struct("place", "till")).alias("starts"))
 
 

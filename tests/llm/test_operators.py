@@ -282,3 +282,13 @@ def test_settled_runs_still_ask(seed):
         for at in found[3].tolist():
             held |= {raw[i : i + 400] for i in range(max(0, at - 200), min(at, len(raw) - 400) + 1)}
         assert all(raw[i : i + 400] in held for i in range(len(raw) - 399))
+
+
+def test_substring_dedup_of_repeated_rows(spark):
+    rng = random.Random(6)
+    made = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    long, short, shared = made(1500), made(420), made(450)
+    rows = [(1, short), (1, short), (2, long), (2, long), (2, long), (None, shared), (None, shared), (3, shared + made(200)), (4, made(399)[:390]), (5, made(700)), (6, long[100:520])]
+    rows += [(7, "a" * 399), (7, "a" * 399), (8, "b" * 400), (8, "b" * 400), (9, None), (9, None), (10, made(900))]
+    found, wanted = cut_rows(spark, rows)
+    assert found == wanted
