@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat others' lines; those with no visible line left go."""
-    out = line_dedup.without(docs, line_dedup.removed_lines(docs))
+    out = line_dedup.without(docs, line_dedup.removed_lines(docs, shortest=1))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"\S")).select(docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
 from kavyamill.llm.common import checkpointed, mix
 
-#: Characters of a shingle, least Jaccard similarity, and least characters of a line that is compared at all.
+#: Characters of a shingle, least Jaccard similarity, and least characters of a compared line unless the caller sets it.
 SHINGLE, SIMILARITY, MIN_CHARS = 8, 0.8, 24
 #: A pair at SIMILARITY meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 2e-4.
 BANDS, ROWS = 16, 4
@@ -24,8 +24,8 @@ BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compared(line: str) -> bool:
-    return len(line) >= MIN_CHARS and not line.isspace()
+def compared(line: str, shortest: int = MIN_CHARS) -> bool:
+    return len(line) >= max(shortest, 1) and not line.isspace()
 
 
 def line_id(line: str) -> int:
@@ -98,7 +98,7 @@ class Kernel:
         return similarities(left, right)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line) of each line that is compared, line being its id."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64())])
 
@@ -106,15 +106,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [(d, n, line_id(x)) for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for n, x in enumerate((text or "").split("\n")) if compared(x)]
+                found = [(d, n, line_id(x)) for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for n, x in enumerate((text or "").split("\n")) if compared(x, shortest)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no int, line long")
 
 
-def line_buckets(docs: DataFrame) -> DataFrame:
-    """Packed bucket entries of the distinct lines of each block."""
+def line_buckets(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+    """Packed bucket entries of the distinct lines of each block; a line below SHINGLE characters is its only shingle
+    and like none but its copies, so it needs none."""
+    shortest = max(shortest, SHINGLE)
     slots = slots_for(docs)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +126,7 @@ def line_buckets(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
                     for line in (text or "").split("\n"):
-                        if compared(line) and line not in lines:
+                        if compared(line, shortest) and line not in lines:
                             lines[line] = None
                             size += len(line)
                             if size >= BLOCK:
@@ -159,11 +161,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def removed_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, class_line) of each line that goes: all of a component but its first, by doc_id and line_no."""
-    rows = checkpointed(occurrences(docs))
+    rows = checkpointed(occurrences(docs, shortest))
     lines = rows.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    shared = checkpointed(shared_buckets(line_buckets(docs)))
+    shared = checkpointed(shared_buckets(line_buckets(docs, shortest)))
     pairs = shared.select("a", "b").distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     texts = checkpointed(line_texts(docs, lines.join(ends, "line").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]))
@@ -177,16 +179,17 @@ def removed_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return rows.join(fates, "line").where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line_no") != F.col("head.line_no"))).select("doc_id", "line_no", "class_line")
 
 
-def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): removed holds the numbers of the lines that go, in order, from 0.
 
-    Lines end at \\n. Those of MIN_CHARS characters or more with a visible one are compared over all documents; equal
+    Lines end at \\n. Those of `shortest` characters or more with a visible one are compared over all documents; equal
     lines, and lines whose sets of character shingles have Jaccard similarity `least` or more, form components, also by
-    way of others, and each component keeps its first line by doc_id and line number. Shorter and blank lines stay.
+    way of others, and each component keeps its first line by doc_id and line number. Shorter and blank lines stay. A
+    line below SHINGLE characters is one shingle.
     Null texts have no line, empty ones have one, blank. Rows with the same doc_id are one document for the line
     numbers to go; each row gives a row. Other columns are ignored.
     """
-    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = removed_lines(docs, least, shortest).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(gone, "doc_id", "left")
     return joined.select("doc_id", "n_lines", F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")

@@ -292,3 +292,21 @@ def test_substring_dedup_of_repeated_rows(spark):
     rows += [(7, "a" * 399), (7, "a" * 399), (8, "b" * 400), (8, "b" * 400), (9, None), (9, None), (10, made(900))]
     found, wanted = cut_rows(spark, rows)
     assert found == wanted
+
+
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    from kavyamill.llm import queries
+
+    rng = random.Random(8)
+    lines = made_texts(9, [1, 2, 3, 4], [0, 0, 0.2]) + ["x", "aaaaaaaa", "aaaaaaaaa", "aaaaaaa", "abcdefghijk", "abcdefghijkl", "abcdefghijklm", "é", "All rights reserved.", "short", " short"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 8))) for _ in range(80)] + [None, "", "\n\n", " ", "x\nx", "abcdefghijkl\nabcdefghijklm\nabcdefghijk"]
+    held = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x and not x.isspace()]
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in held]
+    edges = [(i, j) for i in range(len(held)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    wanted = collections.defaultdict(list)
+    for i, (root, (d, n, _)) in enumerate(zip(union_find(len(held), edges), held, strict=True)):
+        if root != i:
+            wanted[d].append(n)
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.removed for r in found if r.removed} == dict(wanted)
