@@ -25,9 +25,19 @@ _NAMES = r"(\s)(?<=[\p{Ll}\p{N},;:]\s)(\p{Lu}\p{Ll}+)(?!\p{L})"
 _UNITS = rf"(?i)(\d)\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
 _TOKEN = rf"{NAME}\p{{Lu}}\p{{Ll}}+|{UNIT}[\p{{L}}%°]+|\d+(?:[.,:/]\d+)*|\p{{L}}+"
 
-
-def tokens(text: Column) -> Column:
-    """Words, numbers, names and units in their order, names and units marked."""
+# The second reading takes each capitalised word as a name, wherever it stands, and words in a row as one name: for names
+# that begin a sentence, of several words, of mixed case or in capitals.
+_WORD = r"\p{Lu}\p{L}*(?:['’-]\p{Lu}\p{L}*)*"
+_RUN = rf"{_WORD}(?:\h+{_WORD})*"
+_RUNS = rf"(?<![\p{{L}}{UNIT}]){_RUN}"
+_RUN_TOKEN = rf"{NAME}{_RUN}|{UNIT}[\p{{L}}%°]+|\d+(?:[.,:/]\d+)*|\p{{L}}+"
+
+
+def tokens(text: Column, runs: bool = False) -> Column:
+    """Words, numbers, names and units in their order, names and units marked; runs: by the second reading of names."""
+    if runs:
+        units = F.regexp_replace(F.translate(text, NAME + UNIT, ""), _UNITS, f"$1 {UNIT}$2")
+        return F.regexp_extract_all(F.coalesce(F.regexp_replace(units, _RUNS, f"{NAME}$0"), F.lit("")), F.lit(_RUN_TOKEN), F.lit(0))
     marked = F.regexp_replace(F.regexp_replace(F.translate(text, NAME + UNIT, ""), _NAMES, f"$1{NAME}$2"), _UNITS, f"$1 {UNIT}$2")
     return F.regexp_extract_all(F.coalesce(marked, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
@@ -62,23 +72,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, containment, consistent, changed and leak for each document and item that share enough.
 
     containment is the share of the item's distinct five-word template windows near one place of the document; rows
-    have CONTAINMENT or more. consistent: along the alignment, equal slot values of the item have equal values in
-    the document, and different ones different values. changed: some value differs. leak: consistent. Rows with the
+    have CONTAINMENT or more under one of the two readings of names. consistent: along the alignment, equal slot values
+    of the item have equal values in the document. changed: some value differs. leak: consistent. Rows with the
     same doc_id count as one document. Null and empty texts, texts and items below five words share nothing, ever.
     Other columns are ignored.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_raw")).withColumn("item", typed(F.col("item_raw")))
+    found = [x for x in (_aligned(docs, benchmark, runs) for runs in (False, True)) if x is not None]
+    if not found:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double, consistent boolean, changed boolean, leak boolean")
+    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "containment", (~F.col("changed")).alias("unchanged"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.containment", "best.consistent", (~F.col("best.unchanged")).alias("changed"), F.col("best.consistent").alias("leak"))
+
+
+def _aligned(docs: DataFrame, benchmark: DataFrame, runs: bool) -> DataFrame | None:
+    """doc_id, item_id, containment, consistent and changed of each place under one reading; None without items."""
+    items = benchmark.select("item_id", tokens(F.col("text"), runs).alias("item_raw")).withColumn("item", typed(F.col("item_raw")))
     items = items.where(F.size("item") >= SHINGLE).withColumn("item_windows", F.array_distinct(_windows(F.col("item"))))
     items = checkpointed(items)
     total, longest, fewest = items.agg(F.sum(F.size("item")), F.max(F.size("item")), F.min(F.size("item_windows"))).first()
-    empty = "doc_id long, item_id long, containment double, consistent boolean, changed boolean, leak boolean"
     if not total:
-        return docs.sparkSession.createDataFrame([], empty)
+        return None
     step = min(sure_step(n) for (n,) in items.select(F.size("item_windows")).distinct().collect())
     keys = items.select("item_id", "item", "item_raw", "item_windows", F.posexplode(_windows(F.col("item"))).alias("item_at", "h"))
 
     # No filter on what is computed: pushed below, it would compute it twice.
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("raw")).select("doc_id", "raw", typed(F.col("raw")).alias("template"))
+    cut = docs.select("doc_id", tokens(F.col("text"), runs).alias("raw")).select("doc_id", "raw", typed(F.col("raw")).alias("template"))
     last = F.size("template") - SHINGLE
     if total <= MAX_LOOKUP:
         wanted = [h for (h,) in keys.select("h").distinct().collect()]  # bounded by MAX_LOOKUP
@@ -99,7 +118,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same_kind = F.filter(slots, lambda s: s["kind"].isin(NAME, UNIT, NUMBER) & (F.get(typed(F.array(s["b"])), F.lit(0)) == s["kind"]))
     values = F.array_distinct(F.transform(same_kind, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
     pairs = pairs.withColumn("slots", values)
-    one = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: s[field]))) == F.size("slots")
-    pairs = pairs.select("doc_id", "item_id", "containment", (one("a") & one("b")).alias("consistent"), F.exists("slots", lambda s: s["a"] != s["b"]).alias("changed"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "containment", (~F.col("changed")).alias("unchanged"))).alias("best"))
-    return best.select("doc_id", "item_id", "best.containment", "best.consistent", (~F.col("best.unchanged")).alias("changed"), F.col("best.consistent").alias("leak"))
+    one = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
+    return pairs.select("doc_id", "item_id", "containment", one.alias("consistent"), F.exists("slots", lambda s: s["a"] != s["b"]).alias("changed"))

@@ -310,3 +310,15 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op8_line_dedup(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.removed for r in found if r.removed} == dict(wanted)
+
+
+def test_decontamination_of_names_and_values(spark, monkeypatch):
+    clips = "Natalia sold 48 clips to her friends in April. Natalia then sold 24 clips in May. How many clips did Natalia sell altogether in April and May?"
+    anna = "On monday Anna buys 5 red pens and 7 blue pens for school."
+    docs = [(1, clips.replace("Natalia", "Betty")), (2, "intro. " + clips.replace("48", "30").replace("24", "30")), (3, anna.replace("Anna", "Mary Ann")), (4, anna.replace("Anna", "McDonald")), (5, anna.replace("Anna", "O'Brien")), (6, anna.replace("Anna", "ANNA")), (7, clips.replace("Natalia", "Betty", 1)), (8, "Nothing of the kind is said in this text at all.")]
+    items = spark.createDataFrame([(1, clips), (2, anna)], "item_id long, text string")
+    for most in (decontaminate.MAX_LOOKUP, 1):
+        monkeypatch.setattr(decontaminate, "MAX_LOOKUP", most)
+        found = {(r.doc_id, r.item_id): (r.leak, r.changed) for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), items).collect()}
+        assert {k for k, (leak, _) in found.items() if leak} >= {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
+        assert all(found[k][1] for k in [(1, 1), (2, 1), (3, 2)]) and not any(d == 8 for d, _ in found)
