@@ -121,3 +121,13 @@ def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docs.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target")), "item_id")
     shared = F.size(F.filter(F.split("guess", ""), lambda c: F.contains(F.col("target"), c)))
     return pairs.select("doc_id", "item_id", F.bround(shared / F.greatest(F.length("guess"), F.length("target")), 3).alias("similarity"))
+
+
+@query("SELECT g.conv_id, g.turn, round_even(CASE WHEN g.text = '' THEN 0 ELSE len(list_filter(string_split(g.text, ''), lambda c: contains(t.text, c))) END / greatest(length(g.text), length(t.text), 1), 3) AS similarity FROM conversations g JOIN conversations t ON g.conv_id = t.conv_id AND g.turn + 1 = t.turn")
+def char_overlap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """char_overlap of whole texts: each turn of a conversation as the guess, the next turn as its target."""
+    turns = table(spark, sf_dir, "conversations")
+    targets = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    pairs = turns.select("conv_id", "turn", F.col("text").alias("guess")).join(targets, ["conv_id", "turn"])
+    shared = F.when(F.col("guess") == "", 0).otherwise(F.size(F.filter(F.split("guess", ""), lambda c: F.contains(F.col("target"), c))))
+    return pairs.select("conv_id", "turn", F.bround(shared / F.greatest(F.length("guess"), F.length("target"), F.lit(1)), 3).alias("similarity"))
