@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that all executors share, its lineage cut."""
-    context = df.sparkSession.sparkContext
+    """df written to the checkpoint folder that all executors share, its lineage cut.
+
+    Where spark.checkpoint.dir is unset, a folder in the warehouse takes its place, as that is shared too.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints")
     return df.checkpoint()
 
 
@@ -127,6 +130,16 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK)
         at = to
 
 
+def cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places, in order, that end where their sizes reach `most`."""
+    at, held = 0, 0
+    for i, size in enumerate(sizes, 1):
+        held += size
+        if held >= most or i == len(sizes):
+            yield at, i
+            at, held = i, 0
+
+
 def shingle_hashes(word_hash: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles, and the index of each one's first word."""
     if len(word_hash) < k:
@@ -141,3 +154,32 @@ def shingle_hashes(word_hash: np.ndarray, text: np.ndarray, k: int) -> tuple[np.
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def regathered(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first `keys` columns, cut anew: each table holds whole keys, and ends at the first border
+    between two of them beyond `most` bytes. Only a key that is larger by itself makes a larger table."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and last != tuple(c[0] for c in columns)
+        last = tuple(c[-1] for c in columns)
+        row = max(1, batch.nbytes // batch.num_rows)
+        borders, at = np.flatnonzero(new), 0
+        while True:
+            i = int(np.searchsorted(borders, max(at + (0 if held else 1), at + (most - size) // row)))
+            if i == len(borders):
+                break
+            held.append(batch.slice(at, borders[i] - at))
+            yield pa.Table.from_batches(held)
+            held, size, at = [], 0, int(borders[i])
+        held.append(batch.slice(at))
+        size += row * (batch.num_rows - at)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -3,8 +3,8 @@
 Two equal strings of LENGTH bytes hold the same bytes at the same place where the hash of GRAM bytes is least, so
 only those places (anchors) travel. Anchors whose whole surroundings recur are settled by that. For the others, the
 suffixes that begin at equal anchors are sorted by a mergesort that compares two suffixes by their common extension,
-found by binary search on prefix polynomial hashes; neighbours in the sorted order and the bytes to the left tell
-which strings recur.
+found by binary search on prefix polynomial hashes and checked by the bytes; neighbours in the sorted order, and in
+that of the bytes to the left, tell which strings recur.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import Texts, _powers, checkpointed, mix, text_blocks
+from kavyamill.llm.common import Texts, _powers, checkpointed, mix, regathered, text_blocks
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM
+HALF = REACH // 2
 SLOTS = 1 << 12
+#: Bytes of packed anchors that a reader of slots takes at once, whole slots each time.
+SLOT_BYTES = 1 << 23
 #: Bits for a place within a block of texts; longer texts are cut into pieces that overlap by LENGTH - 1 bytes.
 PLACE_BITS = 22
 PIECE = 1 << 21
-#: Contexts that are sorted at once, unless one anchor has more.
+#: Contexts that are sorted at once, unless more hold the same bytes on one side of their anchors.
 CONTEXTS = 4096
 
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +102,10 @@ def block_anchors(t: Texts) -> tuple[np.ndarray, ...] | None:
     right = _common(p, down, a, b, last - b)
     left = _common_left(p, down, a, b, a - first)
     long = left + right >= LENGTH
-    begin, till, shift = (a - left)[long], (a + right - LENGTH)[long], (b - a)[long]
+    runs = np.unique(np.stack([(a - left)[long], (a + right)[long], (b - a)[long]], 1), axis=0)
+    borne_out = np.array([np.array_equal(t.data[i:j], t.data[i + s : j + s]) for i, j, s in runs.tolist()], bool)
+    begin, till, shift = runs[borne_out].T
+    till = till - LENGTH
     settled = np.zeros(n + 1, np.int64)
     for s in (begin, begin + shift):
         np.add.at(settled, s, 1)
@@ -151,8 +158,12 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Tex
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Packed anchors by slot; slot -1: settled runs. Of equal contexts in a block one goes on, marked as recurring."""
-    schema = pa.schema([("slot", pa.int32()), ("h", pa.binary()), ("context", pa.binary()), ("k", pa.binary()), ("place", pa.binary()), ("twice", pa.binary())])
+    """Packed anchors by slot; slot -1: settled runs. Of equal contexts in a block one goes on, marked as recurring.
+
+    Contexts of one block are compared by their bytes. Those of different blocks meet by two hashes of 64 bits, the
+    polynomial one and one of another kind (proof).
+    """
+    schema = pa.schema([("slot", pa.int32()), *((x, pa.binary()) for x in ("h", "context", "proof", "k", "place", "twice"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +174,10 @@ def anchors(docs: DataFrame) -> DataFrame:
                 h, context, text, place, known, run_text, run_from, run_to = found
                 order = np.lexsort((context, h))
                 h, context, text, place, known = h[order], context[order], text[order], place[order], known[order]
-                same = np.concatenate([[False], (h[1:] == h[:-1]) & (context[1:] == context[:-1]) & (context[1:] > 0)]) if len(h) else np.zeros(0, bool)
+                begin = place + t.bounds[text] - REACH
+                same = np.zeros(len(h), bool)
+                same[1:] = (h[1:] == h[:-1]) & (context[1:] == context[:-1]) & (context[1:] > 0)
+                same[same] = _equal_contexts(t.data, begin[np.flatnonzero(same) - 1], begin[same])
                 twice = same | known
                 twice[:-1] |= same[1:]
                 k, place = keys[text], place + base[text]
@@ -173,42 +187,52 @@ def anchors(docs: DataFrame) -> DataFrame:
                 done_to = np.concatenate([run_to + base[run_text], place[same]]).astype("<i4")
                 for i in range(0, len(done_k), 65536):
                     cut = slice(i, i + 65536)
-                    rows.append((-1 - int(done_k[i]) % SLOTS, b"", b"", done_k[cut].astype("<i8").tobytes(), done_from[cut].tobytes(), done_to[cut].tobytes()))
+                    rows.append((-1 - int(done_k[i]) % SLOTS, b"", b"", b"", done_k[cut].astype("<i8").tobytes(), done_from[cut].tobytes(), done_to[cut].tobytes()))
                 rest = ~same
-                h, context, k, place, twice = h[rest], context[rest], k[rest], place[rest], twice[rest]
+                h, context, begin, k, place, twice = h[rest], context[rest], begin[rest], k[rest], place[rest], twice[rest]
+                proof, view = np.zeros(len(h), np.uint64), memoryview(t.data)
+                whole = context > 0
+                proof[whole] = [xxhash.xxh3_64_intdigest(view[i : i + REACH + LENGTH]) for i in begin[whole].tolist()]
                 slot = (h % np.uint64(SLOTS)).astype(np.int32)
                 order = np.argsort(slot, kind="stable")
-                slot, h, context, k, place, twice = (x[order] for x in (slot, h, context, k.astype("<i8"), place.astype("<i4"), twice))
+                slot, h, context, proof, k, place, twice = (x[order] for x in (slot, h, context, proof, k.astype("<i8"), place.astype("<i4"), twice))
                 cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else np.zeros(1, np.int64)
-                rows += [(int(slot[i]), *(x[i:j].tobytes() for x in (h, context, k, place, twice))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows += [(int(slot[i]), *(x[i:j].tobytes() for x in (h, context, proof, k, place, twice))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("k", "text").mapInArrow(run, "slot int, h binary, context binary, k binary, place binary, twice binary")
+    return docs.select("k", "text").mapInArrow(run, "slot int, h binary, context binary, proof binary, k binary, place binary, twice binary")
+
+
+def _equal_contexts(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the contexts that begin at a and at b hold the same bytes."""
+    if not len(a):
+        return np.zeros(0, bool)
+    seen = np.lib.stride_tricks.sliding_window_view(data, REACH + LENGTH)
+    return np.concatenate([(seen[a[i : i + 2048]] == seen[b[i : i + 2048]]).all(1) for i in range(0, len(a), 2048)])
 
 
 def repeated(packed: DataFrame) -> DataFrame:
     """What recurring anchors show (RECUR), and the anchors whose contexts must be compared (ASK)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            settled = pc.less(batch.column(0), 0)
-            done, rest = batch.filter(settled), batch.filter(pc.invert(settled))
-            k, place, till = (_joined(done.column(i), kind) for i, kind in ((3, "<i8"), (4, "<i4"), (5, "<i4")))
+        for table in regathered(batches, 1, SLOT_BYTES):
+            settled = pc.less(table["slot"], 0)
+            done, rest = table.filter(settled), table.filter(pc.invert(settled))
+            k, place, till = (_joined(done[i], kind) for i, kind in ((4, "<i8"), (5, "<i4"), (6, "<i4")))
             for at in range(0, len(k), 65536):
                 cut = slice(at, at + 65536)
                 yield _found(k[cut], np.full(len(k[cut]), RECUR), np.zeros(len(k[cut]), np.int64), place[cut], till[cut])
             if rest.num_rows:
-                parts.append(tuple(_joined(rest.column(i), kind) for i, kind in enumerate(("<u8", "<u8", "<i8", "<i4", "?"), 1)))
-        if not parts:
-            return
-        h, context, k, place, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield from settle(*(_joined(rest[i], kind) for i, kind in enumerate(("<u8", "<u8", "<u8", "<i8", "<i4", "?"), 1)))
+
+    def settle(h: np.ndarray, context: np.ndarray, proof: np.ndarray, k: np.ndarray, place: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((context, h))
-        h, context, k, place, twice = h[order], context[order], k[order], place[order], twice[order]
+        h, context, proof, k, place, twice = h[order], context[order], proof[order], k[order], place[order], twice[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         group = np.cumsum(new) - 1
-        other = np.concatenate([[True], new[1:] | (context[1:] != context[:-1]) | (context[1:] == 0)])
+        # Where equal contexts have different proofs they stand apart, and are compared by their bytes.
+        other = np.concatenate([[True], new[1:] | (context[1:] != context[:-1]) | (proof[1:] != proof[:-1]) | (context[1:] == 0)])
         part = np.cumsum(other) - 1
         full = (np.bincount(part) > 1)[part] | (np.bincount(part, twice) > 0)[part]
         yield _found(k[full], np.full(int(full.sum()), RECUR), h[full].view(np.int64), place[full] - REACH, place[full])
@@ -219,12 +243,12 @@ def repeated(packed: DataFrame) -> DataFrame:
         yield _found(k[ask], np.full(int(ask.sum()), ASK), h[ask].view(np.int64), place[ask], full[ask].astype(np.int64))
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "slot").mapInArrow(run, _FOUND)
+    return packed.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(run, _FOUND)
 
 
-def _joined(column: pa.Array, kind: str) -> np.ndarray:
-    """The packed values of all rows, one after another; the batch they come from need not be kept."""
-    column = column.cast(pa.large_binary())
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The packed values of all rows, one after another; the table they come from need not be kept."""
+    column = column.cast(pa.large_binary()).combine_chunks()
     _, offsets, data = column.buffers()
     if not len(column) or data is None:
         return np.zeros(0, kind)
@@ -237,11 +261,20 @@ def _found(k, kind, h, place, till) -> pa.RecordBatch:
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(h, k, place, settled, before, bytes): the bytes around each anchor asked for, REACH to the left of it."""
-    listed = asked.groupBy("k").agg(F.collect_set(F.struct("h", "place", "till")).alias("asked"))
-    joined = docs.select("k", F.encode("text", "UTF-8").alias("raw")).join(listed, "k").select("k", "raw", F.explode("asked").alias("x"))
-    before = F.least(F.col("x.place"), F.lit(REACH))
-    return joined.select("x.h", "k", "x.place", F.col("x.till").alias("settled"), before.alias("before"), F.substring("raw", F.col("x.place") - before + 1, before + LENGTH).alias("bytes")).dropDuplicates(["h", "k", "place"])
+    """(part, side, k, place, settled, before, bytes): what is around each anchor asked for, once for either side.
+
+    A string that begins HALF bytes or more before the anchor holds the HALF bytes to its left (side 0), one that begins
+    at most so many before it holds the LENGTH - HALF bytes from it on (side 1). So equal strings meet if anchors meet
+    by either of these, and an anchor with very many different surroundings comes apart. part: a hash of those bytes.
+    """
+    listed = asked.groupBy("k").agg(F.collect_set(F.struct("place", "till")).alias("asked"))
+    joined = docs.select("k", F.encode("text", "UTF-8").alias("raw")).join(listed, "k").select("k", "raw", F.explode("asked").alias("x"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    before = F.least(F.col("x.place"), F.when(F.col("side") == 0, REACH).otherwise(HALF))
+    after = F.when(F.col("side") == 0, LENGTH - HALF).otherwise(LENGTH)
+    cut = joined.select("side", "k", "x.place", F.col("x.till").alias("settled"), before.alias("before"), F.substring("raw", F.col("x.place") - before + 1, before + after).alias("bytes"))
+    key = F.when(F.col("side") == 0, F.substring("bytes", F.col("before") - HALF + 1, F.lit(HALF + GRAM))).otherwise(F.substring("bytes", F.col("before") + 1, F.lit(LENGTH - HALF)))
+    whole = F.when(F.col("side") == 0, F.col("before") >= HALF).otherwise(F.octet_length("bytes") - F.col("before") >= LENGTH - HALF)
+    return cut.where(whole).select(F.xxhash64("side", key).alias("part"), "side", "k", "place", "settled", "before", "bytes").dropDuplicates(["side", "k", "place"])
 
 
 def suffix_order(p: np.ndarray, down: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,70 +339,77 @@ def _checked(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> n
     return out
 
 
-def recurring(h: np.ndarray, before: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """[i, d]: whether the string that begins d bytes before anchor i recurs in another of the same h (sorted by h)."""
+def left_order(before: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the contexts by what is left of their anchors, read backwards, and how many bytes each has in common
+    there with the one before it."""
+    lefts = [x[:n][::-1] for x, n in zip(parts, before.tolist(), strict=True)]
+    order = np.array(sorted(range(len(parts)), key=lefts.__getitem__), np.int64)
+    seen = np.array([lefts[i].ljust(REACH, b"\0") for i in order], f"S{REACH}").view(np.uint8).reshape(-1, REACH)
+    common = np.zeros(len(parts), np.int64)
+    unequal = seen[1:] != seen[:-1]
+    n = np.where(unequal.any(1), unequal.argmax(1), REACH)
+    common[1:] = np.minimum(n, np.minimum(before[order[1:]], before[order[:-1]]))
+    return order, common
+
+
+def recurring(group: np.ndarray, before: np.ndarray, parts: list[bytes], low: int = 0, high: int = REACH) -> np.ndarray:
+    """[i, d]: whether the string that begins d bytes before anchor i, low <= d <= high, recurs in another of the same
+    group (ascending). Nothing rests on a hash alone: extensions to the right are checked by the bytes, those to the
+    left are taken from them."""
     t = Texts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
     p = t.prefix()
     _, down = _powers(len(t.data) + 1)
-    group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+    group = np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1
     anchor = t.bounds[:-1] + before
     length = t.bounds[1:] - anchor
     order, common = suffix_order(p, down, t.data, anchor, length, group)
-    anchor, length, before, group = anchor[order], length[order], before[order], group[order]
-    out = np.zeros((len(h), REACH + 1), bool)
-    first = np.concatenate([[True], group[1:] != group[:-1]])
-    for d in range(REACH + 1):
+    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    left, left_common = left_order(before, parts)
+    out = np.zeros((len(parts), REACH + 1), bool)
+    right_class, left_class = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+    for d in range(low, high + 1):
         fits = np.flatnonzero((before >= d) & (length >= LENGTH - d))
         if len(fits) < 2:
             continue
-        segment = np.cumsum(first | (common < LENGTH - d))[fits].astype(np.uint64)
-        a = anchor[fits]
-        key = mix((p[a] - p[a - d]) * down[a - d]) ^ mix(segment)
+        right_class[order] = np.cumsum(first | (common < LENGTH - d))
+        left_class[left] = np.cumsum(left_common < d)
+        key = right_class[fits] * (len(parts) + 1) + left_class[fits]
         by = np.argsort(key)
         same = key[by][1:] == key[by][:-1]
-        out[order[fits[by[1:][same]]], d] = True
-        out[order[fits[by[:-1][same]]], d] = True
+        out[fits[by[1:][same]], d] = True
+        out[fits[by[:-1][same]], d] = True
     return out
 
 
 def compared(context: DataFrame) -> DataFrame:
-    """(k, kind, h, place, till) of the strings that recur among contexts of equal anchors."""
+    """(k, kind, h, place, till) of the strings that recur among contexts of equal anchors; h is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            if rows >= CONTEXTS and len(h):
-                border = int(np.searchsorted(h != held[-1].column(0)[-1].as_py(), True)) if held else 0
-                yield from settle([*held, batch.slice(0, border)])
-                held, rows = [], 0
-                batch = batch.slice(border)
-            held.append(batch)
-            rows += batch.num_rows
-        yield from settle(held)
-
-    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = pa.Table.from_batches([x for x in held if x.num_rows]) if any(x.num_rows for x in held) else None
-        if full is None:
+        for table in regathered(batches, 2, CONTEXTS * (REACH + LENGTH)):
+            side = table["side"].to_numpy()
+            for which, low, high in ((0, HALF, REACH), (1, 0, HALF)):
+                yield from settle(table.filter(pa.array(side == which)), low, high)
+
+    def settle(table: pa.Table, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        part = table["part"].to_numpy()
+        if not len(part):
+            return
+        new = np.concatenate([[True], part[1:] != part[:-1]])
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        if not several.any():
             return
-        h = full["h"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        at = 0
-        while at < len(cuts) - 1:
-            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + CONTEXTS, side="right")) - 1)
-            part = full.slice(cuts[at], cuts[to] - cuts[at])
-            before, place = part["before"].to_numpy().astype(np.int64), part["place"].to_numpy().astype(np.int64)
-            found = recurring(part["h"].to_numpy(), before, part["bytes"].to_pylist())
-            found[part["settled"].to_numpy() > 0] = False  # known already
-            padded = np.pad(found, ((0, 0), (1, 1))).astype(np.int8)
-            row, edge = np.nonzero(np.diff(padded, axis=1))
-            who, d1, d2 = row[::2], edge[::2], edge[1::2] - 1
-            yield _found(part["k"].to_numpy()[who], np.full(len(who), RECUR), part["h"].to_numpy()[who], place[who] - d2, place[who] - d1)
-            at = to
+        table, part = table.filter(pa.array(several)), part[several]
+        before, place = table["before"].to_numpy().astype(np.int64), table["place"].to_numpy().astype(np.int64)
+        found = recurring(part, before, table["bytes"].to_pylist(), low, high)
+        found[table["settled"].to_numpy() > 0] = False  # known already
+        padded = np.pad(found, ((0, 0), (1, 1))).astype(np.int8)
+        row, edge = np.nonzero(np.diff(padded, axis=1))
+        who, d1, d2 = row[::2], edge[::2], edge[1::2] - 1
+        if len(who):
+            yield _found(table["k"].to_numpy()[who], np.full(len(who), RECUR), np.zeros(len(who), np.int64), place[who] - d2, place[who] - d1)
 
     n = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return context.repartition(n, "h").sortWithinPartitions("h").select("h", "k", "place", "settled", "before", "bytes").mapInArrow(run, _FOUND)
+    return context.repartition(n, "part", "side").sortWithinPartitions("part", "side").select("part", "side", "k", "place", "settled", "before", "bytes").mapInArrow(run, _FOUND)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -378,8 +418,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     found = checkpointed(repeated(anchors(docs)))
     settled = found.where(F.col("kind") == RECUR)
     more = compared(contexts(docs, found.where(F.col("kind") == ASK)))
-    copies = docs.groupBy("k").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where((F.col("n") > 1) & (F.col("size") >= LENGTH))
-    copies = copies.select("k", F.lit(0).alias("place"), (F.col("size") - LENGTH).alias("till"))
+    # Rows are copies if a hash of another kind, the size and the document agree too.
+    size, proof = F.octet_length("text"), F.xxhash64("text", F.lit(1))
+    copies = docs.groupBy("k").agg(F.count("*").alias("n"), F.max(size).alias("size"), F.min(size).alias("least"), F.max(proof).alias("p"), F.min(proof).alias("q"))
+    copies = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH) & (F.col("size") == F.col("least")) & (F.col("p") == F.col("q"))).select("k", F.lit(0).alias("place"), (F.col("size") - LENGTH).alias("till"))
     starts = settled.unionByName(more).select("k", "place", "till").unionByName(copies)
     return starts.groupBy("k").agg(F.collect_set(F.struct("place", "till")).alias("starts"))
 
