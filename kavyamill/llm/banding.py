@@ -4,8 +4,8 @@ Bucket entries travel as packed arrays, one row for each block and slot of the k
 entries of a bucket links them to the least of them right there and sends only that one on; the reader of a slot
 does the same with what the blocks have sent. So a bucket with very many members adds one entry a block to one task,
 and its first pairs are as many as its members, not their square. Such stars miss links, as similarity is not
-transitive: second_links() then compares the members of a bucket whose classes are still apart, in pieces of a bounded
-size, the likeliest first, and leaves out what has meanwhile become one class.
+transitive: where one of a bucket's pairs isn't similar, second_links() compares all of its members that stand apart
+with all others, exactly and in pieces of a bounded size.
 """
 
 from __future__ import annotations
@@ -18,20 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kavyamill.llm.common import regathered
 from kavyamill.llm.graph import connected_components
 
-#: Entries that are packed at once.
-ENTRIES = 1 << 18
-#: Members of a bucket that meet in one task, and pairs that are verified between two looks at their classes.
-PIECE, CHUNK = 512, 128
+#: Entries that are packed at once, and bytes of packed entries that a reader of slots takes at once, whole slots each time.
+ENTRIES, SLOT_BYTES = 1 << 18, 1 << 23
+#: Members of a bucket, and bytes of their texts, that make one of the pieces two of which meet in a task.
+PIECE, PIECE_BYTES = 512, 1 << 22
+#: Elements that are counted at once.
+COLUMNS = 4096
 
 
 class Kernel(Protocol):
-    """What second_links() needs of an operator: signatures with their band hashes, and exact similarities."""
+    """What second_links() needs of an operator."""
 
-    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]: ...
-
-    def similarities(self, left: list[str], right: list[str]) -> np.ndarray: ...
+    def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of each element of the texts' sets, text by text: similarity is their Jaccard similarity."""
+        ...
 
 PACKED = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 PACKED_DDL = "slot int, keys binary, ids binary"
@@ -94,36 +97,38 @@ def pack(ids: np.ndarray, buckets: np.ndarray, slots: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(keys, pa.binary()), pa.array(whos, pa.binary())], schema=PACKED)
 
 
-def _read(batch: pa.RecordBatch, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key and id of the bucket entries, then (bucket, least id, id) of what blocks have found, in packed rows."""
-    keys, ids, found = [], [], []
-    for slot, k, i in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-        if slot < 0:
-            found.append(np.concatenate([np.frombuffer(k.as_buffer(), np.int64)[:, None], np.frombuffer(i.as_buffer(), np.int64).reshape(-1, 2)], 1))
-        else:
-            keys.append(np.frombuffer(k.as_buffer(), "<u4").astype(np.uint64) * np.uint64(slots) + np.uint64(slot))
-            ids.append(np.frombuffer(i.as_buffer(), np.int64))
-    join = lambda x, empty: np.concatenate(x) if x else empty
-    return join(keys, np.zeros(0, np.uint64)), join(ids, np.zeros(0, np.int64)), join(found, np.zeros((0, 3), np.int64))
+def _packed(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed values of all rows, one after another, and how many each row has."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].copy().view(kind), np.diff(bounds) // np.dtype(kind).itemsize
 
 
 def shared_buckets(packed: DataFrame) -> DataFrame:
     """(bucket, a, b) for each member b of a bucket but its least, a being the least of the bucket, or of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_read(x, slots) for x in batches]
-        if not parts:
-            return
-        key, ids, found = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, _, lead = star(key, ids)
-        key, ids = key[order], ids[order]
-        tail = ids != ids[lead]
-        rows = np.concatenate([found, np.stack([key[tail].view(np.int64), ids[lead][tail], ids[tail]], 1)])
-        for at in range(0, len(rows), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at : at + 65536, i])) for i in range(3)], schema=_ROWS)
+        for table in regathered(batches, 1, SLOT_BYTES):
+            slot = table["slot"].to_numpy()
+            found, rest = table.filter(pa.array(slot < 0)), table.filter(pa.array(slot >= 0))
+            yield from rows(_packed(found["keys"], "<i8")[0], *_packed(found["ids"], "<i8")[0].reshape(-1, 2).T)
+            key, n = _packed(rest["keys"], "<u4")
+            ids, _ = _packed(rest["ids"], "<i8")
+            key = key.astype(np.uint64) * np.uint64(slots) + np.repeat(slot[slot >= 0].astype(np.uint64), n)
+            order, _, lead = star(key, ids)
+            key, ids = key[order], ids[order]
+            tail = ids != ids[lead]
+            yield from rows(key[tail].view(np.int64), ids[lead][tail], ids[tail])
+
+    def rows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + 65536])) for x in columns], schema=_ROWS)
 
     slots, n = slots_for(packed), int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "slot").mapInArrow(run, "bucket long, a long, b long")
+    return packed.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(run, "bucket long, a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -131,80 +136,80 @@ def classes(links: DataFrame) -> DataFrame:
     return connected_components(links, "a", "b")
 
 
-def second_links(shared: DataFrame, found: DataFrame, texts: DataFrame, kernel: Kernel, least: float) -> DataFrame:
-    """Verified (a, b) between members of a bucket of three or more whose classes (found: id, component) are apart.
-
-    A bucket of more than PIECE members is cut into groups, and each two groups meet in a task of their own, so that
-    a task holds two pieces at most. A pair that shares several buckets is looked at in the first of its bands only.
-    Pairs whose signatures agree too little for `least` (by 3.3 standard errors) are left out; the others are verified
-    exactly, the likeliest first, unless links found meanwhile have joined them.
+def similar_pairs(h: np.ndarray, owner: np.ndarray, rows: np.ndarray, n: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i of rows and j of all n sets, whose Jaccard similarity is `least` or more; h and owner list the sets'
+    elements, owners ascending. Shared elements are counted for all pairs at once, by products of 0-1 matrices."""
+    if not len(h):
+        return
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[once], owner[once]
+    size = np.bincount(owner, minlength=n)
+    element = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+    several = np.bincount(element) > 1
+    kept = several[element]
+    element, owner = (np.cumsum(several) - 1)[element[kept]], owner[kept]
+    for at in range(0, len(rows), PIECE):
+        some = rows[at : at + PIECE]
+        both = np.zeros((len(some), n), np.float32)
+        for first in range(0, int(several.sum()), COLUMNS):
+            i, j = np.searchsorted(element, [first, first + COLUMNS])
+            holds = np.zeros((n, COLUMNS), np.float32)
+            holds[owner[i:j], element[i:j] - first] = 1
+            both += holds[some] @ holds.T
+        either = size[some][:, None] + size[None, :] - both
+        left, right = np.nonzero((both >= least * either) & (either > 0))
+        yield some[left], right
+
+
+def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel: Kernel, least: float) -> DataFrame:
+    """Verified (a, b) between members of a bucket of three or more that not all of the links join to its least.
+
+    A bucket of more than PIECE members, or PIECE_BYTES of text, is cut into groups, and each two groups meet in a task of
+    their own, so that a task holds two pieces at most (or two texts that are larger). There, all members but those of the
+    largest class are compared with all others, exactly; links that join nothing new are left out.
     """
-    members = shared.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
-    rows = members.join(mixed.select("bucket", "n"), "bucket")
-    groups = F.ceil(F.col("n") / PIECE).cast("int")
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("id"), groups).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
-    rows = rows.select("bucket", F.least("group", "other").alias("g1"), F.greatest("group", "other").alias("g2"), "id", "component", "group")
-    rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "component", "group", "text")
+    known = shared.join(links.select("a", "b", F.lit(True).alias("ok")), ["a", "b"], "left")
+    mixed = known.groupBy("bucket").agg(F.max(F.col("ok").isNull()).alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("bucket")
+    members = known.join(mixed, "bucket").select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("label")), F.struct(F.col("b").alias("id"), F.when(F.col("ok"), F.col("a")).otherwise(F.col("b")).alias("label")))).alias("x"))
+    members = members.groupBy("bucket", "x.id").agg(F.min("x.label").alias("label"))
+    sized = members.join(texts.select("id", F.octet_length("text").alias("size")), "id")
+    groups = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("size") / PIECE_BYTES)).cast("int").alias("groups"))
+    rows = members.join(groups, "bucket").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = rows.select("bucket", F.least("group", "other").alias("g1"), F.greatest("group", "other").alias("g2"), "id", "label", "group")
+    rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "label", "group", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple | None = None
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            at = 0
-            for i, key in enumerate(keys):
-                if last is not None and key != last:
-                    if i > at:
-                        held.append(batch.slice(at, i - at))
-                    yield from compare(held)
-                    held, at = [], i
-                last = key
-            held.append(batch.slice(at))
-        yield from compare(held)
-
-    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        ids, label, group = t["id"].to_numpy(), t["component"].to_numpy(), t["group"].to_numpy()
-        words, bucket, cross = t["text"].to_pylist(), t["bucket"][0].as_py(), t["g1"][0].as_py() != t["g2"][0].as_py()
-        signature, band_keys = kernel.sign(words)
-        band_keys = bucket_of(band_keys, slots).view(np.int64)
-        floor = least - 3.3 * float(np.sqrt(least * (1 - least) / signature.shape[1]))
-        lefts, rights, scores = [], [], []
-        for i in range(len(ids) - 1):
-            rest = np.arange(i + 1, len(ids))
-            rest = rest[(label[rest] != label[i]) & ((group[rest] != group[i]) if cross else True)]
-            if not len(rest):
-                continue
-            score = (signature[rest] == signature[i]).mean(1)
-            rest, score = rest[score >= floor], score[score >= floor]
-            same = band_keys[rest] == band_keys[i]
-            own = band_keys[i][same.argmax(1)] == bucket
-            lefts.append(np.full(int(own.sum()), i))
-            rights.append(rest[own])
-            scores.append(score[own])
-        if not lefts:
+        for table in regathered(batches, 3, 1):
+            yield from compare(table)
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, group, n = t["id"].to_numpy(), t["group"].to_numpy(), t.num_rows
+        _, at = np.unique(np.concatenate([ids, t["label"].to_numpy()]), return_inverse=True)
+        root = np.arange(int(at.max()) + 1)
+
+        def join(x: int, y: int) -> bool:
+            x, y = root[x], root[y]
+            if x != y:
+                root[root == x] = y
+            return x != y
+
+        for x, y in zip(at[:n], at[n:], strict=True):
+            join(x, y)
+        label = root[at[:n]]
+        cross = t["g1"][0].as_py() != t["g2"][0].as_py()
+        rest = np.flatnonzero(label != np.argmax(np.bincount(label)))
+        if not len(rest):
             return
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        order = np.argsort(-np.concatenate(scores), kind="stable")
-        left, right = left[order], right[order]
-        _, now = np.unique(label, return_inverse=True)
-        links = []
-        while len(left):
-            a, b = left[:CHUNK], right[:CHUNK]
-            good = kernel.similarities([words[i] for i in a], [words[i] for i in b]) >= least
-            for i, j in zip(a[good], b[good], strict=True):
-                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                now[now == now[j]] = now[i]
-            left, right = left[CHUNK:], right[CHUNK:]
-            apart = now[left] != now[right]
-            left, right = left[apart], right[apart]
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_PAIRS)
-
-    slots, n = slots_for(shared), int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = []
+        for left, right in similar_pairs(*kernel.elements(t["text"].to_pylist()), rest, n, least):
+            new = (label[left] != label[right]) & ((group[left] != group[right]) if cross else True)
+            found += [(ids[i], ids[j]) for i, j in zip(left[new], right[new], strict=True) if join(at[i], at[j])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], schema=_PAIRS)
+
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")

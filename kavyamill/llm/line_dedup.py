@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
-from kavyamill.llm.common import checkpointed, mix
+from kavyamill.llm.common import checkpointed, cuts, mix
 
 #: Characters of a shingle, least Jaccard similarity, and least characters of a compared line unless the caller sets it.
 SHINGLE, SIMILARITY, MIN_CHARS = 8, 0.8, 24
@@ -22,6 +23,8 @@ BINS = BANDS * ROWS
 BLOCK = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(2**64 - 1)
+_BIN_SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 
 
 def compared(line: str, shortest: int = MIN_CHARS) -> bool:
@@ -35,33 +38,41 @@ def line_id(line: str) -> int:
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and line of each character shingle; each line has SHINGLE characters or more."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    length = np.array([len(x) for x in lines])
-    h = np.zeros(max(len(codes) - SHINGLE + 1, 0), np.uint64)
-    for j in range(SHINGLE):
-        h = h * _STEP + codes[j : j + len(h)]
-    owner = np.repeat(np.arange(len(lines)), length)
-    inside = np.flatnonzero(owner[: len(h)] == owner[SHINGLE - 1 :])
+    h, width = codes, 1
+    while width < SHINGLE:  # hashes of neighbouring stretches make that of the two
+        left = h[:-width] * np.uint64(pow(int(_STEP), width, 1 << 64))
+        left += h[width:]
+        h, width = left, 2 * width
+    end = np.cumsum([len(x) for x in lines])
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), np.diff(end, prepend=0))[: len(h)]
+    inside = np.ones(len(h), bool)
+    for j in range(1, SHINGLE):
+        inside[end[:-1] - j] = False
     return mix(h[inside]), owner[inside]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash: the least hash in each bin; an empty bin borrows from one that its number leads to."""
     h, owner = shingles(lines)
-    out = np.full(len(lines) * BINS, np.uint64(2**64 - 1))
-    np.minimum.at(out, owner * BINS + (h >> np.uint64(32)).astype(np.int64) % BINS, h)
+    out = np.full(len(lines) * BINS, _NONE)
+    np.minimum.at(out, owner.astype(np.int64) * BINS + (h >> _BIN_SHIFT).astype(np.int64), h)
     out = out.reshape(-1, BINS)
-    full = out != np.uint64(2**64 - 1)
-    row, col = np.nonzero(~full)
+    row, col = np.nonzero(out == _NONE)
     donor, turn = out.copy(), 0
     while len(row):
         turn += 1
-        at = (mix(col.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(turn)) % np.uint64(BINS)).astype(np.int64)
-        found = full[row, at]
-        out[row[found], col[found]] = mix(donor[row[found], at[found]] + np.uint64(turn))
+        value = donor[row, _donors(turn)[col]]
+        found = value != _NONE
+        out[row[found], col[found]] = mix(value[found] + np.uint64(turn))
         row, col = row[~found], col[~found]
     return out
 
 
+@cache
+def _donors(turn: int) -> np.ndarray:
+    return (mix(np.arange(BINS, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(turn)) % np.uint64(BINS)).astype(np.int64)
+
+
 def buckets(signature: np.ndarray) -> np.ndarray:
     values = signature.reshape(len(signature), BANDS, ROWS)
     h = np.zeros((len(signature), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
@@ -88,14 +99,10 @@ def similarities(left: list[str], right: list[str]) -> np.ndarray:
 
 
 class Kernel:
-    """Signatures and similarities of lines, for the second comparison."""
-
-    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        signature = np.concatenate([signatures(texts[at : at + 512]) for at in range(0, len(texts), 512)])
-        return signature, buckets(signature)
+    """The shingle sets of lines, for the second comparison."""
 
-    def similarities(self, left: list[str], right: list[str]) -> np.ndarray:
-        return similarities(left, right)
+    def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return shingles(texts)
 
 
 def occurrences(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
@@ -152,12 +159,12 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part.select([0, 1]).filter(pa.array(similarities(part.column(2).to_pylist(), part.column(3).to_pylist()) >= least))
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for at, to in cuts([len(x) + len(y) for x, y in zip(left, right, strict=True)], BLOCK):
+                yield batch.slice(at, to - at).select([0, 1]).filter(pa.array(similarities(left[at:to], right[at:to]) >= least))
 
-    left = pairs.join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    full = left.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a")
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -168,10 +175,9 @@ def removed_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MI
     shared = checkpointed(shared_buckets(line_buckets(docs, shortest)))
     pairs = shared.select("a", "b").distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = checkpointed(line_texts(docs, lines.join(ends, "line").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]))
+    texts = checkpointed(line_texts(docs, lines.join(ends, "line").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]).withColumnRenamed("line", "id"))
     links = checkpointed(verified(pairs, texts, least))
-    more = second_links(shared, classes(links), texts.withColumnRenamed("line", "id"), Kernel(), least)
-    found = classes(links.unionByName(more))
+    found = classes(links.unionByName(second_links(shared, links, texts, Kernel(), least)))
     named = lines.join(found.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
     named = named.withColumn("class_line", F.coalesce("component", "line"))
     heads = named.groupBy("class_line").agg(F.min("first").alias("head"))

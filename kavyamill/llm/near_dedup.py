@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
-from kavyamill.llm.common import Texts, checkpointed, mix, shingle_hashes, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, cuts, mix, shingle_hashes, text_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at SIMILARITY meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-4.
@@ -105,19 +105,12 @@ def similarities(t: Texts) -> np.ndarray:
 
 
 class Kernel:
-    """Signatures and similarities of texts, for the second comparison."""
+    """The weight units of texts' shingles, for the second comparison."""
 
-    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for at in range(0, len(texts), 256):
-            t = Texts.of(texts[at : at + 256])
-            shingle, text = elements(t)
-            parts.append(dart_minhash(regions(shingle, text), text, t.n))
-        signature = np.concatenate(parts)
-        return signature, buckets(signature)
-
-    def similarities(self, left: list[str], right: list[str]) -> np.ndarray:
-        return similarities(Texts.of([x for pair in zip(left, right, strict=True) for x in pair]))
+    def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        shingle, text = elements(Texts.of(texts))
+        order = np.argsort(text, kind="stable")
+        return regions(shingle, text)[order], text[order]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -141,15 +134,10 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            part, size, at = [], 0, 0
-            for i, (x, y) in enumerate(both):
-                part += [x, y]
-                size += len(x) + len(y)
-                if size >= 1 << 20 or i == batch.num_rows - 1:
-                    good = pa.array(similarities(Texts.of(part)) >= least)
-                    yield batch.slice(at, i + 1 - at).select([0, 1]).filter(good)
-                    part, size, at = [], 0, i + 1
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for at, to in cuts([len(x) + len(y) for x, y in zip(left, right, strict=True)], 1 << 20):
+                good = pa.array(similarities(Texts.of([x for pair in zip(left[at:to], right[at:to], strict=True) for x in pair])) >= least)
+                yield batch.slice(at, to - at).select([0, 1]).filter(good)
 
     left = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -179,7 +167,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = shared.join(first.select(F.col("doc_id").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("doc_id").alias("b"), F.col("id").alias("y")), "b")
     shared = checkpointed(shared.select("bucket", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
     links = checkpointed(verified(shared.select("a", "b").distinct(), texts, least))
-    links = links.unionByName(checkpointed(second_links(shared, classes(links), texts, Kernel(), least)))
+    links = links.unionByName(second_links(shared, links, texts, Kernel(), least))
     copied = keys.join(copies, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     found = classes(links.unionByName(copied))
     joined = keys.select("doc_id").join(found, keys.doc_id == found.id, "left")
