@@ -201,11 +201,11 @@ def test_decontamination(spark, monkeypatch):
     docs = [(1, "foo bar. If Carol buys 7 apples for 9kg each and Dan buys 7 pears, how many apples does Carol have in total today. more"), (2, "If Carol buys 7 apples for 9 kg each and Dan buys 8 pears, how many apples does Carol have in total today"), (3, BENCH), (4, None), (5, ""), (6, "how many apples does Alice have in total today"), (7, BENCH.upper() + "!!"), (8, ("filler words go here " * 500) + BENCH + (" and more filler words" * 500)), (9, "a b c d")]
     items = spark.createDataFrame([(1, BENCH), (2, "too short an item"), (3, None)], "item_id long, text string")
     frame_of = spark.createDataFrame(docs, DOCS).withColumn("h", F.lit(1)).withColumn("item", F.lit(2))
-    wanted = {1: (True, True), 2: (False, True), 3: (True, False), 8: (True, False)}
+    wanted = {1: (True, True), 2: (False, True), 3: (True, False), 7: (True, False), 8: (True, False)}
     for most in (decontaminate.MAX_LOOKUP, 1):
         monkeypatch.setattr(decontaminate, "MAX_LOOKUP", most)
         found = {r.doc_id: (r.leak, r.changed) for r in decontaminate.leaks(frame_of, items).collect() if r.item_id == 1}
-        assert {k: v for k, v in found.items() if k != 7} == wanted
+        assert {k: v for k, v in found.items() } == wanted
     assert decontaminate.leaks(frame_of, items.where("false")).count() == 0
     assert decontaminate.leaks(frame_of.where("false"), items).count() == 0
 
