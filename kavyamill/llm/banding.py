@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import regathered
+from kavyamill.llm.common import in_arrow, regathered
 from kavyamill.llm.graph import connected_components
 
 #: Entries that are packed at once, and bytes of packed entries that a reader of slots takes at once, whole slots each time.
@@ -128,7 +128,7 @@ def shared_buckets(packed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + 65536])) for x in columns], schema=_ROWS)
 
     slots, n = slots_for(packed), int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(run, "bucket long, a long, b long")
+    return in_arrow(packed.repartition(n, "slot").sortWithinPartitions("slot"), run, "bucket long, a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -212,4 +212,4 @@ def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel:
 
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kavyamill.llm.common import in_arrow
+
 #: White_Space as the tokenizers' own regex engine has it for \s.
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that are kept at once, and the longest that is; both bound a worker's memory, not the result.
@@ -200,30 +202,32 @@ def _ready(path: str, pattern: str) -> BytePairs:
     return _READY[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): each whole text's ids (little-endian uint32) and the bytes they decode to.
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    pairs = _ready(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            ids = [pairs.encode(x or "") for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(pairs.decode, ids), pa.binary())], schema=_RESULT)
+    _READY.clear()  # a worker that waits for other tasks holds no tables
 
-    The rank file must lie at `path` on every executor. Null texts count as empty (no token); each row gives a row,
-    so repeated rows repeat; other columns are ignored; an empty table gives no rows.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _ready(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [pairs.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(pairs.decode, ids), pa.binary())], schema=_RESULT)
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hexed = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(i)], pa.string()) for i in (2, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hexed], schema=_DIGEST)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): each whole text's ids (little-endian uint32) and the bytes they decode to.
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """The ids and decoded bytes of encode() as SHA-256 in lowercase hex."""
+    The rank file must lie at `path` on every executor. Null texts count as empty (no token); each row gives a row,
+    so repeated rows repeat; texts are encoded whole, however long, in time that grows with their length; other columns
+    are ignored; an empty table gives no rows.
+    """
+    return in_arrow(docs.select("doc_id", "text"), lambda batches: _encoded(batches, path, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hexed = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(i)], pa.string()) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hexed], schema=_DIGEST)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What encode() gives, with its ids and decoded bytes as SHA-256 in lowercase hex, all in one Python worker."""
+    return in_arrow(docs.select("doc_id", "text"), lambda batches: _digested(_encoded(batches, path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels work on at once; a longer text makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: The whitespace that ends a word, [\x20\x09-\x0D].
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
@@ -37,6 +38,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """df.mapInArrow(run, ddl) whose Python workers, which Spark keeps for later tasks, give back the memory they don't use."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+                trim(0)
+
+    return df.mapInArrow(released, ddl)
+
+
 def labelled_sample(labels: DataFrame, column: str, bound: int) -> DataFrame:
     """At most `bound` labelled rows (doc_id, label), the same for any partitioning; safe to broadcast."""
     rows = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label")).dropna()

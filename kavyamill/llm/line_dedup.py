@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
-from kavyamill.llm.common import checkpointed, cuts, mix
+from kavyamill.llm.common import checkpointed, cuts, in_arrow, mix
 
 #: Characters of a shingle, least Jaccard similarity, and least characters of a compared line unless the caller sets it.
 SHINGLE, SIMILARITY, MIN_CHARS = 8, 0.8, 24
@@ -117,7 +117,7 @@ def occurrences(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no int, line long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line_no int, line long")
 
 
 def line_buckets(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
@@ -145,7 +145,7 @@ def line_buckets(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     def entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([line_id(x) for x in lines]), buckets(signatures(lines))
 
-    return docs.select("text").mapInArrow(lambda batches: packed(blocks(batches), slots), PACKED_DDL)
+    return in_arrow(docs.select("text"), lambda batches: packed(blocks(batches), slots), PACKED_DDL)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_arrow(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def removed_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MIN_CHARS) -> DataFrame:

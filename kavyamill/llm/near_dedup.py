@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
-from kavyamill.llm.common import Texts, checkpointed, cuts, mix, shingle_hashes, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, cuts, in_arrow, mix, shingle_hashes, text_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at SIMILARITY meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-4.
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 has = np.bincount(text, minlength=t.n) > 0
                 yield ids[at:to][has], buckets(dart_minhash(regions(shingle, text), text, t.n)[has])
 
-    return docs.mapInArrow(lambda batches: packed(blocks(batches), slots), PACKED_DDL)
+    return in_arrow(docs, lambda batches: packed(blocks(batches), slots), PACKED_DDL)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     left = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_arrow(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     the same doc_id, count as one document. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = checkpointed(rows.mapInArrow(text_key, "doc_id long, key binary").groupBy("doc_id").agg(F.min("key").alias("key")))
+    keys = checkpointed(in_arrow(rows, text_key, "doc_id long, key binary").groupBy("doc_id").agg(F.min("key").alias("key")))
     copies = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
     texts = rows.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
     first = keys.join(copies, "key").select("doc_id", "id")  # copies meet the same partners: only the first is compared

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kavyamill.llm.common import Texts, checkpointed, labelled_sample, mix, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, in_arrow, labelled_sample, mix, text_blocks
 
 BUCKETS = 1 << 15
 #: The mean log ratio counts for so many n-grams.
@@ -80,7 +80,7 @@ def counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         found = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(raw[found]), pa.array(target[found])], names=["bucket", "raw", "target"])
 
-    total = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    total = in_arrow(rows, run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[total["bucket"].to_numpy()], target[total["bucket"].to_numpy()] = total["raw"].to_numpy(), total["target"].to_numpy()
     if not target.sum():
@@ -102,7 +102,7 @@ def with_log_weight(rows: DataFrame, ratio: np.ndarray, name: str = "log_weight"
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight, mask=n == 0)], names=[*part.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+    return in_arrow(rows, run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
 
 def key_of(log_weight: str) -> Column:

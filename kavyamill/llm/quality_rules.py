@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import SPACE, Texts, labelled_sample, mix, record_batch, shingle_hashes, text_blocks
+from kavyamill.llm.common import SPACE, Texts, in_arrow, labelled_sample, mix, record_batch, shingle_hashes, text_blocks
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Tr
             for at, to, t in text_blocks(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(list(statistics(t)[1]), pa.list_(pa.float64())), batch.column("label").slice(at, to - at).cast(pa.int32())], names=["x", "y"])
 
-    found = sample.mapInArrow(run, "x array<double>, y int").limit(2 * most_labelled).toArrow()
+    found = in_arrow(sample, run, "x array<double>, y int").limit(2 * most_labelled).toArrow()
     y = found["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
@@ -176,4 +176,4 @@ def judge(docs: DataFrame, trees: Trees | None, cutoff: float = 0.0) -> DataFram
                 score = trees.score(x) if trees else np.zeros(t.n)
                 yield record_batch(schema, batch.column(0).slice(at, to - at).cast(pa.int64()), *counts.values(), failed, ~failed & (score >= cutoff if trees else True), score)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")

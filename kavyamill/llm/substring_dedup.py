@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import Texts, _powers, checkpointed, mix, regathered, text_blocks
+from kavyamill.llm.common import Texts, _powers, checkpointed, in_arrow, mix, regathered, text_blocks
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM
 HALF = REACH // 2
 SLOTS = 1 << 12
+#: Bytes of text whose anchors are packed at once.
+PACKED = 1 << 20
 #: Bytes of packed anchors that a reader of slots takes at once, whole slots each time.
 SLOT_BYTES = 1 << 23
 #: Bits for a place within a block of texts; longer texts are cut into pieces that overlap by LENGTH - 1 bytes.
@@ -148,7 +150,7 @@ def _with_settled(at: np.ndarray, h: np.ndarray, least: np.ndarray, begin: np.nd
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Texts]]:
     """Blocks of texts with each one's key and the place where it begins in its document."""
     keys = batch.column(0).to_numpy(zero_copy_only=False)
-    for at, to, t in text_blocks(batch, "text"):
+    for at, to, t in text_blocks(batch, "text", PACKED):
         if len(t.data) <= PIECE:
             yield keys[at:to], np.zeros(to - at, np.int64), t
         else:
@@ -201,7 +203,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("k", "text").mapInArrow(run, "slot int, h binary, context binary, proof binary, k binary, place binary, twice binary")
+    return in_arrow(docs.select("k", "text"), run, "slot int, h binary, context binary, proof binary, k binary, place binary, twice binary")
 
 
 def _equal_contexts(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,7 +245,7 @@ def repeated(packed: DataFrame) -> DataFrame:
         yield _found(k[ask], np.full(int(ask.sum()), ASK), h[ask].view(np.int64), place[ask], full[ask].astype(np.int64))
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(run, _FOUND)
+    return in_arrow(packed.repartition(n, "slot").sortWithinPartitions("slot"), run, _FOUND)
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -409,7 +411,7 @@ def compared(context: DataFrame) -> DataFrame:
             yield _found(table["k"].to_numpy()[who], np.full(len(who), RECUR), np.zeros(len(who), np.int64), place[who] - d2, place[who] - d1)
 
     n = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return context.repartition(n, "part", "side").sortWithinPartitions("part", "side").select("part", "side", "k", "place", "settled", "before", "bytes").mapInArrow(run, _FOUND)
+    return in_arrow(context.repartition(n, "part", "side").sortWithinPartitions("part", "side").select("part", "side", "k", "place", "settled", "before", "bytes"), run, _FOUND)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -468,7 +470,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raws), pa.int64()), pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64()), pa.array([x[0] for x in cut], pa.binary())], schema=schema)
 
     joined = rows.join(removed_spans(rows), "k", "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_arrow(joined.select("doc_id", "text", "starts"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(cut: DataFrame) -> DataFrame:
@@ -479,4 +481,4 @@ def digests(cut: DataFrame) -> DataFrame:
             hexed = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(4)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], hexed], schema=schema)
 
-    return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(cut, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -244,7 +244,7 @@ def test_held_out_accuracy(spark, sf):
 def test_bpe_rows(spark):
     import public_tokenizers as public
 
-    rows = byte_bpe.digests(byte_bpe.encode(frame(spark, ["", None, "ab", "ab", "é" * 70000]), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)).collect()
+    rows = byte_bpe.encode_digests(frame(spark, ["", None, "ab", "ab", "é" * 70000]), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
     by = {r.doc_id: r for r in rows}
     assert by[0].n_tokens == by[1].n_tokens == 0 and by[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[2].ids_sha256 == by[3].ids_sha256 and by[4].decoded_sha256 == hashlib.sha256(("é" * 70000).encode()).hexdigest()
