@@ -261,11 +261,11 @@ def ascii_fold(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for an empty text."""
-    chars = F.split(text, "")
+    """Shannon entropy of the characters, in bits; 0 for an empty text. Sorted, equal characters make one run each."""
     n = F.length(text)
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(n > 0, -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + share(c) * F.log2(share(c)))).otherwise(F.lit(0.0))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    shares = F.transform(runs, lambda run: F.length(run) / n)
+    return F.when(n > 0, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(F.lit(0.0))
 
 
 def safe_name(text: Column) -> Column:

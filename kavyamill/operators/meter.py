@@ -164,7 +164,7 @@ def candidates(units: DataFrame, tradition: str = "auto", include_near: bool = T
     Near matches, three at most, only where nothing exact nor a śloka is found; Vedic ones if asked for, or in auto
     without an exact classical one; partial ones where there is nothing else.
     """
-    v = verses(units if "asked" in units.columns else units.withColumn("asked", F.lit(tradition))).cache()  # read by five branches
+    v = verses(units if "asked" in units.columns else units.withColumn("asked", F.lit(tradition)))  # read by five branches, which share its exchange
     by_verse = Window.partitionBy("verse_id")
     found = varna(v).unionByName(upajati(v)).unionByName(counted(v)).unionByName(vedic(v)).unionByName(partial(v))
     classical, is_vedic = F.col("tradition") == "classical", F.col("tradition") == "vedic"

@@ -99,8 +99,8 @@ _LINES = f"SELECT doc_id, unnest(generate_series(0, len(w) // 11 - 1)) AS line,
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))
-    lines = F.when(F.length("p") >= 11, F.sequence(F.lit(0), F.floor(F.length("p") / 11).cast("int") - 1))
-    return docs.select("doc_id", "p", F.explode(lines).alias("line")).select("doc_id", F.col("line").cast("long").alias("line"), F.substr(F.col("p"), F.col("line") * 11 + 1, F.lit(11)).alias("pattern"))
+    runs = docs.select("doc_id", F.posexplode(F.regexp_extract_all("p", F.lit("(.{11})"), F.lit(1))).alias("line", "pattern"))
+    return runs.withColumn("line", F.col("line").cast("long"))
 
 
 @query(f"WITH l AS (SELECT doc_id, line, array_to_string(w[line * 11 + 1:line * 11 + 11], '') AS pattern FROM ({_LINES})) SELECT doc_id, CAST(line AS BIGINT) AS line, pattern, c.id AS meter_id FROM l JOIN {_catalog_values().replace('AS t(', 'AS c(')} ON c.n = 11 AND left(l.pattern, 10) = left(c.p, 10)")
@@ -132,8 +132,8 @@ def meter_near_top3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH l AS (SELECT doc_id, unnest(generate_series(0, len(w) // 8 - 1)) AS pada, w FROM (SELECT doc_id, {LG} AS w FROM documents)), p AS (SELECT doc_id, pada, array_to_string(w[pada * 8 + 1:pada * 8 + 8], '') AS x FROM l) SELECT doc_id, CAST(pada AS BIGINT) AS pada, CASE WHEN pada % 2 = 1 THEN 'even-pāda cadence' WHEN x[5:7] = 'LGG' THEN 'pathyā' WHEN x[2:7] = 'GLGGGG' THEN 'ma-vipulā' WHEN x[2:7] IN ('GLGGLL', 'GGGGLL') THEN 'bha-vipulā' WHEN x[4:7] = 'GLLL' THEN 'na-vipulā' WHEN x[4:7] = 'GGLG' THEN 'ra-vipulā' ELSE 'unclassified odd-pāda cadence' END AS subtype, CAST((x[2:3] = 'LL')::INT + CASE WHEN pada % 2 = 1 THEN (x[2:4] = 'GLG')::INT + (x[5:7] <> 'LGL')::INT ELSE (NOT (x[5:7] = 'LGG' OR x[2:7] IN ('GLGGGG', 'GLGGLL', 'GGGGLL') OR x[4:7] IN ('GLLL', 'GGLG')))::INT END AS BIGINT) AS problems FROM p")
 def sloka_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))
-    padas = docs.select("doc_id", "p", F.explode(F.when(F.length("p") >= 8, F.sequence(F.lit(0), F.floor(F.length("p") / 8).cast("int") - 1))).alias("pada"))
-    scan = padas.withColumn("s", M.sloka_pada(F.substr(F.col("p"), F.col("pada") * 8 + 1, F.lit(8)), F.col("pada") % 2 == 1))
+    padas = docs.select("doc_id", F.posexplode(F.regexp_extract_all("p", F.lit("(.{8})"), F.lit(1))).alias("pada", "x"))
+    scan = padas.withColumn("s", M.sloka_pada(F.col("x"), F.col("pada") % 2 == 1))
     return scan.select("doc_id", F.col("pada").cast("long").alias("pada"), "s.subtype", F.col("s.problems").cast("long").alias("problems"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kavyamill.functions import prosody as P
@@ -39,8 +39,9 @@ def lg_final_guru(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH w AS (SELECT doc_id, unnest({LG}) AS w, generate_subscripts({LG}, 1) - 1 AS i FROM documents) SELECT doc_id, CAST(i AS BIGINT) AS idx, CAST(i // 8 AS BIGINT) AS pada, CAST(i % 8 AS BIGINT) AS pos, w AS weight, i = max(i) OVER (PARTITION BY doc_id) AS is_last, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next_weight FROM w")
 def syllable_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", P.weights(P.letters(F.col("text"))).alias("w"))
-    rows = docs.select("doc_id", F.size("w").alias("n"), "w", F.posexplode("w").alias("i", "weight"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("idx"), F.floor(F.col("i") / 8).alias("pada"), (F.col("i") % 8).cast("long").alias("pos"), "weight", (F.col("i") == F.col("n") - 1).alias("is_last"), F.get("w", F.col("i") + 1).alias("next_weight"))
+    pairs = F.transform("w", lambda w, i: F.struct(w.alias("weight"), F.get("w", i + 1).alias("next_weight")))  # no row holds the array
+    rows = docs.select("doc_id", F.size("w").alias("n"), pairs.alias("pairs")).select("doc_id", "n", F.posexplode("pairs").alias("i", "x"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("idx"), F.floor(F.col("i") / 8).alias("pada"), (F.col("i") % 8).cast("long").alias("pos"), "x.weight", (F.col("i") == F.col("n") - 1).alias("is_last"), "x.next_weight")
 
 
 @query(f"WITH w AS (SELECT doc_id, len({LG}) AS n FROM documents), p AS (SELECT doc_id, n, unnest(generate_series(0, n - 1)) AS i FROM w), q AS (SELECT doc_id, n, i, least(11, n - i // 11 * 11) AS plen FROM p) SELECT doc_id, CAST(i AS BIGINT) AS idx, CAST(i // 11 AS BIGINT) AS pada_idx, CAST(i % 11 AS BIGINT) AS pos, round_even((i % 11)::DOUBLE / greatest(1, plen - 1), 3) AS pos_norm, (i % 11 + 1) IN (4, 7) AS yati_end FROM q")
@@ -83,15 +84,20 @@ def meter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH w AS (SELECT doc_id, {LG} AS w FROM documents), s AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w), m AS (SELECT doc_id, sum(CASE w WHEN 'G' THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS m FROM s) SELECT doc_id, CAST(count(*) FILTER (WHERE m % 12 = 0) AS BIGINT) AS boundaries, CAST(max(m) AS BIGINT) AS matras FROM m GROUP BY doc_id")
 def matra_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the running mātrā count falls on a multiple of twelve."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.weights(P.letters(F.col("text")))).alias("i", "w"))
-    running = F.sum(F.when(F.col("w") == "G", 2).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("i"))
-    return docs.select("doc_id", running.alias("m")).groupBy("doc_id").agg(F.count_if(F.col("m") % 12 == 0).alias("boundaries"), F.max("m").alias("matras"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", P.weights(P.letters(F.col("text"))).alias("w")).select("doc_id", "w")
+    step = lambda s, w: F.struct((s["m"] + F.when(w == "G", 2).otherwise(1)).alias("m"), (s["n"] + ((s["m"] + F.when(w == "G", 2).otherwise(1)) % 12 == 0).cast("long")).alias("n"))
+    folded = docs.select("doc_id", F.size("w").alias("size"), F.aggregate("w", F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n")), step).alias("s"))
+    return folded.where("size > 0").select("doc_id", F.col("s.n").alias("boundaries"), F.col("s.m").alias("matras"))
 
 
 @query("WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM w THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM a)), n AS (SELECT doc_id, g, count(*) AS n FROM r GROUP BY ALL) SELECT doc_id, CAST(max(n) AS BIGINT) AS mono FROM n GROUP BY doc_id")
 def run_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of one word."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    marked = words.withColumn("new", F.when(F.col("w").eqNullSafe(F.lag("w").over(w)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
-    return marked.groupBy("doc_id", "g").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("mono"))
+    words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("words"))
+
+    def step(state, word):
+        run = F.when(word.eqNullSafe(state["last"]), state["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(word.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"))
+    return words.select("doc_id", F.aggregate("words", start, step, lambda s: s["most"]).alias("mono"))
