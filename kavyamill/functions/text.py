@@ -263,9 +263,10 @@ def ascii_fold(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits; 0 for an empty text. Sorted, equal characters make one run each."""
     n = F.length(text)
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
-    shares = F.transform(runs, lambda run: F.length(run) / n)
-    return F.when(n > 0, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(F.lit(0.0))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    # -sum(k/n log k/n) = log n - sum(k log k) / n, so that n is not counted again for each run
+    weighted = F.aggregate(runs, F.lit(0.0), lambda a, run: a + F.length(run) * F.log2(F.length(run)))
+    return F.when(n > 0, F.log2(n) - weighted / n).otherwise(F.lit(0.0))
 
 
 def safe_name(text: Column) -> Column:
