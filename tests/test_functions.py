@@ -89,3 +89,13 @@ def test_word_weights(spark):
     assert [tuple(x) for x in found] == [("sarvasya", "GGL"), ("cāhaṁ", "GG"), ("hṛdi", "LL"), ("sanniviṣṭo", "GLGG")]
     urls = df.select(V.source_url(F.lit("the Book of Feet, 2"), {"Book": "u:1", "Feet": "u:2"}).alias("a"), V.source_url(F.lit("x"), {"Book": "u:1"}).alias("b")).first()
     assert tuple(urls) == ("u:1", None)
+
+
+def test_unit_helpers(spark):
+    from kavyamill.functions import units as U
+
+    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    pair = lambda roman, deva: U.deva_clusters_match(F.array(*map(F.lit, roman)), F.lit(deva))
+    r = spark.range(1).select(U.map_put(m, F.lit("a"), F.lit(9)).alias("put"), U.map_delete(m, F.lit("b")).alias("deleted"), pair(["dhar", "ma"], "धर्म").alias("same"), pair(["dhar"], "धर्म").alias("other"), U.first_known(F.lit(None).cast("string"), F.lit(""), F.lit("x")).alias("known"), U.spread(F.array(F.lit(1.0), F.lit(9.0)), F.array(F.lit(2), F.lit(0))).alias("parts"), U.duration_budget(F.lit(1.0), F.lit(3), F.lit(0.0)).alias("none")).first()
+    assert r.put == {"a": 9, "b": 2} and r.deleted == {"a": 1} and r.known == "x" and r.parts == [1.0, 1.0] and r.none is None
+    assert [tuple(x) for x in r.same] == [("dhar", "ध"), ("ma", "र्म")] and r.other is None
