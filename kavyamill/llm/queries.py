@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kavyamill.llm import byte_bpe, decontaminate, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from kavyamill.llm.common import table
@@ -31,6 +32,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator on all pages with made redirects, as the tables hold none: chains of seven pages, each redirected to the
+    page before it."""
+    pages = table(spark, sf_dir, "pages")
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
+    redirects = pages.where("page_id % 7 <> 0").join(before, "page_id").select("url", "target")
+    return url_filter.judge(pages, redirects=redirects).select("page_id", "host", "path", "rule", "verdict", "alias_verdict")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup(table(spark, sf_dir, "documents")))
 
@@ -51,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, url_aliases, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate)}
 
 
 def _op1_sql() -> str:
@@ -71,17 +81,35 @@ def _op1_sql() -> str:
         SELECT doc_id, license_id, max(share) AS containment, CAST(count(*) AS BIGINT) AS n_windows, CAST(min(start) AS BIGINT) AS first_word FROM m WHERE share >= 0.8 GROUP BY doc_id, license_id"""
 
 
-def _op5_sql() -> str:
-    """Rules by the longest that fits. The tables' html has no canonical link and no refresh, so no url has an alias."""
+def _rules_sql() -> tuple[str, str]:
     fits = []
     for rule in sorted(url_filter.RULES, key=lambda x: (-len(x), x)):
         host, slash, rest = rule.partition("/")
         fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}') THEN '{rule}'")
-    verdicts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in url_filter.RULES.items())
+    return " ".join(fits), " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in url_filter.RULES.items())
+
+
+def _op5_sql() -> str:
+    """Rules by the longest that fits. The tables' html has no canonical link and no refresh, so no url has an alias."""
+    fits, verdicts = _rules_sql()
     return f"""
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-        r AS (SELECT *, CASE {" ".join(fits)} END AS rule FROM p)
+        r AS (SELECT *, CASE {fits} END AS rule FROM p)
         SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE 'allow' END AS verdict FROM r"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_url_filter": _op5_sql()}
+def _aliases_sql() -> str:
+    """Rules as above; aliases by reachability over the redirects in both directions."""
+    fits, verdicts = _rules_sql()
+    return f"""
+        WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, regexp_extract(url, '^.*?://[^#]*?([?][^#]*)', 1, 's') AS query FROM pages),
+        r AS (SELECT page_id, host, path, host || path || query AS key, CASE {fits} END AS rule FROM p),
+        o AS (SELECT *, CASE rule {verdicts} END AS own FROM r),
+        e AS (SELECT a.key AS x, b.key AS y FROM o a JOIN o b ON a.page_id = b.page_id + 1 WHERE a.page_id % 7 <> 0 AND a.key <> b.key),
+        both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+        reach AS (SELECT x, x AS y FROM both_ways UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x),
+        fate AS (SELECT x AS key, min(own) AS alias_verdict FROM reach JOIN (SELECT DISTINCT key AS y, own FROM o) k USING (y) GROUP BY x)
+        SELECT page_id, host, path, rule, coalesce(own, alias_verdict, 'allow') AS verdict, alias_verdict FROM o LEFT JOIN fate USING (key)"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_url_filter": _op5_sql(), "url_aliases": _aliases_sql()}

@@ -322,3 +322,68 @@ def test_decontamination_of_names_and_values(spark, monkeypatch):
         found = {(r.doc_id, r.item_id): (r.leak, r.changed) for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), items).collect()}
         assert {k for k, (leak, _) in found.items() if leak} >= {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
         assert all(found[k][1] for k in [(1, 1), (2, 1), (3, 2)]) and not any(d == 8 for d, _ in found)
+
+
+def test_aliases_against_recursive_sql(spark, sf):
+    import duckdb
+
+    from kavyamill.llm import queries
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    wanted = duckdb.sql(queries.ORACLES["url_aliases"].replace("FROM pages", f"FROM '{sf}/pages.parquet'")).fetchall()
+    found = list(map(tuple, queries.url_aliases(spark, sf).collect()))
+    assert sorted(found, key=repr) == sorted(wanted, key=repr) and any(x[3] is None and x[4] == "block" for x in found)
+
+
+def test_equal_keys_of_byte_and_class():
+    """Contexts that differ only one byte before their anchors, of two kinds to the right, are told apart at every distance."""
+    rng = random.Random(11)
+    made = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    rights, left = [made(400) for _ in range(120)], made(199)
+    parts = [left + bytes([97 + i % 26]) + rights[(i * 7 + i // 26) % 120] for i in range(400)]
+    before = np.full(len(parts), 200)
+    found = substring_dedup.recurring(np.zeros(len(parts), np.int64), before, parts)
+    for d in (0, 1, 2, 77, 100, 199, 200):
+        count = collections.Counter(x[200 - d : 600 - d] for x in parts)
+        assert found[:, d].tolist() == [count[x[200 - d : 600 - d]] > 1 for x in parts], d
+
+
+def test_similar_pairs_against_sets(monkeypatch):
+    from kavyamill.llm import banding
+
+    monkeypatch.setattr(banding, "COLUMNS", 7)
+    monkeypatch.setattr(banding, "PIECE", 5)
+    rng = random.Random(12)
+    sets = [{rng.randrange(40) for _ in range(rng.randrange(0, 30))} for _ in range(30)]
+    sets += [set(sets[3]), set(sets[4]) | {99}]
+    h = np.array([x for s in sets for x in s], np.uint64)
+    owner = np.array([i for i, s in enumerate(sets) for _ in s])
+    rows = np.array([0, 3, 4, 5, 9, 31])
+    found = {(int(i), int(j)) for left, right in banding.similar_pairs(h, owner, rows, len(sets), 0.5) for i, j in zip(left, right, strict=True)}
+    assert found == {(i, j) for i in rows.tolist() for j in range(len(sets)) if sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
+
+
+def test_recall_of_reworded_parameters(spark):
+    """Questions with other names, numbers, units and letter case, each inside other text."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    names = ["Alice", "Bob", "Natalia", "Mary Ann", "O'Brien", "McDonald"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items, docs = [], []
+    for i in range(40):
+        middle = [some(rng.randrange(5, 12)) for _ in range(4)]
+
+        def made(name: str, n: int, unit: str, middle=middle) -> str:
+            return f"{name} {middle[0]} {n} {unit} {middle[1]}. {middle[2]} {name} {middle[3]} {n} {unit}?"
+
+        first = made(rng.choice(names[:3]), rng.randrange(2, 900), rng.choice(["km", "kg", "dollars"]))
+        items.append((i, first))
+        other = made(rng.choice(names), rng.randrange(2, 900), rng.choice(["mi", "lb", "euros"]))
+        for j, text in enumerate((other, first.lower(), first.upper(), first)):
+            docs.append((10 * i + j, f"{some(30)}. {text} {some(20)}"))
+        docs.append((10 * i + 9, some(60)))
+    rows = decontaminate.leaks(spark.createDataFrame(docs, DOCS).repartition(4), spark.createDataFrame(items, "item_id long, text string")).where("leak").collect()
+    found = {r.doc_id for r in rows if r.doc_id // 10 == r.item_id}
+    for j in range(4):
+        assert sum(10 * i + j in found for i in range(40)) >= 38, j
+    assert not any(r.doc_id % 10 == 9 for r in rows)
