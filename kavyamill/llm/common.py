@@ -58,6 +58,11 @@ def labelled_sample(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def one_a_document(rows: DataFrame) -> DataFrame:
+    """The least row of each doc_id: of a labelled sample, no more rows than labels."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*(x for x in rows.columns if x != "doc_id"))).alias("least")).select("doc_id", "least.*")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     h = h ^ (h >> np.uint64(30))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kavyamill.llm.common import Texts, checkpointed, in_arrow, labelled_sample, mix, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, in_arrow, labelled_sample, mix, one_a_document, text_blocks
 
 BUCKETS = 1 << 15
 #: The mean log ratio counts for so many n-grams.
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_sh
     ratio = counts(docs, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "label")
     scored = checkpointed(with_log_weight(rows, ratio).select("doc_id", "log_weight", key_of("log_weight").alias("key"), "label"))
-    judged = scored.where("label is not null and log_weight is not null").select("log_weight", "label").limit(2 * most_labelled).toArrow()
+    judged = one_a_document(scored.where("label is not null and log_weight is not null").select("doc_id", "log_weight", "label")).toArrow()
     weight, good = judged["log_weight"].to_numpy(), judged["label"].to_numpy() == 1
     if not good.any():
         return ratio, scored, -np.inf

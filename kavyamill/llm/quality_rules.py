@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import SPACE, Texts, in_arrow, labelled_sample, mix, record_batch, shingle_hashes, text_blocks
+from kavyamill.llm.common import SPACE, Texts, in_arrow, labelled_sample, mix, one_a_document, record_batch, shingle_hashes, text_blocks
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -150,9 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, t in text_blocks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(t)[1]), pa.list_(pa.float64())), batch.column("label").slice(at, to - at).cast(pa.int32())], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).cast(pa.int64()), pa.array(list(statistics(t)[1]), pa.list_(pa.float64())), batch.column("label").slice(at, to - at).cast(pa.int32())], names=["doc_id", "x", "y"])
 
-    found = in_arrow(sample, run, "x array<double>, y int").limit(2 * most_labelled).toArrow()
+    found = one_a_document(in_arrow(sample, run, "doc_id long, x array<double>, y int")).toArrow()
     y = found["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None

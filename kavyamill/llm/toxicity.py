@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import Texts, in_arrow, labelled_sample, mix, record_batch, text_blocks
+from kavyamill.llm.common import Texts, in_arrow, labelled_sample, mix, one_a_document, record_batch, text_blocks
 
 GRADES = 4
 #: Marker words of a toxic row from which its grade is 2, and 3.
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Or
                 parts = np.split(bucket.astype("<u4"), np.searchsorted(text, np.arange(1, t.n)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), batch.column("label").slice(at, to - at).cast(pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "y", "x"])
 
-    found = in_arrow(sample, run, "doc_id long, y int, x binary").limit(2 * most_labelled).toArrow().sort_by("doc_id")
+    found = one_a_document(in_arrow(sample, run, "doc_id long, y int, x binary")).toArrow().sort_by("doc_id")
     y = found["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
