@@ -136,7 +136,7 @@ def _screened(docs: DataFrame, runs: DataFrame) -> DataFrame:
         # No filter on what is computed: pushed below, it would compute it twice.
         rows = rows.select("doc_id", "text", F.explode_outer(held).alias("at")).where("at is not null").select("doc_id", "text")
     else:
-        hashes = F.concat(*(F.transform(_runs(F.col("words"), F.sequence(F.lit(0), F.size("words") - 1), n), F.xxhash64) for n in lengths))
+        hashes = F.concat(*(F.transform(_runs(F.col("words"), F.sequence(F.lit(0), F.size("words") - 1), n), lambda g: F.xxhash64(g)) for n in lengths))
         keyed = docs.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", F.explode_outer(F.array_distinct(hashes)).alias("h"))
         rows = docs.select("doc_id", "text").join(keyed.join(runs.select("h").distinct(), "h", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
     return checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
