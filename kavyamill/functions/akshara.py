@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def _sounds(text: Column) -> Column:
     return F.when(text.rlike("[ऀ-ॿ]"), P.letters(X.deva_to_slp1(text))).otherwise(P.canonical_iast(roman))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def judge(text: Column, following: Column | None = None, pada_final: Column | None = None) -> Column:
     """(valid, reason, onset, vowel, mark, coda, weight, matras, rule, authority, position_sensitive, anceps, pluta).
 
@@ -38,34 +45,41 @@ def judge(text: Column, following: Column | None = None, pada_final: Column | No
     """
     following = F.lit(None).cast("string") if following is None else following
     bare = F.regexp_replace(F.trim(text), "[’'ऽ]", "")
-    digits = F.length(F.regexp_replace(bare, "[^3३]", ""))
-    s = _sounds(F.regexp_replace(bare, "[3३]", ""))
-    to_digit = _sounds(F.regexp_replace(bare, "[3३].*$", ""))
-    vowels = F.length(F.regexp_replace(s, f"[^{P.VOWELS}]", ""))
-    reason = (
-        F.when(bare == "", "empty")
-        .when(bare.rlike(r"[\s\-|।॥]"), "break")
-        .when(bare.rlike("[ऀ-ॿ]") & bare.rlike(r"\p{IsLatin}"), "mixed-script")
-        .when(digits > 1, "several-plutas")
-        .when(P.unknown_characters(s) != "", "unknown-character")
-        .when((vowels == 0) & s.rlike("[MH]"), "mark-alone")
-        .when(vowels == 0, "no-vowel")
-        .when(vowels > 1, "several-vowels")
-        .when(s.rlike(f"^{_CONSONANT}*[MH]"), "mark-first")
-        .when(s.rlike(f"[^{P.VOWELS}][MH]"), "mark-apart")
-        .when((digits == 1) & ~to_digit.rlike(f"^{_CONSONANT}*[{P.VOWELS}]$"), "pluta-apart")
-    )
-    shape = f"^({_CONSONANT}*)([{P.VOWELS}])([MH]?)({_CONSONANT}*)$"
-    part = lambda i: F.when(reason.isNull(), F.regexp_extract(s, shape, i))
     opening = F.length(F.regexp_extract(_sounds(F.regexp_replace(following, r"(?s)[|।॥\n].*$", "")), f"^([^{P.VOWELS}MH?]*)", 1))
-    rule = F.when(digits == 1, "pluta-guru").when(part(2).isin(*P.LONG), "dirgha-guru").when(part(3) != "", "mark-guru").when(part(4) != "", "closed-guru").when(opening >= 2, "position-guru").otherwise("hrasva-laghu")
-    rule = F.when(reason.isNull(), rule)
-    authority = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), rule)
-    return F.when(
-        text.isNotNull(),
-        F.struct(
-            reason.isNull().alias("valid"), reason.alias("reason"), part(1).alias("onset"), part(2).alias("vowel"), part(3).alias("mark"), part(4).alias("coda"),
-            F.when(rule == "hrasva-laghu", "laghu").when(rule.isNotNull(), "guru").alias("weight"), F.when(rule == "pluta-guru", 3).when(rule == "hrasva-laghu", 1).when(rule.isNotNull(), 2).alias("matras"), rule.alias("rule"), authority.alias("authority"),
-            F.when(reason.isNull(), (rule == "hrasva-laghu") & following.isNull()).alias("position_sensitive"), F.when(reason.isNull(), F.lit(False) if pada_final is None else F.coalesce(pada_final, F.lit(False))).alias("anceps"), F.when(reason.isNull(), digits == 1).alias("pluta"),
-        ),
-    )
+
+    def heard(b: Column) -> Column:
+        return F.struct(b.alias("bare"), F.length(F.regexp_replace(b, "[^3३]", "")).alias("digits"), _sounds(F.regexp_replace(b, "[3३]", "")).alias("s"), _sounds(F.regexp_replace(b, "[3३].*$", "")).alias("to_digit"), opening.alias("opening"))
+
+    def faulted(x: Column) -> Column:
+        vowels = F.length(F.regexp_replace(x["s"], f"[^{P.VOWELS}]", ""))
+        reason = (
+            F.when(x["bare"] == "", "empty")
+            .when(x["bare"].rlike(r"[\s\-|।॥]"), "break")
+            .when(x["bare"].rlike("[ऀ-ॿ]") & x["bare"].rlike(r"\p{IsLatin}"), "mixed-script")
+            .when(x["digits"] > 1, "several-plutas")
+            .when(P.unknown_characters(x["s"]) != "", "unknown-character")
+            .when((vowels == 0) & x["s"].rlike("[MH]"), "mark-alone")
+            .when(vowels == 0, "no-vowel")
+            .when(vowels > 1, "several-vowels")
+            .when(x["s"].rlike(f"^{_CONSONANT}*[MH]"), "mark-first")
+            .when(x["s"].rlike(f"[^{P.VOWELS}][MH]"), "mark-apart")
+            .when((x["digits"] == 1) & ~x["to_digit"].rlike(f"^{_CONSONANT}*[{P.VOWELS}]$"), "pluta-apart")
+        )
+        part = lambda i: F.regexp_extract(x["s"], f"^({_CONSONANT}*)([{P.VOWELS}])([MH]?)({_CONSONANT}*)$", i)
+        return F.struct(reason.alias("reason"), *[part(i).alias(n) for i, n in enumerate(("onset", "vowel", "mark", "coda"), 1)], x["digits"].alias("digits"), x["opening"].alias("opening"))
+
+    def weighed(x: Column) -> Column:
+        rule = F.when(x["digits"] == 1, "pluta-guru").when(x["vowel"].isin(*P.LONG), "dirgha-guru").when(x["mark"] != "", "mark-guru").when(x["coda"] != "", "closed-guru").when(x["opening"] >= 2, "position-guru").otherwise("hrasva-laghu")
+        return F.struct(x.alias("x"), F.when(x["reason"].isNull(), rule).alias("rule"))
+
+    def told(y: Column) -> Column:
+        x, rule = y["x"], y["rule"]
+        valid = rule.isNotNull()
+        authority = F.element_at(F.create_map(*[F.lit(v) for pair in RULES.items() for v in pair]), rule)
+        return F.struct(
+            valid.alias("valid"), x["reason"].alias("reason"), *[F.when(valid, x[n]).alias(n) for n in ("onset", "vowel", "mark", "coda")],
+            F.when(rule == "hrasva-laghu", "laghu").when(valid, "guru").alias("weight"), F.when(rule == "pluta-guru", 3).when(rule == "hrasva-laghu", 1).when(valid, 2).alias("matras"), rule.alias("rule"), authority.alias("authority"),
+            F.when(valid, (rule == "hrasva-laghu") & x["opening"].isNull()).alias("position_sensitive"), F.when(valid, F.lit(False) if pada_final is None else F.coalesce(pada_final, F.lit(False))).alias("anceps"), F.when(valid, x["digits"] == 1).alias("pluta"),
+        )
+
+    return F.when(text.isNotNull(), _let(_let(_let(_let(bare, heard), faulted), weighed), told))
