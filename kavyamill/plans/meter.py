@@ -109,24 +109,21 @@ def meter_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.exact_lookup(_document_lines(spark, sf_dir)).where("meter_id is not null")
 
 
-def _near_top3(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    meters = F.broadcast(dims.meters(spark).where("kind = 'sama-vrtta'").select(F.col("id").alias("meter_id"), F.element_at("patterns", 1).alias("p")).where("length(p) = 11"))
-    pairs = lines.crossJoin(meters)  # eight meters: a bounded table, no growth
-    wrong = F.size(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substr("pattern", i, F.lit(1)) != F.substr("p", i, F.lit(1))))
-    best = pairs.groupBy("doc_id", "line").agg(F.slice(F.array_sort(F.collect_list(F.struct(wrong.cast("long").alias("distance"), "meter_id"))), 1, 3).alias("best"))
-    return best.select("doc_id", "line", F.explode("best").alias("b")).select("doc_id", "line", "b.meter_id", "b.distance")
-
-
-@query(f"WITH l AS (SELECT doc_id, line, array_to_string(w[line * 11 + 1:line * 11 + 11], '') AS pattern FROM ({_LINES}) WHERE line < 4), d AS (SELECT doc_id, line, c.id, CAST(len(list_filter(range(1, 11), lambda i: pattern[i] <> c.p[i])) AS BIGINT) AS distance FROM l JOIN {_catalog_values().replace('AS t(', 'AS c(')} ON c.n = 11) SELECT doc_id, CAST(line AS BIGINT) AS line, id AS meter_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY distance, id) <= 3")
-def meter_near_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest meters of each of a document's first four runs of 11 syllables, the last syllable free."""
-    return _near_top3(spark, _document_lines(spark, sf_dir).where("line < 4"))
+def _near_top3(lines: DataFrame) -> DataFrame:
+    """(doc_id, line, meter_id, distance) of the three meters nearest to each line of 11, within the row: ten weights are
+    the bits of a number, and those that differ are the bits of the numbers' exclusive or."""
+    bits = F.conv(F.translate(F.left("pattern", F.lit(10)), "LG", "01"), 2, 10).cast("long")
+    of = lambda p: int(p[:10].translate({76: 48, 71: 49}), 2)
+    meters = [(r[1], r[5][0]) for r in dims.meter_rows() if r[3] == "sama-vrtta" and len(r[5][0]) == 11]
+    every = F.array(*[F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.lit(of(p)))).cast("long").alias("distance"), F.lit(ident).alias("meter_id")) for ident, p in meters])
+    best = lines.withColumn("bits", bits).select("doc_id", "line", F.explode(F.slice(F.array_sort(every), 1, 3)).alias("b"))
+    return best.select("doc_id", "line", "b.meter_id", "b.distance")
 
 
 @query(f"WITH l AS (SELECT doc_id, line, array_to_string(w[line * 11 + 1:line * 11 + 11], '') AS pattern FROM ({_LINES})), d AS (SELECT doc_id, line, c.id, CAST(len(list_filter(range(1, 11), lambda i: pattern[i] <> c.p[i])) AS BIGINT) AS distance FROM l JOIN {_catalog_values().replace('AS t(', 'AS c(')} ON c.n = 11) SELECT doc_id, CAST(line AS BIGINT) AS line, id AS meter_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY distance, id) <= 3")
 def meter_near_top3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest meters of every run of 11 syllables of every document, the last syllable free."""
-    return _near_top3(spark, _document_lines(spark, sf_dir))
+    return _near_top3(_document_lines(spark, sf_dir))
 
 
 @query(f"WITH l AS (SELECT doc_id, unnest(generate_series(0, len(w) // 8 - 1)) AS pada, w FROM (SELECT doc_id, {LG} AS w FROM documents)), p AS (SELECT doc_id, pada, array_to_string(w[pada * 8 + 1:pada * 8 + 8], '') AS x FROM l) SELECT doc_id, CAST(pada AS BIGINT) AS pada, CASE WHEN pada % 2 = 1 THEN 'even-pāda cadence' WHEN x[5:7] = 'LGG' THEN 'pathyā' WHEN x[2:7] = 'GLGGGG' THEN 'ma-vipulā' WHEN x[2:7] IN ('GLGGLL', 'GGGGLL') THEN 'bha-vipulā' WHEN x[4:7] = 'GLLL' THEN 'na-vipulā' WHEN x[4:7] = 'GGLG' THEN 'ra-vipulā' ELSE 'unclassified odd-pāda cadence' END AS subtype, CAST((x[2:3] = 'LL')::INT + CASE WHEN pada % 2 = 1 THEN (x[2:4] = 'GLG')::INT + (x[5:7] <> 'LGL')::INT ELSE (NOT (x[5:7] = 'LGG' OR x[2:7] IN ('GLGGGG', 'GLGGLL', 'GGGGLL') OR x[4:7] IN ('GLLL', 'GGLG')))::INT END AS BIGINT) AS problems FROM p")

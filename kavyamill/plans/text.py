@@ -114,18 +114,10 @@ def closest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(sizes, start, step, lambda s: s["at"]).cast("long").alias("words"))
 
 
-@query("WITH c AS (SELECT d.doc_id, b.item_id, len(list_filter(string_split(d.text[:40], ''), lambda c: contains(b.text, c))) AS shared, greatest(length(d.text[:40]), length(b.text)) AS n FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) SELECT doc_id, item_id, round_even(shared / n, 3) AS similarity FROM c")
-def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a guess's characters that its target has; repeats count each time, so it isn't symmetric."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("guess"), (F.col("doc_id") % 40).alias("item_id"))
-    pairs = docs.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target")), "item_id")
-    shared = F.size(F.filter(F.split("guess", ""), lambda c: F.contains(F.col("target"), c)))
-    return pairs.select("doc_id", "item_id", F.bround(shared / F.greatest(F.length("guess"), F.length("target")), 3).alias("similarity"))
-
-
 @query("SELECT g.conv_id, g.turn, round_even(CASE WHEN g.text = '' THEN 0 ELSE len(list_filter(string_split(g.text, ''), lambda c: contains(t.text, c))) END / greatest(length(g.text), length(t.text), 1), 3) AS similarity FROM conversations g JOIN conversations t ON g.conv_id = t.conv_id AND g.turn + 1 = t.turn")
 def char_overlap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """char_overlap of whole texts: each turn of a conversation as the guess, the next turn as its target."""
+    """Share of a guess's characters that its target has, a turn of a conversation being the guess and the next one its
+    target; repeats count each time, so it isn't symmetric."""
     turns = table(spark, sf_dir, "conversations")
     targets = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     pairs = turns.select("conv_id", "turn", F.col("text").alias("guess")).join(targets, ["conv_id", "turn"])

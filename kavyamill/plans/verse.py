@@ -98,14 +98,27 @@ def boundary_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), V.boundary_mode(F.col("text")).alias("mode"))
 
 
-@query(f"WITH w AS (SELECT doc_id, array_to_string({LG}, '') AS p FROM documents) SELECT doc_id, CASE WHEN length(p) = 32 THEN 'anushtubh' WHEN length(p) = 16 THEN 'anushtubh_half' ELSE 'other' END AS meter, CASE WHEN length(p) = 11 THEN 'n' ELSE '(' || length(p) || ')' END AS label FROM w WHERE length(p) NOT IN (44, 48, 56, 60, 68, 76, 84, 11, 12, 14, 15, 17, 19, 21)")
-def recitation_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that no table of patterns can name: by count alone."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p")).where(~F.length("p").isin(44, 48, 56, 60, 68, 76, 84, 11, 12, 14, 15, 17, 19, 21))
+_TABLE = " ".join(f"WHEN regexp_full_match(p, '(({'|'.join(x[:-1] for x in patterns)}).){{4}}') THEN '{name}'" for name, patterns in V.RECITATION_METERS)
+_LABELS = " ".join(f"WHEN p = '{p}' THEN '{label}'" for p, label in V.SIGNATURES.items())
+
+
+@query(f"SELECT doc_id, CASE {_TABLE} WHEN len(p) = 32 THEN 'anushtubh' WHEN len(p) = 16 THEN 'anushtubh_half' ELSE 'other' END AS meter, CASE {_LABELS} ELSE concat('(', len(p), ')') END AS label FROM (SELECT doc_id, array_to_string({LG}, '') AS p FROM documents)")
+def recitation_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reciters' name of every document's whole pattern, and the labeler's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))
     name = V.recitation_meter(F.col("p"))["name"]
     return docs.select("doc_id", F.when(name == "unknown", "other").otherwise(name).alias("meter"), V.label_of(F.col("p")).alias("label"))
 
 
+@query(f"SELECT CAST(s AS BIGINT) AS stanza, doc_id, CASE {_TABLE} ELSE 'other' END AS meter FROM (SELECT doc_id, s, array_to_string(w[s * 44 + 1:s * 44 + 44], '') AS p FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) // 44 - 1)) AS s FROM (SELECT doc_id, {LG} AS w FROM documents)))")
+def recitation_of_stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reciters' name of each stretch of 44 syllables of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))
+    stanzas = docs.select("doc_id", F.posexplode(F.regexp_extract_all("p", F.lit("(.{44})"), F.lit(1))).alias("stanza", "p"))
+    name = V.recitation_meter(F.col("p"))["name"]
+    return stanzas.select(F.col("stanza").cast("long").alias("stanza"), "doc_id", F.when(name == "unknown", "other").otherwise(name).alias("meter"))
+
+
 @query("SELECT conv_id, turn, to_json(struct_pack(role := role, size := length(text))) AS j FROM conversations")
 def null_dropping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A struct as JSON, its null fields left out."""

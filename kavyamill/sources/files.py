@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 Schema = StructType | str
 
@@ -78,6 +82,24 @@ def wav_header(listing: DataFrame) -> DataFrame:
     return rows.select("path", "channels", "rate", "bits", (F.col("bytes") / (F.col("rate") * F.col("channels") * F.col("bits") / 8)).alias("seconds"))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _int_vector(contents: pd.Series) -> pd.Series:
+    def one(content: bytes | None) -> np.ndarray | None:
+        try:
+            vector = np.load(io.BytesIO(content or b""), allow_pickle=False)
+        except (ValueError, EOFError):
+            return None
+        return vector.astype(np.int64) if isinstance(vector, np.ndarray) and vector.ndim == 1 and vector.dtype.kind in "iu" else None
+
+    return contents.map(one)
+
+
+def npy_vectors(listing: DataFrame) -> DataFrame:
+    """(path, values, total) of the files of a binaryFile listing; null values where a file isn't a vector of integers."""
+    rows = listing.select("path", _int_vector("content").alias("values"))
+    return rows.withColumn("total", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x))
+
+
 def write_json_array(rows: DataFrame, path: str, order: str) -> None:
     """One array of objects in one file, for manifests that a page or a person reads: bounded by being one file."""
     array = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))), {"ignoreNullFields": "true"}).alias("value"))

@@ -1,6 +1,7 @@
 import json
 import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kavyamill.sources import files as S
@@ -67,3 +68,12 @@ def test_sinks(spark, tmp_path):
     assert len(list((tmp_path / "rot").glob("*.parquet"))) == 2
     assert rows(S.not_yet_written(df.select("i"), df.where("i = 1"), "i")) == [(2,)]
     assert df.select(S.packaged_path(F.col("i"), F.col("name")).alias("p")).orderBy("p").first()[0] == "ch01_a"
+
+
+def test_npy_vectors(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.array([3, 4, 5], np.int32))
+    np.save(tmp_path / "b.npy", np.zeros((2, 2)))
+    np.save(tmp_path / "c.npy", np.array([], np.int64))
+    (tmp_path / "d.npy").write_bytes(b"not one")
+    found = S.npy_vectors(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert rows(found.select(F.regexp_extract("path", "([^/]+)$", 1), "values", "total")) == [("a.npy", [3, 4, 5], 12), ("b.npy", None, None), ("c.npy", [], 0), ("d.npy", None, None)]
