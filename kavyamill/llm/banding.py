@@ -44,10 +44,24 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def star(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by bucket and id, the first of each bucket, and for each place that of its bucket's first."""
-    order = np.lexsort((ids, key))
+    order = np.argsort(key)
     sorted_key = key[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(order) else np.zeros(0, np.int64)
-    return order, first, np.repeat(first, np.diff(np.append(first, len(order))))
+    size = np.diff(np.append(first, len(order)))
+    several = np.repeat(size > 1, size)  # most buckets hold one entry, so few places are left to be sorted by id
+    some = order[several]
+    order[several] = some[np.lexsort((ids[some], key[some]))]
+    return order, first, np.repeat(first, size)
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """As a stable argsort of integers, by two fast sorts: of the values, then of the places within equal ones."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    order = np.argsort(values)
+    ordered = values[order]
+    run = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    return np.sort(run * len(values) + order) % len(values)
 
 
 def slots_for(df: DataFrame) -> int:
@@ -141,14 +155,16 @@ def similar_pairs(h: np.ndarray, owner: np.ndarray, rows: np.ndarray, n: int, le
     elements, owners ascending. Shared elements are counted for all pairs at once, by products of 0-1 matrices."""
     if not len(h):
         return
-    order = np.argsort(h, kind="stable")
+    order = stable_order(h)
     h, owner = h[order], owner[order]
     once = np.ones(len(h), bool)
     once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[once], owner[once]
     size = np.bincount(owner, minlength=n)
     element = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
-    several = np.bincount(element) > 1
+    wanted = np.zeros(n, bool)
+    wanted[rows] = True
+    several = (np.bincount(element) > 1) & (np.bincount(element, wanted[owner]) > 0)
     kept = several[element]
     element, owner = (np.cumsum(several) - 1)[element[kept]], owner[kept]
     for at in range(0, len(rows), PIECE):
@@ -156,7 +172,7 @@ def similar_pairs(h: np.ndarray, owner: np.ndarray, rows: np.ndarray, n: int, le
         both = np.zeros((len(some), n), np.float32)
         for first in range(0, int(several.sum()), COLUMNS):
             i, j = np.searchsorted(element, [first, first + COLUMNS])
-            holds = np.zeros((n, COLUMNS), np.float32)
+            holds = np.zeros((n, min(COLUMNS, int(several.sum()) - first)), np.float32)
             holds[owner[i:j], element[i:j] - first] = 1
             both += holds[some] @ holds.T
         either = size[some][:, None] + size[None, :] - both
@@ -169,14 +185,17 @@ def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel:
 
     A bucket of more than PIECE members, or PIECE_BYTES of text, is cut into groups, and each two groups meet in a task of
     their own, so that a task holds two pieces at most (or two texts that are larger). There, all members but those of the
-    largest class are compared with all others, exactly; links that join nothing new are left out.
+    largest class are compared with all others, exactly; links that join nothing new are left out. Buckets with the same
+    members and labels, told by their number and two 64-bit hashes, are compared once.
     """
     known = shared.join(links.select("a", "b", F.lit(True).alias("ok")), ["a", "b"], "left")
     mixed = known.groupBy("bucket").agg(F.max(F.col("ok").isNull()).alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("bucket")
     members = known.join(mixed, "bucket").select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("label")), F.struct(F.col("b").alias("id"), F.when(F.col("ok"), F.col("a")).otherwise(F.col("b")).alias("label")))).alias("x"))
     members = members.groupBy("bucket", "x.id").agg(F.min("x.label").alias("label"))
     sized = members.join(texts.select("id", F.octet_length("text").alias("size")), "id")
-    groups = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("size") / PIECE_BYTES)).cast("int").alias("groups"))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "id", "label")).alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    groups = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("size") / PIECE_BYTES)).cast("int").alias("groups"), F.count("*").alias("n"), *same)
+    groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "groups")).alias("g")).select("g.bucket", "g.groups")
     rows = members.join(groups, "bucket").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     rows = rows.select("bucket", F.least("group", "other").alias("g1"), F.greatest("group", "other").alias("g2"), "id", "label", "group")
     rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "label", "group", "text")

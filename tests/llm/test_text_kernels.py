@@ -134,3 +134,20 @@ def test_ngrams_do_not_depend_on_the_block():
     for i, one in enumerate(texts):
         _, alone = quality_classifier.ngrams(Texts.of([one]))
         assert sorted(bucket[text == i]) == sorted(alone)
+
+
+def test_similar_pairs_and_orders():
+    from kavyamill.llm import banding
+
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        base = [set(r.integers(0, 60, r.integers(0, 30)).tolist()) for _ in range(4)]
+        sets = [{x for x in base[r.integers(4)] if r.random() < 0.93} | set(r.integers(0, 60, r.integers(0, 2)).tolist()) for _ in range(r.integers(2, 40))]
+        h, owner = np.array([x for s in sets for x in s], np.uint64), np.array([i for i, s in enumerate(sets) for _ in s], np.int64)
+        rows = np.flatnonzero(r.random(len(sets)) < 0.4)
+        found = {(int(i), int(j)) for left, right in banding.similar_pairs(h, owner, rows, len(sets), 0.8) for i, j in zip(left, right, strict=True) if i != j}
+        assert found == {(int(i), j) for i in rows for j, s in enumerate(sets) if i != j and (sets[i] | s) and len(sets[i] & s) >= 0.8 * len(sets[i] | s)}
+        values, ids = r.integers(0, 50, 300, dtype=np.uint64), r.integers(0, 9, 300)
+        assert (banding.stable_order(values) == np.argsort(values, kind="stable")).all()
+        order, _, _ = banding.star(values, ids)
+        assert list(zip(values[order], ids[order], strict=True)) == sorted(zip(values, ids, strict=True))
