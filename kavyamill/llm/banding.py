@@ -22,7 +22,7 @@ from kavyamill.llm.common import in_arrow, regathered
 from kavyamill.llm.graph import connected_components
 
 #: Entries that are packed at once, and bytes of packed entries that a reader of slots takes at once, whole slots each time.
-ENTRIES, SLOT_BYTES = 1 << 18, 1 << 23
+ENTRIES, SLOT_BYTES = 1 << 19, 1 << 23
 #: Members of a bucket, and bytes of their texts, that make one of the pieces two of which meet in a task.
 PIECE, PIECE_BYTES = 512, 1 << 22
 #: Elements that are counted at once.
@@ -185,17 +185,14 @@ def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel:
 
     A bucket of more than PIECE members, or PIECE_BYTES of text, is cut into groups, and each two groups meet in a task of
     their own, so that a task holds two pieces at most (or two texts that are larger). There, all members but those of the
-    largest class are compared with all others, exactly; links that join nothing new are left out. Buckets with the same
-    members and labels, told by their number and two 64-bit hashes, are compared once.
+    largest class are compared with all others, exactly; links that join nothing new are left out.
     """
     known = shared.join(links.select("a", "b", F.lit(True).alias("ok")), ["a", "b"], "left")
     mixed = known.groupBy("bucket").agg(F.max(F.col("ok").isNull()).alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("bucket")
     members = known.join(mixed, "bucket").select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("label")), F.struct(F.col("b").alias("id"), F.when(F.col("ok"), F.col("a")).otherwise(F.col("b")).alias("label")))).alias("x"))
     members = members.groupBy("bucket", "x.id").agg(F.min("x.label").alias("label"))
     sized = members.join(texts.select("id", F.octet_length("text").alias("size")), "id")
-    same = [F.bit_xor(F.xxhash64(F.lit(seed), "id", "label")).alias(name) for seed, name in ((1, "x"), (2, "y"))]
-    groups = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("size") / PIECE_BYTES)).cast("int").alias("groups"), F.count("*").alias("n"), *same)
-    groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "groups")).alias("g")).select("g.bucket", "g.groups")
+    groups = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("size") / PIECE_BYTES)).cast("int").alias("groups"))
     rows = members.join(groups, "bucket").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     rows = rows.select("bucket", F.least("group", "other").alias("g1"), F.greatest("group", "other").alias("g2"), "id", "label", "group")
     rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "label", "group", "text")

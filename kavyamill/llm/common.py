@@ -66,10 +66,11 @@ def one_a_document(rows: DataFrame) -> DataFrame:
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
