@@ -99,10 +99,10 @@ def boundary_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLE = " ".join(f"WHEN regexp_full_match(p, '(({'|'.join(x[:-1] for x in patterns)}).){{4}}') THEN '{name}'" for name, patterns in V.RECITATION_METERS)
-_LABELS = " ".join(f"WHEN p = '{p}' THEN '{label}'" for p, label in V.SIGNATURES.items())
+_LABEL_CASES = " ".join(f"WHEN p = '{p}' THEN '{label}'" for p, label in V.SIGNATURES.items())
 
 
-@query(f"SELECT doc_id, CASE {_TABLE} WHEN len(p) = 32 THEN 'anushtubh' WHEN len(p) = 16 THEN 'anushtubh_half' ELSE 'other' END AS meter, CASE {_LABELS} ELSE concat('(', len(p), ')') END AS label FROM (SELECT doc_id, array_to_string({LG}, '') AS p FROM documents)")
+@query(f"SELECT doc_id, CASE {_TABLE} WHEN len(p) = 32 THEN 'anushtubh' WHEN len(p) = 16 THEN 'anushtubh_half' ELSE 'other' END AS meter, CASE {_LABEL_CASES} ELSE concat('(', len(p), ')') END AS label FROM (SELECT doc_id, array_to_string({LG}, '') AS p FROM documents)")
 def recitation_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reciters' name of every document's whole pattern, and the labeler's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))

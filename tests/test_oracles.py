@@ -1,6 +1,9 @@
 """Each query with an oracle gives the oracle's rows."""
 
+import ast
 import math
+from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,3 +42,15 @@ def test_oracle(spark, sf, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+@pytest.mark.parametrize("path", sorted(Path(registry.__file__).parent.glob("*.py")), ids=lambda p: p.stem)
+def test_no_module_binds_a_name_twice(path):
+    """Queries read their module's tables when they run, so a name that is bound again gives them another's cases."""
+    bound = Counter()
+    for node in ast.parse(path.read_text()).body:
+        if isinstance(node, ast.FunctionDef):
+            bound[node.name] += 1
+        elif isinstance(node, ast.Assign):
+            bound.update(x.id for t in node.targets for x in ast.walk(t) if isinstance(x, ast.Name))
+    assert [name for name, n in bound.items() if n > 1] == []
