@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavyamill.llm import byte_bpe, decontaminate, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from kavyamill.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from kavyamill.llm.common import table
 
 
@@ -61,7 +61,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, url_aliases, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, url_aliases, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate, op11_language_id)}
 
 
 def _op1_sql() -> str:
