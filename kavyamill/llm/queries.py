@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavyamill.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from kavyamill.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, spelling, substring_dedup, toxicity, url_filter, vector_codes
 from kavyamill.llm.common import table
 
 
@@ -66,7 +66,15 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, url_aliases, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate, op11_language_id)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_near_dedup, op5_url_filter, url_aliases, op6_substring_dedup, op7_byte_bpe, op8_line_dedup, op9_quality_classifier, op10_decontaminate, op11_language_id, op12_vector_codes, op13_spelling_variants)}
 
 
 def _op1_sql() -> str:
@@ -117,4 +125,22 @@ def _aliases_sql() -> str:
         SELECT page_id, host, path, rule, coalesce(own, alias_verdict, 'allow') AS verdict, alias_verdict FROM o LEFT JOIN fate USING (key)"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_url_filter": _op5_sql(), "url_aliases": _aliases_sql()}
+def _op13_sql() -> str:
+    """The checksum byte by byte from its table, words by their deletions' texts, pairs compared letter by letter."""
+    differing = "len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i]))"
+    return f"""
+        WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS held FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+        found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[{spelling.LETTERS}]+')) AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 5 GROUP BY doc_id, run),
+        coded AS (SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS bytes FROM counted),
+        summed AS (SELECT run, n, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, held[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM summed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        k AS (SELECT DISTINCT word, n, left(word, i) || substring(word, i + 2) AS k FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w) UNION ALL SELECT word, n, word FROM w),
+        p AS (SELECT DISTINCT a.word, a.n, b.word AS form, b.n AS form_n FROM k a JOIN k b USING (k) WHERE a.word <> b.word AND (length(a.word) <> length(b.word) OR {differing} = 1)),
+        f AS (SELECT word, form, form_n FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) = 1 AND form_n >= 2 * n),
+        up AS (SELECT word, form AS root, 1 AS depth FROM f UNION ALL SELECT up.word, f.form, depth + 1 FROM up JOIN f ON up.root = f.word),
+        r AS (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY word)
+        SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN f USING (word) LEFT JOIN r USING (word) LEFT JOIN (SELECT word, count(*) AS n_near FROM p GROUP BY word) USING (word)"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_url_filter": _op5_sql(), "url_aliases": _aliases_sql(), "op13_spelling_variants": _op13_sql()}
