@@ -6,6 +6,8 @@ syllable's weight is a function of its token. All of it stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ TOKEN = f"[{VOWELS}][^{VOWELS}]*"
 
 
 def canonical_iast(text: Column) -> Column:
-    """Roman text, one character a phoneme, transparent characters gone; pairs are merged before."""
-    out = F.lower(text)
+    """Roman text, one character a phoneme, transparent characters gone; pairs are merged before. Letters that roman
+    Sanskrit lacks become ?, as they stand for other sounds here."""
+    out = F.translate(F.lower(text), "fqwxz", "?????")
     for pair, one in IAST_PAIRS:
         out = F.replace(out, F.lit(pair), F.lit(one))
     return F.translate(F.translate(out, IAST_FROM, IAST_TO), TRANSPARENT, "")
@@ -129,8 +132,22 @@ def expand_feet(code: Column) -> Column:
     return F.when(known, F.array_join(F.transform(F.split(kept, ""), lambda x: F.element_at(table, x)), ""))
 
 
-def prefix_sums(values: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0), lambda a, x: a + x))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(values: Column, block: int = 64) -> Column:
+    """Running sums of an array of numbers, by blocks, so that a long array isn't summed anew for each element."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    running = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: i > 0), lambda i: total(F.slice(x, 1, i)))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, block))
+
+    def joined(blocks: Column) -> Column:
+        before = running(F.concat(F.array(F.lit(0)), F.transform(blocks, total)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda x, carried: F.transform(running(x), lambda y: y + carried)))
+
+    return bound(values, lambda v: bound(cut(v), joined))
 
 
 def aksharas(text: Column) -> Column:

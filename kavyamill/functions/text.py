@@ -105,9 +105,13 @@ def deva_to_slp1(text: Column) -> Column:
 
 
 def slp1_to_iast(text: Column) -> Column:
+    """Roman letters; sounds of two letters after the others, as no letter that those give is a sound's."""
     pairs = [*zip(SLP1_CONSONANTS, DEVA_CONSONANTS.values(), strict=True), *zip(SLP1_VOWELS, DEVA_VOWELS.values(), strict=True), ("M", "ṃ"), ("H", "ḥ"), ("~", "m̐")]
-    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    return F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    out = F.translate(text, "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1))
+    for one, letters in pairs:
+        if len(letters) > 1:
+            out = F.replace(out, F.lit(one), F.lit(letters))
+    return out
 
 
 def deva_to_iast(text: Column) -> Column:

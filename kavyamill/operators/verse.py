@@ -50,7 +50,7 @@ def padas(text: Column, mode: Column) -> Column:
 def line_column(text: Column, offset: Column) -> Column:
     """(line, column) from 1 of a character offset from 0; \\r\\n is one line break."""
     before = F.regexp_replace(F.substr(text, F.lit(1), offset), r"\r\n?", "\n")
-    tail = F.regexp_extract(before, r"([^\n]*)$", 1)
+    tail = F.regexp_extract(before, r"([^\n]*)\z", 1)  # $ would stand before a last line break
     return F.struct((F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), (F.length(tail) + 1).alias("column"))
 
 
