@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,18 +27,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that all executors share, its lineage cut.
-
-    Where spark.checkpoint.dir is unset, a folder in the warehouse takes its place, as that is shared too.
-    """
-    session = df.sparkSession
+def _shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder that all executors share; where spark.checkpoint.dir is unset, one in the warehouse, which is shared too."""
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As checkpointed(), as a Parquet table: for many narrow rows, which take several times their size as raw rows."""
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """df.mapInArrow(run, ddl) whose Python workers, which Spark keeps for later tasks, give back the memory they don't use."""
 

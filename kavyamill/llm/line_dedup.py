@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill.llm.banding import PACKED_DDL, classes, packed, second_links, shared_buckets, slots_for
-from kavyamill.llm.common import checkpointed, cuts, in_arrow, mix
+from kavyamill.llm.common import checkpointed, cuts, in_arrow, mix, unused, written
 
 #: Characters of a shingle, least Jaccard similarity, and least characters of a compared line unless the caller sets it.
 SHINGLE, SIMILARITY, MIN_CHARS = 8, 0.8, 24
@@ -170,12 +170,14 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, class_line) of each line that goes: all of a component but its first, by doc_id and line_no."""
-    rows = checkpointed(occurrences(docs, shortest))
-    lines = rows.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    rows = written(occurrences(docs, shortest))
     shared = checkpointed(shared_buckets(line_buckets(docs, shortest)))
     pairs = shared.select("a", "b").distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = checkpointed(line_texts(docs, lines.join(ends, "line").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]).withColumnRenamed("line", "id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().withColumn("met", F.lit(True))
+    # Most lines occur once and meet no other: all that follows needs the rest alone.
+    lines = rows.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    lines = checkpointed(lines.join(ends, "line", "left").where("n > 1 or met"))
+    texts = checkpointed(line_texts(docs, lines.where("met").select("first.doc_id", "first.line_no", "line")).dropDuplicates(["line"]).withColumnRenamed("line", "id"))
     links = checkpointed(verified(pairs, texts, least))
     found = classes(links.unionByName(second_links(shared, links, texts, Kernel(), least)))
     named = lines.join(found.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
@@ -203,7 +205,8 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, shortest: int = MIN_
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with the lines of `gone` (doc_id, line_no) taken out of their texts; its columns stay."""
-    listed = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(listed.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone", "_gone_id")
+    lines, ident = unused(docs, "_gone"), unused(docs, "_gone_id")
+    listed = gone.groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set("line_no").alias(lines))
+    joined = docs.join(listed, F.col("doc_id") == F.col(ident), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept)).drop(lines, ident)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kavyamill.llm.common import Texts, checkpointed, in_arrow, labelled_sample, mix, one_a_document, text_blocks
+from kavyamill.llm.common import Texts, checkpointed, in_arrow, labelled_sample, mix, one_a_document, text_blocks, unused
 
 BUCKETS = 1 << 15
 #: The mean log ratio counts for so many n-grams.
@@ -170,4 +170,5 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, ke
 def select_good(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, kept_share: float = 0.995) -> DataFrame:
     """The rows of docs, with all their columns, that classify() keeps; weighed anew rather than joined."""
     ratio, _, least = fit(docs, labels, most_labelled, kept_share)
-    return with_log_weight(docs, ratio, "_log_weight").where(key_of("_log_weight") >= F.lit(float(least))).drop("_log_weight")
+    weight = unused(docs, "_log_weight")
+    return with_log_weight(docs, ratio, weight).where(key_of(weight) >= F.lit(float(least))).drop(weight)

@@ -31,3 +31,27 @@ def test_empty_and_repeated(spark, sf):
     assert corpus_pipeline.near_copies(spark, some.union(some), sf).count() <= 5
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    """Nulls, blanks, repeated rows, ties, a text of a megabyte, and columns with the names that stages use within."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    kind = docs.schema["n_chars"].dataType
+    base = docs.where("n_chars > 300").first()
+    long = "\n".join(f"{base.text.split()[i % 40]} line number {i} of a long text" for i in range(30000))
+    odd = [(None, base.text, "en", "s", 1), (900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, " \n ", "en", "s", 3), (900004, long, "en", "s", len(long)), (base.doc_id, base.text, base.lang, base.source, base.n_chars)]
+    odd += [(900005, base.text, "en", "s", base.n_chars)] * 2
+    table = docs.union(spark.createDataFrame(odd, docs.schema))
+    names = ["_gone", "_gone_id", "_log_weight", "label", "key", "class_id", "line", "removed"]
+    table = table.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]).repartition(3)
+    texts = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, texts, sf)
+        assert out.columns == table.columns and out.schema["n_chars"].dataType == kind, name
+        texts = out.cache()
+        values = texts.select(*names).distinct().collect()
+        assert [tuple(r) for r in values] == [tuple(range(len(names)))], name
+    kept = [r.doc_id for r in texts.select("doc_id").collect()]
+    assert not {900001, 900002, 900003} & set(kept) and kept.count(900005) + kept.count(base.doc_id) <= 2
+    rows = corpus_pipeline.tokens(spark, table, sf)
+    assert rows.count() == table.count() and rows.where("doc_id = 900001").first().n_tokens == 0
