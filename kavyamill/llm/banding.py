@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavyamill.llm.common import in_arrow, regathered
+from kavyamill.llm.common import in_arrow, mix, regathered
 from kavyamill.llm.graph import connected_components
 
 #: Entries that are packed at once, and bytes of packed entries that a reader of slots takes at once, whole slots each time.
@@ -27,6 +27,8 @@ ENTRIES, SLOT_BYTES = 1 << 19, 1 << 23
 PIECE, PIECE_BYTES = 512, 1 << 22
 #: Elements that are counted at once.
 COLUMNS = 4096
+#: Groups of up to so many members are compared together, so many bytes of rows at once.
+SMALL, SMALL_BYTES = 32, 1 << 18
 
 
 class Kernel(Protocol):
@@ -180,6 +182,35 @@ def similar_pairs(h: np.ndarray, owner: np.ndarray, rows: np.ndarray, n: int, le
         yield some[left], right
 
 
+def similar_in_groups(h: np.ndarray, owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of sets of one group whose Jaccard similarity is `least` or more; group g has sets starts[g] to
+    starts[g] + sizes[g], owners ascend. For many small groups: shared elements are counted in a square for each group."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    h = h ^ mix(of[owner].astype(np.uint64) + np.uint64(1))
+    order = stable_order(h)
+    h, owner = h[order], owner[order].astype(np.int64)
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[once], owner[once]
+    n = np.bincount(owner, minlength=len(of))
+    base = np.cumsum(sizes * sizes) - sizes * sizes
+    cell = base[of] + (np.arange(len(of)) - starts[of]) * sizes[of]  # where a set's row in its group's square begins
+    both = np.zeros(int((sizes * sizes).sum()), np.int64)
+    at = np.arange(len(h))
+    for apart in range(1, int(sizes.max(initial=1))):
+        at = at[at + apart < len(h)]
+        at = at[h[at] == h[at + apart]]
+        if not len(at):
+            break
+        i, j = owner[at], owner[at + apart]
+        both += np.bincount(cell[i] + j - starts[of[j]], minlength=len(both))
+    found = np.flatnonzero(both)
+    g = np.searchsorted(base, found, side="right") - 1
+    i, j = starts[g] + (found - base[g]) // sizes[g], starts[g] + (found - base[g]) % sizes[g]
+    good = both[found] >= least * (n[i] + n[j] - both[found])
+    return i[good], j[good]
+
+
 def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel: Kernel, least: float) -> DataFrame:
     """Verified (a, b) between members of a bucket of three or more that not all of the links join to its least.
 
@@ -198,8 +229,41 @@ def second_links(shared: DataFrame, links: DataFrame, texts: DataFrame, kernel:
     rows = rows.join(texts.select("id", "text"), "id").select("bucket", "g1", "g2", "id", "label", "group", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in regathered(batches, 3, 1):
-            yield from compare(table)
+        for table in regathered(batches, 3, SMALL_BYTES):
+            key = np.stack([table[c].to_numpy() for c in ("bucket", "g1", "g2")])
+            begins = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            sizes = np.diff(np.append(begins, table.num_rows))
+            small = sizes <= SMALL
+            for at, n in zip(begins[~small], sizes[~small], strict=True):
+                yield from compare(table.slice(at, n))
+            if small.any():
+                yield from compare_small(table.filter(pa.array(np.repeat(small, sizes))), sizes[small])
+
+    def compare_small(t: pa.Table, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """As compare(), of many groups: their texts' elements are found and counted together."""
+        ids, labels, group = t["id"].to_numpy(), t["label"].to_numpy(), t["group"].to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        cross = (t["g1"].to_numpy() != t["g2"].to_numpy())
+        left, right = similar_in_groups(*kernel.elements(t["text"].to_pylist()), starts, sizes, least)
+        new = (labels[left] != labels[right]) & (~cross[left] | (group[left] != group[right]))
+        found, roots = [], {}
+
+        def top(x: tuple[int, int]) -> tuple[int, int]:
+            while x in roots:
+                x = roots[x]
+            return x
+
+        asked = set(of[left[new]].tolist())
+        for g, x, y in zip(of.tolist(), ids.tolist(), labels.tolist(), strict=True):
+            if g in asked and (a := top((g, x))) != (b := top((g, y))):
+                roots[a] = b
+        for i, j in zip(left[new].tolist(), right[new].tolist(), strict=True):
+            if (a := top((of[i], ids[i]))) != (b := top((of[j], ids[j]))):
+                roots[a] = b
+                found.append((ids[i], ids[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], schema=_PAIRS)
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, group, n = t["id"].to_numpy(), t["group"].to_numpy(), t.num_rows

@@ -151,3 +151,22 @@ def test_similar_pairs_and_orders():
         assert (banding.stable_order(values) == np.argsort(values, kind="stable")).all()
         order, _, _ = banding.star(values, ids)
         assert list(zip(values[order], ids[order], strict=True)) == sorted(zip(values, ids, strict=True))
+
+
+def test_small_groups_by_squares():
+    """Pairs of sets within groups by Jaccard similarity, against sets."""
+    from kavyamill.llm.banding import similar_in_groups
+
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 2, 5, 32, 3, 1])
+    starts = np.cumsum(sizes) - sizes
+    base = [rng.integers(0, 60, 40) for _ in sizes]
+    sets = [np.concatenate([x[rng.random(40) < 0.97], rng.integers(0, 500, rng.integers(0, 4)), x[:5]]) for x, n in zip(base, sizes, strict=True) for _ in range(n)]
+    sets[3] = np.zeros(0, np.int64)
+    h, owner = np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    held = [set(x.tolist()) for x in sets]
+    wanted = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if group[i] == group[j] and held[i] | held[j] and len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])}
+    i, j = similar_in_groups(h, owner, starts, sizes, 0.8)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == wanted and len(i) == len(wanted) > 5
+    assert len(similar_in_groups(h[:0], owner[:0], starts, sizes, 0.8)[0]) == 0
