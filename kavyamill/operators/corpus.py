@@ -102,3 +102,25 @@ def nearest_sibling(rows: DataFrame, ident: str, on: list[str], value: str) -> D
     every = F.concat(F.array(F.struct(F.lit(0.0).alias("gap"), own.alias("sibling"))), F.col("_sides"))
     joined = rows.join(levels, [*on, value]).withColumn("_best", F.array_min(F.filter(every, lambda x: x["sibling"].isNotNull())))
     return joined.where("_best is not null").select(*rows.columns, "_best.gap", "_best.sibling")
+
+
+def nearest_of(values: DataFrame, refs: DataFrame, value: str, ident: str, span: int = 4096) -> DataFrame:
+    """(value, ident, gap) for each of the distinct integer values: the reference nearest in value, the least id of equal ones.
+
+    Both sides are laid in order within spans of `span`; the nearest on either side stands in the span, or is the last
+    of the spans before or the first of those after, which one row a span tells. Null values have no reference, and
+    without references there are no rows.
+    """
+    at = refs.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(ident).alias(ident))
+    here = F.struct(F.col(value).alias("v"), F.col(ident).alias("id"))
+    rows = values.select(value, F.lit(None).cast(at.schema[ident].dataType).alias(ident), F.lit(True).alias("asked")).unionByName(at.withColumn("asked", F.lit(False))).where(F.col(value).isNotNull())
+    rows = rows.withColumn("span", F.floor(F.col(value) / span)).withColumn("ref", F.when(~F.col("asked"), here))
+    w = Window.partitionBy("span").orderBy(value)
+    near = rows.withColumn("below", F.last("ref", ignorenulls=True).over(w)).withColumn("above", F.first("ref", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))).where("asked")
+    ends = rows.groupBy("span").agg(F.max("ref").alias("top"), F.min("ref").alias("low"))
+    by_span = Window.orderBy("span")  # one row a span
+    ends = ends.select("span", F.last("top", ignorenulls=True).over(by_span.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", ignorenulls=True).over(by_span.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    found = near.join(ends, "span")
+    choices = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value)).cast("long").alias("gap"), F.col(f"{c}.id").alias("id"))) for c in ("below", "above", "before", "after")]))
+    best = found.withColumn("best", F.array_min(choices)).where("best is not null")
+    return best.select(value, F.col("best.id").alias(ident), F.col("best.gap").alias("gap"))

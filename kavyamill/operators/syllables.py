@@ -230,3 +230,36 @@ def verified(verses: DataFrame) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("padas", "syllables", "laghu", "guru", "matras")]
     status = F.when((F.size("errors") > 0) | (F.coalesce("syllables", F.lit(0)) == 0), "not-run").when(F.col("faults") > 0, "failed").otherwise("verified")
     return rows.select("verse_id", "script", *counts, "errors", status.alias("status"), (status == "verified").alias("ok"))
+
+
+def annotated(analysis: DataFrame) -> DataFrame:
+    """verse_id, pada_index and words of each pāda that was read: of each word its pieces (text, weight, anceps).
+
+    A word is cut where a syllable begins inside it, after a letter at least, so its pieces give exactly the word; a
+    piece has the weight of the syllable whose vowel stands in it, and none where only consonants do. Syllables and
+    words meet by their places in the source, in the row.
+    """
+    rows = analysis.where("unread is null and size(syllables) > 0")
+    begin, end = F.get("syllables", F.lit(0))["start"], F.element_at("syllables", -1)["end"]
+    line = F.substr(F.col("source"), begin + 1, end - begin)
+    # A word's blanks before it travel with it, so that lengths add up to places.
+    spaced = F.regexp_extract_all(line, F.lit(r"(\s*\S+)"), F.lit(1))
+    rows = rows.withColumn("spaced", spaced).withColumn("sizes", F.transform("spaced", F.char_length)).withColumn("ends", P.prefix_sums(F.col("sizes"))).withColumn("begin", begin)
+    vowel = lambda s: s["start"] + F.char_length(F.regexp_extract(F.lower(s["source"]), "^([^aāiīuūṛṝḷḹeoअ-औ]*)", 1))
+    rows = rows.withColumn("marks", F.transform("syllables", lambda s: F.struct(s["start"].alias("start"), vowel(s).alias("vowel"), F.when(s["weight"] == "guru", "G").otherwise("L").alias("weight"), s["anceps"].alias("anceps"))))
+
+    def word(x: Column) -> Column:
+        text = F.regexp_replace(x["spaced"], r"^\s+", "")
+        to = F.col("begin") + x["end"]
+        start = to - F.char_length(text)
+        cuts = F.filter("marks", lambda m: (m["start"] > start) & (m["start"] < to) & F.substr(text, F.lit(1), m["start"] - start).rlike(r"\p{L}"))
+        begins = F.concat(F.array(start), F.transform(cuts, lambda m: m["start"]))
+        bounds = F.arrays_zip(begins.alias("a"), F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins), F.lit(1))), F.array(to)).alias("b"))
+
+        def piece(b: Column) -> Column:
+            held = F.get(F.filter("marks", lambda m: (m["vowel"] >= b["a"]) & (m["vowel"] < b["b"])), F.lit(0))
+            return F.struct(F.substr(F.col("source"), b["a"] + 1, b["b"] - b["a"]).alias("text"), held["weight"].alias("weight"), F.coalesce(held["anceps"], F.lit(False)).alias("anceps"))
+
+        return F.struct(text.alias("word"), F.transform(F.filter(bounds, lambda b: b["a"].isNotNull() & b["b"].isNotNull()), piece).alias("pieces"))
+
+    return rows.select("verse_id", "pada_index", F.transform(F.arrays_zip(F.col("spaced").alias("spaced"), F.col("ends").alias("end")), word).alias("words"))

@@ -72,13 +72,11 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH p AS (SELECT d.doc_id, b.item_id, abs(length(d.text) - length(b.text)) AS gap FROM documents d, benchmark b) SELECT doc_id, arg_min(item_id, struct_pack(g := gap, i := item_id)) AS item_id, CAST(min(gap) AS BIGINT) AS gap FROM p GROUP BY doc_id")
 def nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark item nearest in length, the first of equal ones: both neighbours in one sorted array of lengths."""
-    items = table(spark, sf_dir, "benchmark").select(F.length("text").alias("n"), "item_id").groupBy("n").agg(F.min("item_id").alias("item_id"))
-    # Lengths of reference texts: at most one entry a length, so the array is bounded by the longest item.
-    refs = F.broadcast(items.agg(F.array_sort(F.collect_list(F.struct("n", "item_id"))).alias("refs")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len")).crossJoin(refs)
-    best = F.array_min(F.transform("refs", lambda r: F.struct(F.abs(F.col("len") - r["n"]).alias("gap"), r["item_id"].alias("item_id"))))
-    return docs.select("doc_id", best.alias("b")).select("doc_id", "b.item_id", F.col("b.gap").cast("long").alias("gap"))
+    """The benchmark item nearest in length, the first of equal ones. Documents share few lengths, so lengths are
+    matched, each with its two neighbours among the items' lengths, and documents take their length's match."""
+    length = F.length("text").alias("n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", length)
+    return docs.join(C.nearest_of(docs.select("n").distinct(), table(spark, sf_dir, "benchmark").select(length, "item_id"), "n", "item_id"), "n").select("doc_id", "item_id", "gap")
 
 
 @query("WITH p AS (SELECT a.p_partkey, b.p_partkey AS other, abs(a.p_retailprice - b.p_retailprice) AS gap FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) SELECT p_partkey, arg_min(other, struct_pack(g := gap, o := other)) AS other, round(min(gap), 6) AS gap FROM p GROUP BY p_partkey")

@@ -43,4 +43,4 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-from kavyamill.plans import corpus, meter, naming, prosody, report, scripts, syllables, text, timeline, units, verse  # noqa: E402, F401  each registers its queries
+from kavyamill.plans import corpus, meter, naming, prosody, report, rounds, scripts, syllables, text, timeline, units, verse  # noqa: E402, F401  each registers its queries
