@@ -7,6 +7,8 @@ fixed, so each join broadcasts them; verses are only shuffled by their own id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +112,8 @@ def _half_problems(pattern: Column, matra_cum: Column, base: Column, start: Colu
     return F.when(missing, 1).otherwise(problems)
 
 
-def counted(v: DataFrame) -> DataFrame:
-    """The śloka by its cadences, and the āryā family by mātrās and feet: rules of a verse alone, in one pass."""
+def counted_candidates() -> Column:
+    """Of a row of verses(): structs (id, kind, else_type, wrong, padas, evidence) of the śloka and the āryā family."""
     padas = (F.col("n") / 8).cast("int")
     eights = ~F.exists("units", lambda u: F.length(u) % 8 != 0) & (padas >= 4) & (padas % 2 == 0)
     scans = F.transform(F.sequence(F.lit(0), F.greatest(padas, F.lit(1)) - 1), lambda i: sloka_pada(F.substr(F.col("pattern"), i * 8 + 1, F.lit(8)), i % 2 == 1))
@@ -124,7 +126,12 @@ def counted(v: DataFrame) -> DataFrame:
         middle = F.array_position("matra_cum", ends[1]).cast("int")
         wrong = _half_problems(F.col("pattern"), F.col("matra_cum"), F.lit(0), F.lit(0), halves[0]) + _half_problems(F.col("pattern"), F.col("matra_cum"), F.lit(ends[1]), middle, halves[1])
         found.append(F.when(fits, F.struct(F.lit(ident).alias("id"), F.lit("jati").alias("kind"), F.lit("near").alias("else_type"), wrong.alias("wrong"), F.lit(4).alias("padas"), F.lit("full-verse").alias("evidence"))))
-    rows = v.where("n > 0").withColumn("x", F.explode(F.array_compact(F.array(*found))))
+    return F.array_compact(F.array(*found))
+
+
+def counted(v: DataFrame) -> DataFrame:
+    """The śloka by its cadences, and the āryā family by mātrās and feet: rules of a verse alone, in one pass."""
+    rows = v.where("n > 0").withColumn("x", F.explode(counted_candidates()))
     return _candidate(rows, F.col("x.id"), F.col("x.kind"), "classical", F.when(F.col("x.wrong") == 0, "exact").otherwise(F.col("x.else_type")), F.col("x.wrong"), F.col("x.padas"), F.col("x.evidence"))
 
 
@@ -188,6 +195,56 @@ def identify(units: DataFrame, tradition: str = "auto") -> DataFrame:
     return rows.select("verse_id", "status", (F.col("status") == "identified").alias("identified"), F.col("id").alias("primary_id"), "match_type", "distance", "boundary_transformations", F.col("tied").cast("long").alias("tied"))
 
 
+def _member(expected: str, policy: str) -> Callable[[Column], Column]:
+    """Whether a line is one of this pāda, its last place free as the policy says."""
+    free = policy == "bidirectional" or expected[-1] == "G"
+    return lambda u: (F.left(u, F.length(u) - 1) == expected[:-1]) & (F.lit(free) | (F.right(u, F.lit(1)) == expected[-1]))
+
+
+def four_lines(rows: DataFrame, pattern: str, n: int) -> DataFrame:
+    """rows with status, primary_id and distance of a stanza of four lines of n weights in the classical tradition, as
+    identify() gives them, but within the row: no line is shuffled.
+
+    Weights without the lines' last are the bits of a number, and those that differ from a meter the bits of the numbers'
+    exclusive or; the last ones are compared as the meter's policy says. Patterns of another length than 4 n, null ones
+    too, get nulls. Columns of the new names are replaced.
+    """
+    bits = lambda x: F.conv(F.translate(x, "LG", "01"), 2, 10).cast("long")
+    of = lambda x: int(x.translate({76: 48, 71: 49}), 2)
+    kept = [c for c in rows.columns if c not in ("status", "primary_id", "distance")]
+    made = rows.select(F.struct(*kept).alias("row"), F.when(F.length(pattern) == 4 * n, F.col(pattern)).alias("pattern"))
+    stem, last = F.regexp_replace("pattern", f"(.{{{n - 1}}}).", "$1"), F.regexp_replace("pattern", f".{{{n - 1}}}(.)", "$1")
+    made = made.withColumn("stem", bits(stem)).withColumn("last", bits(last)).withColumn("units", F.regexp_extract_all("pattern", F.lit(f"(.{{{n}}})"), F.lit(1))).withColumn("n", F.length("pattern"))
+    candidate = lambda match, evidence, distance, ident: F.struct(match.alias("match"), evidence.alias("evidence"), distance.cast("int").alias("distance"), ident.alias("id"))
+    found = []
+    for r in dims.meter_rows():
+        if all(len(p) == n for p in r[6]):
+            e = of("".join(p[-1] for p in r[6]))
+            wrong = F.bit_count(F.col("stem").bitwiseXOR(F.lit(of("".join(p[:-1] for p in r[6])))))
+            if r[9] != "bidirectional":  # a heavy last place where the meter has a light one is wrong
+                wrong = wrong + F.bit_count(F.col("last").bitwiseAND(F.lit(15 ^ e)))
+            found.append(candidate(F.when(wrong == 0, 0).otherwise(3), F.lit(0), wrong, F.lit(r[1])))
+    by_id = {r[1]: r for r in dims.meter_rows()}
+    for ident, _, *pair in dims.UPAJATI:
+        members = [by_id[x] for x in pair]
+        if len(members[0][5][0]) == n:
+            fits = [_member(p[0], policy) for p, policy in ((m[5], m[9]) for m in members)]
+            mixed = F.forall("units", lambda u: fits[0](u) | fits[1](u)) & ~F.forall("units", fits[0]) & ~F.forall("units", lambda u: ~fits[0](u))
+            found.append(F.when(mixed, candidate(F.lit(0), F.lit(0), F.lit(0), F.lit(ident))))
+    # The counted families need running mātrās; a stanza whose lines don't last as theirs do is spared them.
+    lengths = F.transform("units", lambda u: F.length(u) + F.length(F.translate(u, "L", "")))
+    ends = {sum(q[: i + 1]) for _, _, q, _ in dims.JATI for i in range(4)}
+    may = F.lit(n % 8 == 0) | F.forall(prefix_sums(lengths), lambda x: x.isin(*ends))
+    matra = F.transform(F.filter(F.split("pattern", ""), lambda c: c != ""), lambda c: F.when(c == "G", 2).otherwise(1))
+    shaped = made.withColumn("may", may).withColumn("matra_cum", F.when(F.col("may"), prefix_sums(matra)))
+    counted_here = F.transform(counted_candidates(), lambda x: candidate(F.when(x["wrong"] == 0, 0).when(x["else_type"] == "near", 3).otherwise(1), F.when(x["evidence"] == "full-verse", 0).otherwise(1), x["wrong"], x["id"]))
+    fixed = F.array_compact(F.array(*found)) if found else F.slice(counted_here, 1, 0)
+    shaped = shaped.withColumn("every", F.when(F.col("may"), F.concat(fixed, counted_here)).otherwise(fixed)).withColumn("best", F.when(F.col("pattern").isNotNull(), F.array_min("every")))
+    tied = F.size(F.filter("every", lambda x: (x["match"] == F.col("best.match")) & (x["evidence"] == F.col("best.evidence")) & (x["distance"] == F.col("best.distance"))))
+    status = F.when(F.col("best").isNull() | (F.col("best.match") == 3), "unidentified").when(tied > 1, "ambiguous").when((F.col("best.match") == 0) & F.col("best.id").isin(*dims.DUAL_AUTHORITY), "identified").otherwise("provisional")
+    return shaped.select("row.*", F.when(F.col("pattern").isNotNull(), status).alias("status"), F.col("best.id").alias("primary_id"), F.col("best.distance").alias("distance"))
+
+
 def catalog_violations(meters: DataFrame) -> DataFrame:
     """(id, problem): bad ids, form counts, alphabets, feet that don't give the pattern, caesuras, duplicates."""
     from kavyamill.functions.prosody import expand_feet

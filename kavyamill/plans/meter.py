@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kavyamill import dims
 from kavyamill.functions import prosody as P
 from kavyamill.operators import meter as M
-from kavyamill.plans.registry import query, table, values
+from kavyamill.plans.registry import golden, query, table, values
 
 # Verses of old texts, a line each.
 VERSES = {
@@ -61,14 +61,14 @@ def catalog_units(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "verse_id string, unit_no int, line string").select("verse_id", "unit_no", P.iast_pattern(F.col("line")).alias("pattern"))
 
 
-@query(f"SELECT verse_id, tradition, status, identified, primary_id, match_type, CAST(distance AS INTEGER) AS distance, CAST(boundary_transformations AS INTEGER) AS boundary_transformations, CAST(tied AS BIGINT) AS tied FROM {values(VERDICTS, 'verse_id, tradition, status, identified, primary_id, match_type, distance, boundary_transformations, tied')}")
+@golden(f"SELECT verse_id, tradition, status, identified, primary_id, match_type, CAST(distance AS INTEGER) AS distance, CAST(boundary_transformations AS INTEGER) AS boundary_transformations, CAST(tied AS BIGINT) AS tied FROM {values(VERDICTS, 'verse_id, tradition, status, identified, primary_id, match_type, distance, boundary_transformations, tied')}")
 def meter_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(x[0], x[1]) for x in VERDICTS], "verse_id string, asked string")
     verdicts = M.identify(units(spark).join(F.broadcast(wanted), "verse_id"))
     return verdicts.join(F.broadcast(wanted.withColumnRenamed("asked", "tradition")), "verse_id")
 
 
-@query(f"SELECT id, true AS found, id AS first_or_tied FROM {values([(r[1],) for r in dims.meter_rows()], 'id')}")
+@golden(f"SELECT id, true AS found, id AS first_or_tied FROM {values([(r[1],) for r in dims.meter_rows()], 'id')}")
 def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each meter, written out and scanned again, is among its own exact candidates."""
     found = M.candidates(catalog_units(spark), "classical").where("match_type = 'exact'")
@@ -77,12 +77,12 @@ def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(own, "verse_id", "left").select(F.col("verse_id").alias("id"), F.col("id").isNotNull().alias("found"), F.col("id").alias("first_or_tied"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS problem WHERE false")
+@golden("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS problem WHERE false")
 def catalog_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.catalog_violations(dims.meters(spark))
 
 
-@query("SELECT kind, CAST(n AS BIGINT) AS n FROM (VALUES ('sama-vrtta', 94), ('ardhasama-vrtta', 13), ('visama-vrtta', 11), ('dandaka', 10)) AS t(kind, n)")
+@golden("SELECT kind, CAST(n AS BIGINT) AS n FROM (VALUES ('sama-vrtta', 94), ('ardhasama-vrtta', 13), ('visama-vrtta', 11), ('dandaka', 10)) AS t(kind, n)")
 def catalog_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.meters(spark).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -134,7 +134,7 @@ def sloka_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.select("doc_id", F.col("pada").cast("long").alias("pada"), "s.subtype", F.col("s.problems").cast("long").alias("problems"))
 
 
-@query(f"SELECT id, name, CAST(n AS BIGINT) AS n, count_class, symmetry FROM {values([(r[1], r[2], len(r[6][0]) if len(set(map(len, r[6]))) == 1 else None, dims.COUNT_CLASSES[len(r[6][0]) - 1] if len(set(map(len, r[6]))) == 1 and len(r[6][0]) <= 26 else None, {1: 'sama', 2: 'ardhasama', 4: 'viṣama'}[len(r[5])]) for r in dims.meter_rows()], 'id, name, n, count_class, symmetry')}")
+@golden(f"SELECT id, name, CAST(n AS BIGINT) AS n, count_class, symmetry FROM {values([(r[1], r[2], len(r[6][0]) if len(set(map(len, r[6]))) == 1 else None, dims.COUNT_CLASSES[len(r[6][0]) - 1] if len(set(map(len, r[6]))) == 1 and len(r[6][0]) <= 26 else None, {1: 'sama', 2: 'ardhasama', 4: 'viṣama'}[len(r[5])]) for r in dims.meter_rows()], 'id, name, n, count_class, symmetry')}")
 def meter_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = F.array(*map(F.lit, dims.COUNT_CLASSES))
     m = dims.meters(spark).withColumn("sizes", F.array_distinct(F.transform("pada_patterns", F.length)))
@@ -143,7 +143,7 @@ def meter_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "name", n.cast("long").alias("n"), F.when(n <= 26, F.get(classes, n - 1)).alias("count_class"), symmetry.alias("symmetry"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS verse_id, CAST(NULL AS VARCHAR) AS id WHERE false")
+@golden("SELECT CAST(NULL AS VARCHAR) AS verse_id, CAST(NULL AS VARCHAR) AS id WHERE false")
 def candidate_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact matches that a second plan finds and the candidates lack: none. The second plan compares the written
     places one by one in exploded rows, not by arrays."""
@@ -160,7 +160,7 @@ def candidate_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select("verse_id", "id").join(found, ["verse_id", "id"], "left_anti")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS maker, CAST(NULL AS VARCHAR) AS checker WHERE false")
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS maker, CAST(NULL AS VARCHAR) AS checker FROM documents WHERE false")
 def analysis_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose weights a second scanner disputes: none. It walks the letters once, keeping the open syllable's
     state in a fold, where the first one cuts tokens with a pattern."""

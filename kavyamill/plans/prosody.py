@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kavyamill.functions import prosody as P
-from kavyamill.plans.registry import query, table, values
+from kavyamill.plans.registry import golden, query, table, values
 
 V, LONG = P.VOWELS, P.LONG
 #: In DuckDB: weight of a token x.
@@ -57,30 +57,30 @@ def pada_positions_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("i").cast("long").alias("idx"), F.floor(F.col("i") / 11).alias("pada_idx"), (F.col("i") % 11).cast("long").alias("pos"), F.bround((F.col("i") % 11) / F.greatest(F.lit(1), length - 1), 3).alias("pos_norm"), (F.col("i") % 11 + 1).isin(4, 7).alias("yati_end"))
 
 
-@query(f"SELECT id, pattern FROM {values(SCANS, 'id, pattern')}")
+@golden(f"SELECT id, pattern FROM {values(SCANS, 'id, pattern')}")
 def iast_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(LINES, "id int, line string").select("id", P.iast_pattern(F.col("line")).alias("pattern"))
 
 
-@query(f"SELECT id, parts, unknown FROM {values([(1, 'ya|tsU|ra|yaH', ''), (2, 'nE|mi|ze', ''), (3, 'sa|tyaM|pa|raM|DI|ma|hi', ''), (4, 'te|jo|vA|ri|mf|dAM', ''), (5, 'taH|ka|ro|ti', ''), (6, 'ja|nmAdy2', '2'), (9, 'tat', ''), (10, '', '')], 'id, parts, unknown')}")
+@golden(f"SELECT id, parts, unknown FROM {values([(1, 'ya|tsU|ra|yaH', ''), (2, 'nE|mi|ze', ''), (3, 'sa|tyaM|pa|raM|DI|ma|hi', ''), (4, 'te|jo|vA|ri|mf|dAM', ''), (5, 'taH|ka|ro|ti', ''), (6, 'ja|nmAdy2', '2'), (9, 'tat', ''), (10, '', '')], 'id, parts, unknown')}")
 def iast_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame([x for x in LINES if x[0] not in (7, 8, 11)], "id int, line string").withColumn("c", P.canonical_iast(F.col("line")))
     return lines.select("id", F.array_join(P.syllable_texts(F.col("c")), "|").alias("parts"), P.unknown_characters(F.col("c")).alias("unknown"))
 
 
-@query(f"SELECT id, CAST(pos AS BIGINT) AS pos, vowel, weight, cause, is_pada_final FROM {values([(1, 0, 'a', 'G', 'anusvara', False), (1, 1, 'a', 'G', 'pada_final_anceps', True), (1, 2, 'a', 'G', 'cluster', False), (1, 3, 'a', 'L', None, False), (1, 4, 'e', 'G', 'long_vowel', False), (1, 5, 'I', 'G', 'long_vowel', True), (2, 0, 'o', 'G', 'long_vowel', True), (2, 1, 'e', 'G', 'long_vowel', False), (2, 2, 'a', 'G', 'pada_final_anceps', True), (3, 0, 'A', 'G', 'long_vowel', False), (3, 1, 'A', 'G', 'long_vowel', False), (3, 2, 'a', 'L', None, False), (3, 3, 'a', 'G', 'pada_final_anceps', True), (4, 0, 'a', 'G', 'cluster', False), (4, 1, 'a', 'L', None, False), (4, 2, 'i', 'G', 'cluster', False), (4, 3, 'A', 'G', 'long_vowel', False), (4, 4, 'A', 'G', 'long_vowel', True), (5, 0, 'a', 'G', 'cluster', False), (5, 1, 'a', 'L', None, False), (5, 2, 'a', 'G', 'cluster', False), (5, 3, 'i', 'G', 'cluster', False), (5, 4, 'a', 'L', None, False), (5, 5, 'e', 'G', 'long_vowel', True), (6, 0, 'i', 'L', None, False), (6, 1, 'a', 'G', 'cluster', False), (6, 2, 'a', 'G', 'pada_final_anceps', True), (6, 3, 'a', 'G', 'pada_final_anceps', True)], 'id, pos, vowel, weight, cause, is_pada_final')}")
+@golden(f"SELECT id, CAST(pos AS BIGINT) AS pos, vowel, weight, cause, is_pada_final FROM {values([(1, 0, 'a', 'G', 'anusvara', False), (1, 1, 'a', 'G', 'pada_final_anceps', True), (1, 2, 'a', 'G', 'cluster', False), (1, 3, 'a', 'L', None, False), (1, 4, 'e', 'G', 'long_vowel', False), (1, 5, 'I', 'G', 'long_vowel', True), (2, 0, 'o', 'G', 'long_vowel', True), (2, 1, 'e', 'G', 'long_vowel', False), (2, 2, 'a', 'G', 'pada_final_anceps', True), (3, 0, 'A', 'G', 'long_vowel', False), (3, 1, 'A', 'G', 'long_vowel', False), (3, 2, 'a', 'L', None, False), (3, 3, 'a', 'G', 'pada_final_anceps', True), (4, 0, 'a', 'G', 'cluster', False), (4, 1, 'a', 'L', None, False), (4, 2, 'i', 'G', 'cluster', False), (4, 3, 'A', 'G', 'long_vowel', False), (4, 4, 'A', 'G', 'long_vowel', True), (5, 0, 'a', 'G', 'cluster', False), (5, 1, 'a', 'L', None, False), (5, 2, 'a', 'G', 'cluster', False), (5, 3, 'i', 'G', 'cluster', False), (5, 4, 'a', 'L', None, False), (5, 5, 'e', 'G', 'long_vowel', True), (6, 0, 'i', 'L', None, False), (6, 1, 'a', 'G', 'cluster', False), (6, 2, 'a', 'G', 'pada_final_anceps', True), (6, 3, 'a', 'G', 'pada_final_anceps', True)], 'id, pos, vowel, weight, cause, is_pada_final')}")
 def slp1_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(SLP1, "id int, line string").select("id", F.posexplode(P.tagged_syllables(F.col("line"))).alias("pos", "s"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), "s.vowel", "s.weight", "s.cause", "s.is_pada_final")
 
 
-@query(f"SELECT code, pattern FROM {values([('mbnttGG', 'GGGGLLLLLGGLGGLGG'), ('t t-j_G·G', 'GGLGGLLGLGG'), ('LLbbr', 'LLGLLGLLGLG'), ('xq', None), ('', None)], 'code, pattern')}")
+@golden(f"SELECT code, pattern FROM {values([('mbnttGG', 'GGGGLLLLLGGLGGLGG'), ('t t-j_G·G', 'GGLGGLLGLGG'), ('LLbbr', 'LLGLLGLLGLG'), ('xq', None), ('', None)], 'code, pattern')}")
 def gana_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("mbnttGG",), ("t t-j_G·G",), ("LLbbr",), ("xq",), ("",)]
     return spark.createDataFrame(rows, "code string").select("code", P.expand_feet(F.col("code")).alias("pattern"))
 
 
-@query(f"SELECT pattern, template FROM {values([('GGGLLGLGLLLGGGLGGLG', '——— ◡◡— ◡—◡ ◡◡— ‖ ——◡ ——◡ —*'), ('LLLGLLGLLGLG', '◡◡◡ —◡◡ —◡◡ —◡—*')], 'pattern, template')}")
+@golden(f"SELECT pattern, template FROM {values([('GGGLLGLGLLLGGGLGGLG', '——— ◡◡— ◡—◡ ◡◡— ‖ ——◡ ——◡ —*'), ('LLLGLLGLLGLG', '◡◡◡ —◡◡ —◡◡ —◡—*')], 'pattern, template')}")
 def meter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("GGGLLGLGLLLGGGLGGLG", [12]), ("LLLGLLGLLGLG", None)]
     return spark.createDataFrame(rows, "pattern string, yati array<int>").select("pattern", P.template(F.col("pattern"), F.col("yati")).alias("template"))

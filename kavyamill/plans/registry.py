@@ -10,15 +10,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Worked cases that read no table: tests run them with their SQL; they are not queries.
+GOLDEN: dict[str, tuple[Query, str]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function as a query under its name, with its SQL where there is one."""
+def query(sql: str) -> Callable[[Query], Query]:
+    """Register a function as a query under its name, with its SQL."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def golden(sql: str) -> Callable[[Query], Query]:
+    """Register a function as worked cases under its name, with their SQL."""
+
+    def register(f: Query) -> Query:
+        GOLDEN[f.__name__] = f, sql
         return f
 
     return register
@@ -43,4 +53,4 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-from kavyamill.plans import corpus, meter, naming, prosody, report, rounds, scripts, syllables, text, timeline, units, verse  # noqa: E402, F401  each registers its queries
+from kavyamill.plans import corpus, meter, naming, prosody, report, rounds, scripts, stanzas, syllables, text, timeline, units, verse  # noqa: E402, F401  each registers its queries

@@ -13,7 +13,7 @@ from kavyamill.operators import meter as M
 from kavyamill.operators import report as R
 from kavyamill.plans.meter import VERDICTS, VERSES, catalog_units, units
 from kavyamill.plans.prosody import LG
-from kavyamill.plans.registry import query, table, values
+from kavyamill.plans.registry import golden, query, table, values
 
 #: Worked reports: verse, label, observed pādas, subtypes, notes, template, feet.
 REPORTS = [
@@ -33,7 +33,7 @@ def _worked(spark: SparkSession) -> DataFrame:
     return units(spark).join(F.broadcast(asked), "verse_id")
 
 
-@query(f"SELECT * FROM {values(REPORTS, 'verse_id, label, observed, subtypes, notes, template, gana_formula')}")
+@golden(f"SELECT * FROM {values(REPORTS, 'verse_id, label, observed, subtypes, notes, template, gana_formula')}")
 def meter_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = R.report(_worked(spark)).where(F.col("verse_id").isin(*[x[0] for x in REPORTS]))
     first = F.get("candidates", F.lit(0))
@@ -81,7 +81,7 @@ def _forged(reports: DataFrame) -> DataFrame:
     return reports.withColumns(changed)
 
 
-@query(f"SELECT * FROM {values([(name, code) for name, _, _, _, codes in FORGERIES for code in codes], 'verse_id, code')}")
+@golden(f"SELECT * FROM {values([(name, code) for name, _, _, _, codes in FORGERIES for code in codes], 'verse_id, code')}")
 def meter_forgeries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the checker says of reports in which something was changed: each forgery is a verse of its own."""
     names = F.broadcast(spark.createDataFrame([(x[1], x[0]) for x in FORGERIES], "verse_id string, forgery string"))
@@ -89,7 +89,7 @@ def meter_forgeries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.check(lines, _forged(R.report(lines))).select("verse_id", "code")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS verse_id, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS id WHERE false")
+@golden("SELECT CAST(NULL AS VARCHAR) AS verse_id, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS id WHERE false")
 def meter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the checker says of true reports on all meters of the catalog and the worked verses: nothing.
 
@@ -115,10 +115,9 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The oracle leaves out the mātrā meters, for which the four lines would have to last 12, 18 or 20, 12, and 15, 18 or 20.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", P.pattern(P.letters(F.col("text"))).alias("p"))
-    stanzas = docs.select("doc_id", F.posexplode(F.regexp_extract_all("p", F.lit("(.{44})"), F.lit(1))).alias("stanza", "p"))
-    lines = stanzas.select(F.struct("doc_id", "stanza").alias("verse_id"), F.posexplode(F.regexp_extract_all("p", F.lit("(.{11})"), F.lit(1))).alias("unit_no", "pattern"))
-    found = M.identify(lines, "classical")
-    return found.select("verse_id.doc_id", F.col("verse_id.stanza").cast("long").alias("stanza"), "status", "primary_id", F.col("distance").cast("long").alias("distance"))
+    stanzas = docs.select("doc_id", F.posexplode_outer(F.regexp_extract_all("p", F.lit("(.{44})"), F.lit(1))).alias("stanza", "p")).where("p is not null")
+    found = M.four_lines(stanzas, "p", 11)
+    return found.select("doc_id", F.col("stanza").cast("long").alias("stanza"), "status", "primary_id", F.col("distance").cast("long").alias("distance"))
 
 
 #: Judged syllables: text, what follows, reason, weight, mātrās, rule, whether what follows would decide.
@@ -132,7 +131,7 @@ SYLLABLES = [
 ]
 
 
-@query(f"SELECT * FROM {values(SYLLABLES, 'text, following, reason, weight, matras, rule, position_sensitive')}")
+@golden(f"SELECT * FROM {values(SYLLABLES, 'text, following, reason, weight, matras, rule, position_sensitive')}")
 def akshara_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([x[:2] for x in SYLLABLES], "text string, following string").withColumn("j", A.judge(F.col("text"), F.col("following")))
     return rows.select("text", "following", *[f"j.{x}" for x in ("reason", "weight", "matras", "rule", "position_sensitive")])

@@ -11,7 +11,7 @@ from kavyamill.functions import text as X
 from kavyamill.functions import units as U
 from kavyamill.operators import meter as M
 from kavyamill.plans.prosody import LG
-from kavyamill.plans.registry import query, table, values
+from kavyamill.plans.registry import golden, query, table, values
 
 #: (function, text, result), the expected values of the query below.
 CASES = [
@@ -21,7 +21,7 @@ CASES = [
 ]
 
 
-@query(f"SELECT f, x, y FROM {values(CASES, 'f, x, y')}")
+@golden(f"SELECT f, x, y FROM {values(CASES, 'f, x, y')}")
 def unit_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, out = F.col("x"), F.lit(None).cast("string")
     found = {"digits": F.array_join(U.digit_kinds(x), " "), "deva": U.to_devanagari(x), "kannada": U.displayed(x, "kannada"), "telugu": U.displayed(x, "telugu"), "devanagari": U.displayed(x, "devanagari"), "studio": F.array_join(U.studio_lines(x), "#"), "fricative": U.fricative_onset(x).cast("string")}
@@ -65,7 +65,7 @@ def unit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORGED = [("Bad Id", "id"), ("forged-forms", "forms"), ("forged-alphabet", "alphabet"), ("forged-alphabet", "feet"), ("forged-feet", "feet"), ("forged-yati", "yati"), ("forged-late-yati", "yati"), ("forged-twin", "duplicate id"), ("forged-copy", "duplicate form")]
 
 
-@query(f"SELECT id, problem FROM {values(FORGED, 'id, problem')}")
+@golden(f"SELECT id, problem FROM {values(FORGED, 'id, problem')}")
 def catalog_forgeries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole catalogue and forged rows: the check names what is wrong with these, and nothing else of theirs."""
     base = dims.meters(spark)

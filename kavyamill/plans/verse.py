@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kavyamill.functions import prosody as P
 from kavyamill.operators import verse as V
 from kavyamill.plans.prosody import LG
-from kavyamill.plans.registry import query, table, values
+from kavyamill.plans.registry import golden, query, table, values
 
 ANALYSES = [
     ("iast", "sarvasya cāhaṁ hṛdi sanniviṣṭo\nmattaḥ smṛtir jñānam apohanaṁ ca", "iast", "lines", 2, "GGLGGLLGLGG|GGLGGLLGLGL", 35, "", True),
@@ -21,7 +21,7 @@ ANALYSES = [
 ]
 
 
-@query(f"SELECT * FROM {values([(i, s, m, n, p, t, d, ok) for i, _, s, m, n, p, t, d, ok in ANALYSES], 'verse_id, script, boundary_mode, padas, patterns, matras, diagnostics, ok')}")
+@golden(f"SELECT * FROM {values([(i, s, m, n, p, t, d, ok) for i, _, s, m, n, p, t, d, ok in ANALYSES], 'verse_id, script, boundary_mode, padas, patterns, matras, diagnostics, ok')}")
 def verse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.analyze(spark.createDataFrame([x[:2] for x in ANALYSES], "verse_id string, text string"))
     return rows.select("verse_id", "script", "boundary_mode", F.col("totals.padas").alias("padas"), F.array_join(F.transform("padas", lambda p: p["pattern"]), "|").alias("patterns"), F.col("totals.matras").alias("matras"), F.array_join("diagnostics", ",").alias("diagnostics"), "ok")
@@ -30,7 +30,7 @@ def verse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ME = [("GGLGGLLGLGG" * 4, "indravajra", 11, 4), ("GGLGGLLGLGL" * 4, "indravajra", 11, 4), ("GGLGGLLGLGGLGLGGLLGLGG" * 2, "upajati", 11, 4), ("L" * 32, "anushtubh", 8, 4), ("G" * 16, "anushtubh_half", 8, 2), ("G" * 7, "unknown", None, None), ("", "unknown", None, None)]
 
 
-@query(f"SELECT * FROM {values(_ME, 'pattern, name, pada_length, num_padas')}")
+@golden(f"SELECT * FROM {values(_ME, 'pattern, name, pada_length, num_padas')}")
 def recitation_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x[0],) for x in _ME], "pattern string").withColumn("m", V.recitation_meter(F.col("pattern"))).select("pattern", "m.name", "m.pada_length", "m.num_padas")
 
@@ -38,7 +38,7 @@ def recitation_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUTRA = [(1, "om|,a,ta", "100"), (2, "a,om,tat|", "000"), (3, "a|,om,ta,om|,a", "01110"), (4, "om,ta,om|,om,a", "11100"), (5, "ta,ka", "00")]
 
 
-@query(f"SELECT id, mask, positions FROM {values([(1, '100', '-1.-1 0.0 0.1'), (2, '000', '0.0 0.1 1.0'), (3, '01110', '0.0 -1.-1 -1.-1 -1.-1 0.1'), (4, '11100', '-1.-1 -1.-1 -1.-1 0.0 0.1'), (5, '00', '0.0 0.1')], 'id, mask, positions')}")
+@golden(f"SELECT id, mask, positions FROM {values([(1, '100', '-1.-1 0.0 0.1'), (2, '000', '0.0 0.1 1.0'), (3, '01110', '0.0 -1.-1 -1.-1 -1.-1 0.1'), (4, '11100', '-1.-1 -1.-1 -1.-1 0.0 0.1'), (5, '00', '0.0 0.1')], 'id, mask, positions')}")
 def sutra_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([x[:2] for x in _SUTRA], "id int, s string")
     syllables = F.transform(F.split("s", ","), lambda x: F.struct(F.replace(x, F.lit("|"), F.lit("")).alias("text"), x.endswith("|").alias("is_pada_final")))
@@ -59,7 +59,7 @@ _CASES = [
 ]
 
 
-@query(f"SELECT f, x, y FROM {values(_CASES, 'f, x, y')}")
+@golden(f"SELECT f, x, y FROM {values(_CASES, 'f, x, y')}")
 def verse_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([x[:2] for x in _CASES], "f string, x string")
     x = F.col("x")
@@ -77,7 +77,7 @@ def verse_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = [("indravajrā", "triṣṭubh", 11, "identified", "indravajrā (triṣṭubh — 11 akṣara)"), ("anuṣṭubh (śloka)", "anuṣṭubh", 8, "provisional", "anuṣṭubh (śloka) — 8 akṣara — provisional"), ("āryā", None, None, "ambiguous", "āryā — ambiguous"), ("x", None, None, "insufficient-evidence", "x — fragment only"), (None, None, None, "unidentified", "unidentified metre")]
 
 
-@query(f"SELECT name, status, label FROM {values([(a, d, e) for a, _, _, d, e in _LABELS], 'name, status, label')}")
+@golden(f"SELECT name, status, label FROM {values([(a, d, e) for a, _, _, d, e in _LABELS], 'name, status, label')}")
 def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([x[:4] for x in _LABELS], "name string, cls string, n int, status string")
     return rows.select("name", "status", V.verdict_label(F.col("name"), F.col("cls"), F.col("n"), F.col("status")).alias("label"))
@@ -86,7 +86,7 @@ def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BANK = [("Malini", "m.wav"), ("vasantatilaka", "v.wav"), ("_notes", "n.wav"), ("arya", "Giti.wav")]
 
 
-@query(f"SELECT meter, wav FROM {values([('MALINI', 'm.wav'), ('giti', 'Giti.wav'), ('arya', 'Giti.wav'), ('_notes', 'v.wav'), ('none', 'v.wav'), (None, 'v.wav')], 'meter, wav')}")
+@golden(f"SELECT meter, wav FROM {values([('MALINI', 'm.wav'), ('giti', 'Giti.wav'), ('arya', 'Giti.wav'), ('_notes', 'v.wav'), ('none', 'v.wav'), (None, 'v.wav')], 'meter, wav')}")
 def bank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("MALINI",), ("giti",), ("arya",), ("_notes",), ("none",), (None,)], "meter string")
     return V.bank_lookup(rows, spark.createDataFrame(_BANK, "meter string, wav string"), "meter", "vasantatilaka")

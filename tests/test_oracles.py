@@ -28,20 +28,25 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+CASES = {**{n: (f, registry.ORACLES[n]) for n, f in registry.QUERIES.items()}, **registry.GOLDEN}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
 def test_oracle(spark, sf, duck, name):
-    df = registry.QUERIES[name](spark, sf)
+    query, sql = CASES[name]
+    df = query(spark, sf)
     columns = sorted(df.columns)
     found = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    result = duck.execute(registry.ORACLES[name])
+    result = duck.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     wanted = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
     assert found == wanted
 
 
-def test_every_query_has_an_oracle():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+def test_every_query_has_an_oracle_and_reads_a_table():
+    assert set(registry.QUERIES) == set(registry.ORACLES) and not set(registry.QUERIES) & set(registry.GOLDEN)
+    assert all(set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split()) & set(TABLES) for sql in registry.ORACLES.values())
 
 
 @pytest.mark.parametrize("path", sorted(Path(registry.__file__).parent.glob("*.py")), ids=lambda p: p.stem)
