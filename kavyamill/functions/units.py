@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kavyamill.functions.text import DEVA_SIGNS, DEVA_VOWELS, SCRIPTS, VIRAMA, iast_to_deva, script_by_share
+from kavyamill.functions.text import DEVA_SIGNS, DEVA_VOWELS, SCRIPTS, VIRAMA, iast_to_deva, script_by_share, script_of
 
 # Roman vowels a protracted digit may follow; ITRANS letters and their roman forms; labels of units.
 PLUTA_VOWELS = "aāiīuūṛṝḷḹeo"
@@ -58,6 +58,17 @@ def displayed(text: Column, target: str) -> Column:
     return F.translate(text, "".join(letters), "".join(chr(_OFFSETS[target] + ord(c) - 0x0900) for c in letters))
 
 
+def in_devanagari(text: Column) -> Column:
+    """Text of any of SCRIPTS but grantha in Devanagari, by the block of its first Brahmic letter; others stay as they are."""
+    script = script_of(text)
+    letters = [chr(0x0900 + i) for i in range(0x70) if i not in (0x64, 0x65)]
+    out = text
+    for name, offset in _OFFSETS.items():
+        if name != "devanagari":
+            out = F.when(script == name, F.translate(text, "".join(chr(offset + ord(c) - 0x0900) for c in letters), "".join(letters))).otherwise(out)
+    return out
+
+
 def studio_lines(text: Column) -> Column:
     """Lines of an input: roman letters become Devanagari, newlines and dandas part, numbers and brackets go."""
     deva = F.when(text.rlike("[a-zA-Z]"), iast_to_deva(text)).otherwise(F.trim(text))

@@ -46,7 +46,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_WORDS},
 p AS (SELECT *, list_concat(regexp_extract_all(word, '[^aeiou]*(?:ai|au|[aeiou])'), list_filter([regexp_extract(word, '[^aeiou]+$')], lambda x: x <> '')) AS pieces FROM w)
 SELECT word, deva, word AS iast, slp1, {_KANNADA.format('deva')} AS kannada, array_to_string({_SHIFTED.format('deva', 0x300)}, '') AS telugu, CAST(len(places) AS BIGINT) AS aksharas, array_to_string(list_transform(pieces, lambda y: array_to_string(list_transform(regexp_extract_all(y, {_CUT}), lambda x: x), '.')), '|') AS split, list_contains({_CONS}, t[-1]) AS halant,
-CAST(len(places) AS BIGINT) AS counted, replace(word, 'ch', 'c') AS folded, array_to_string(string_split(slp1, ''), ' ') AS phones, slp1 || CASE WHEN list_contains({_VOWS}, t[-1]) THEN 'h' || right(slp1, 1) ELSE 'H' END AS echo, regexp_matches(slp1, '^[Szsh]') AS fricative, 'devanagari' AS script, 'devanagari' AS share, 'devanagari' AS strict, deva || '#' || deva AS studio FROM p""")
+CAST(len(places) AS BIGINT) AS counted, replace(word, 'ch', 'c') AS folded, array_to_string(string_split(slp1, ''), ' ') AS phones, slp1 || CASE WHEN list_contains({_VOWS}, t[-1]) THEN 'h' || right(slp1, 1) ELSE 'H' END AS echo, regexp_matches(slp1, '^[Szsh]') AS fricative, 'devanagari' AS script, 'devanagari' AS share, 'devanagari' AS strict, deva || '#' || deva AS studio, deva AS from_kannada, slp1 AS from_telugu FROM p""")
 def word_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every readable word in Devanagari, back in roman letters, in one letter a sound, in Kannada and Telugu, and what is counted there."""
     x, slp1, deva = F.col("word"), F.col("slp1"), F.col("deva")
@@ -54,6 +54,7 @@ def word_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select(
         "word", "deva", X.deva_to_iast(deva).alias("iast"), "slp1", X.deva_to_kannada(deva).alias("kannada"), U.displayed(deva, "telugu").alias("telugu"), P.aksharas(deva).cast("long").alias("aksharas"), dotted.alias("split"), X.ends_halant(F.concat(deva, F.lit(" ॥"))).alias("halant"),
         X.syllable_count(x).cast("long").alias("counted"), X.ascii_fold(x).alias("folded"), X.word_phones(slp1).alias("phones"), X.visarga_echo(F.concat(slp1, F.lit("H"))).alias("echo"), U.fricative_onset(slp1).alias("fricative"), X.script_of(deva).alias("script"), X.script_by_share(F.concat(deva, F.lit(" a"))).alias("share"), X.script_strict(deva).alias("strict"), F.array_join(U.studio_lines(F.concat(x, F.lit(" ॥ 12 ॥ "), x)), "#").alias("studio"),
+        U.in_devanagari(X.deva_to_kannada(deva)).alias("from_kannada"), X.deva_to_slp1(U.in_devanagari(U.displayed(deva, "telugu"))).alias("from_telugu"),
     )
 
 

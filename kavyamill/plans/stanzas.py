@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kavyamill import dims
 from kavyamill.functions import prosody as P
+from kavyamill.operators import attempts as A
 from kavyamill.operators import checks as K
 from kavyamill.operators import meter as M
 from kavyamill.operators import report as R
@@ -117,3 +118,29 @@ def supplier_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.lower("n_name")).when(kind == 2, F.upper(wav)).when(kind == 3, "none")
     rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", name.alias("meter"))
     return V.bank_lookup(rows, bank, "meter", "france").select("s_suppkey", "meter", "wav")
+
+
+_SAMA = values([(r[0], r[1], len(r[5][0]), r[5][0][:-1]) for r in dims.meter_rows() if r[3] == "sama-vrtta"], "ord, id, size, stem")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, array_to_string({LG}, '') AS p FROM conversations),
+c AS (SELECT conv_id, turn, n, m, unnest(range(len(p) // n)) AS k, p FROM t, (VALUES (22, 11), (21, 7)) AS l(n, m)),
+v AS (SELECT conv_id, turn, n, m, k, p[k * n + 1:k * n + n] AS x FROM c),
+e AS (SELECT v.*, s.id, s.size, s.ord FROM v JOIN {_SAMA.replace(') AS t(', ') AS s(')} ON n % s.size = 0 AND n // s.size <= 4 AND len(list_filter(range(n // s.size), lambda i: x[i * s.size + 1:i * s.size + s.size - 1] <> s.stem)) = 0),
+a AS (SELECT conv_id, turn, n, k, arg_min(id, (-size, ord)) AS id, max(size) AS size FROM e GROUP BY ALL),
+d AS (SELECT conv_id, turn, n, k, min(id) AS id, count(*) AS tied FROM (SELECT conv_id, turn, n, k, x[1:10] AS p1, x[12:21] AS p2 FROM v WHERE n = 22) JOIN {_KNOWN} ON p1 = a AND p2 = b AND p1 = c AND p2 = d GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, n, k, '{_MIXED[0]}', 1 FROM v WHERE n = 22 AND list_sort([x[1:10], x[12:21]]) = list_sort({_SIBLINGS})),
+w AS (SELECT conv_id, turn, n, k, min(id) AS id, sum(tied) AS tied FROM d GROUP BY ALL),
+o AS (SELECT conv_id, turn, n, k, arg_min(s.id, ord) AS id FROM v JOIN {_SAMA.replace(') AS t(', ') AS s(')} ON n = 21 AND s.size = 7 AND x[1:6] = s.stem GROUP BY ALL)
+SELECT v.conv_id, v.turn, v.n, CAST(v.k AS BIGINT) AS k, CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN v.n = 22 THEN 'doubled' WHEN o.id IS NOT NULL THEN 'first-exact' END AS strategy, coalesce(a.id, CASE WHEN v.n = 22 THEN coalesce(w.id, 'vedic-tristubh') ELSE o.id END) AS meter_id,
+CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN v.n = 22 THEN CASE WHEN w.tied > 1 THEN 'ambiguous' WHEN w.id IN {dims.DUAL_AUTHORITY} THEN 'identified' ELSE 'provisional' END WHEN o.id IS NOT NULL THEN 'exact' END AS status, CASE WHEN a.id IS NOT NULL THEN a.size WHEN v.n = 21 AND o.id IS NOT NULL THEN 7 END AS syllables
+FROM v LEFT JOIN a USING (conv_id, turn, n, k) LEFT JOIN w USING (conv_id, turn, n, k) LEFT JOIN o USING (conv_id, turn, n, k)""")
+def turn_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meter for every two lines of eleven and every three of seven of every turn, by the first reading that holds."""
+    turns, parts = _turns(spark, sf_dir), None
+    for n, m in ((22, 11), (21, 7)):
+        rows = turns.select("conv_id", "turn", F.posexplode_outer(F.regexp_extract_all("p", F.lit(f"(.{{{n}}})"), F.lit(1))).alias("k", "x")).where("x is not null")
+        laid = rows.select(F.struct("conv_id", "turn", F.lit(n).alias("n"), "k").alias("verse_id"), F.regexp_extract_all("x", F.lit(f"(.{{{m}}})"), F.lit(1)).alias("lines"))
+        parts = laid if parts is None else parts.unionByName(laid)
+    found = A.identified(parts)
+    return found.select("verse_id.conv_id", "verse_id.turn", "verse_id.n", F.col("verse_id.k").cast("long").alias("k"), "strategy", "meter_id", "status", "syllables")
