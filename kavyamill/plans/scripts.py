@@ -70,8 +70,8 @@ _JOINED = "deva || 'ः' || deva || 'ं' || deva || 'ं'"
 _QUIET = "[\\p{Nd}।॥|/\\\\—–\"''“”‘’„«»‹›*•·().,;!?\\x{200C}\\x{200D}-]"
 _STRIPPED = f"trim(regexp_replace(regexp_replace(replace(replace(n, ':-', 'ः'), ':', 'ः'), '{_QUIET}', '', 'g'), '\\s+', ' ', 'g'))"
 _TURNS = (("कखगघ", "ङ्"), ("चछजझ", "ञ्"), ("टठडढ", "ण्"), ("तथदध", "न्"), ("पफबभ", "म्"))
-_ADJACENT = _nasals("regexp_replace(regexp_replace({0}, 'ः([कख])', 'ᳵ\\1', 'g'), 'ः([पफ])', 'ᳶ\\1', 'g')", "", (("कखगघङ", "ङ्"), ("चछजझञ", "ञ्"), ("टठडढण", "ण्"), ("तथदधन", "न्"), ("पफबभम", "म्")))
-_ADJACENT = f"regexp_replace(replace({_ADJACENT}, 'ंय', 'ँय'), 'ं($|[ \\t\\n।॥])', 'म्\\1', 'g')"
+_BEFORE_SOUNDS = _nasals("regexp_replace(regexp_replace({0}, 'ः([कख])', 'ᳵ\\1', 'g'), 'ः([पफ])', 'ᳶ\\1', 'g')", "", (("कखगघङ", "ङ्"), ("चछजझञ", "ञ्"), ("टठडढण", "ण्"), ("तथदधन", "न्"), ("पफबभम", "म्")))
+_ADJACENT = f"regexp_replace(replace({_BEFORE_SOUNDS}, 'ंय', 'ँय'), 'ं($|[ \\t\\n।॥])', 'म्\\1', 'g')"
 _COLLAPSED = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '॥(\\s*॥)+', '॥', 'g'), '।(\\s*।)+', '।', 'g'))"
 _NUMBERLESS = "regexp_replace(regexp_replace({0}, '\\s*[०-९0-9]+\\s*[।॥]+', '॥', 'g'), '[०-९0-9]+', '', 'g')"
 _EDITED = "translate({0}, '()\"''“”‘’-‌', '')"
