@@ -83,6 +83,9 @@ def forged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Layouts of a turn's syllables: name, lengths of the lines, tradition.
 _LAYOUTS = (("three eights", (8, 8, 8), "vedic"), ("short third", (8, 8, 7), "vedic"), ("sloka", (8, 8, 8, 8), "classical"), ("one line", (11,), "classical"))
 _PARTIAL = values([(r[1], r[5][0], r[9]) for r in dims.meter_rows() if r[3] == "sama-vrtta" and len(r[5][0]) == 11], "id, q, policy")
+_EIGHTS = values([(r[1], *r[6], r[9] == "bidirectional") for r in dims.meter_rows() if all(len(p) == 8 for p in r[6])], "id, a, b, c, d, free")
+_EIGHT_FITS = " AND ".join(f"x[{8 * i + 1}:{8 * i + 7}] = left({q}, 7) AND (free OR {q}[8] = 'G' OR x[{8 * i + 8}] = {q}[8])" for i, q in enumerate("abcd"))
+_LASTS = " AND ".join(f"length(x[{8 * i + 1}:{8 * i + 8}]) + length(replace(x[{8 * i + 1}:{8 * i + 8}], 'L', '')) = {m}" for i, m in enumerate((12, 15, 12, 15)))
 _ODD = "(x[2:3] = 'LL')::INT + (NOT (x[5:7] = 'LGG' OR x[2:7] IN ('GLGGGG', 'GLGGLL', 'GGGGLL') OR x[4:7] IN ('GLLL', 'GGLG')))::INT"
 _EVEN = "(x[2:3] = 'LL')::INT + (x[2:4] = 'GLG')::INT + (x[5:7] <> 'LGL')::INT"
 
@@ -91,9 +94,10 @@ _EVEN = "(x[2:3] = 'LL')::INT + (x[2:4] = 'GLG')::INT + (x[5:7] <> 'LGL')::INT"
 r AS (SELECT conv_id, turn, layout, n, unnest(range(len(p) // n)) AS k, p FROM t, (VALUES {', '.join(f"('{name}', {sum(sizes)})" for name, sizes, _ in _LAYOUTS)}) AS l(layout, n)),
 c AS (SELECT conv_id, turn, layout, k, p[k * n + 1:k * n + n] AS x FROM r),
 o AS (SELECT conv_id, turn, layout, k, list_sum(list_transform(range(4), lambda i: CASE WHEN i % 2 = 0 THEN {_ODD.replace('x[', 'c.x[i * 8 + 1:i * 8 + 8][')} ELSE {_EVEN.replace('x[', 'c.x[i * 8 + 1:i * 8 + 8][')} END)) AS wrong FROM c WHERE layout = 'sloka'),
-m AS (SELECT conv_id, turn, layout, k, min(id) AS id, count(*) AS tied FROM c JOIN {_PARTIAL} ON left(x, 10) = left(q, 10) AND (x[11] = q[11] OR policy = 'bidirectional' OR q[11] = 'G') WHERE layout = 'one line' GROUP BY ALL)
-SELECT conv_id, turn, layout, CAST(k AS BIGINT) AS k, CASE WHEN layout = 'one line' THEN CASE WHEN m.id IS NULL THEN 'unidentified' ELSE 'insufficient-evidence' END ELSE 'provisional' END AS status, CASE layout WHEN 'three eights' THEN 'vedic-gayatri' WHEN 'short third' THEN 'vedic-gayatri-nicrt-pada-3' WHEN 'sloka' THEN 'anustubh-sloka' ELSE m.id END AS primary_id,
-CASE layout WHEN 'one line' THEN CASE WHEN m.id IS NOT NULL THEN 0 END WHEN 'sloka' THEN wrong ELSE 0 END::BIGINT AS distance FROM c LEFT JOIN o USING (conv_id, turn, layout, k) LEFT JOIN m USING (conv_id, turn, layout, k)""")
+g AS (SELECT conv_id, turn, layout, k, min(id) AS fixed, count(*) AS tied FROM (SELECT c.*, t.id FROM c JOIN {_EIGHTS} ON {_EIGHT_FITS} WHERE layout = 'sloka' UNION ALL SELECT c.*, 'upagiti' FROM c WHERE layout = 'sloka' AND {_LASTS} AND regexp_matches(x, '^{K.HALVES["second"]}{K.HALVES["second"]}$')) GROUP BY ALL),
+m AS (SELECT conv_id, turn, layout, k, min(id) AS id FROM c JOIN {_PARTIAL} ON left(x, 10) = left(q, 10) AND (x[11] = q[11] OR policy = 'bidirectional' OR q[11] = 'G') WHERE layout = 'one line' GROUP BY ALL)
+SELECT conv_id, turn, layout, CAST(k AS BIGINT) AS k, CASE WHEN layout = 'one line' THEN CASE WHEN m.id IS NULL THEN 'unidentified' ELSE 'insufficient-evidence' END WHEN g.tied + (wrong = 0)::INT > 1 THEN 'ambiguous' ELSE 'provisional' END AS status, CASE layout WHEN 'three eights' THEN 'vedic-gayatri' WHEN 'short third' THEN 'vedic-gayatri-nicrt-pada-3' WHEN 'sloka' THEN CASE WHEN wrong = 0 THEN least('anustubh-sloka', g.fixed) ELSE coalesce(g.fixed, 'anustubh-sloka') END ELSE m.id END AS primary_id,
+CASE layout WHEN 'one line' THEN CASE WHEN m.id IS NOT NULL THEN 0 END WHEN 'sloka' THEN CASE WHEN g.fixed IS NULL THEN wrong ELSE 0 END ELSE 0 END::BIGINT AS distance FROM c LEFT JOIN o USING (conv_id, turn, layout, k) LEFT JOIN g USING (conv_id, turn, layout, k) LEFT JOIN m USING (conv_id, turn, layout, k)""")
 def turn_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every turn's syllables laid out as Vedic stanzas, ślokas and single lines."""
     turns, parts = _turns(spark, sf_dir), None
