@@ -95,6 +95,13 @@ def duration_budget(reference: Column, syllables: Column, seconds: Column) -> Co
     return F.when(seconds > 0, reference + syllables * seconds)
 
 
+def exact_sum(values: Column) -> Column:
+    """Sum of a group's doubles that does not depend on their order: exact where each is a decimal number of at most 12
+    places and 18 digits before them, then rounded once; else, and for an infinite one, the sum of doubles."""
+    exact = values.try_cast("decimal(30,12)")
+    return F.when(F.bool_and(values.isNull() | exact.cast("double").eqNullSafe(values)), F.try_sum(exact).cast("double")).otherwise(F.sum(values))
+
+
 def fitted(values: Column, size: Column, fill: float = 2.0) -> Column:
     """The first `size` values, or all of them and as many of `fill` as are missing."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), F.greatest(size - F.size(values), F.lit(0)))), F.lit(1), size)

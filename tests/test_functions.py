@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kavyamill import dims
 from kavyamill.functions import arrow as A
 from kavyamill.functions import text as X
+from kavyamill.functions import units as U
 from kavyamill.operators import corpus as C
 from kavyamill.operators import timeline as T
 from kavyamill.operators import verse as V
@@ -99,3 +100,11 @@ def test_unit_helpers(spark):
     r = spark.range(1).select(U.map_put(m, F.lit("a"), F.lit(9)).alias("put"), U.map_delete(m, F.lit("b")).alias("deleted"), pair(["dhar", "ma"], "धर्म").alias("same"), pair(["dhar"], "धर्म").alias("other"), U.first_known(F.lit(None).cast("string"), F.lit(""), F.lit("x")).alias("known"), U.spread(F.array(F.lit(1.0), F.lit(9.0)), F.array(F.lit(2), F.lit(0))).alias("parts"), U.duration_budget(F.lit(1.0), F.lit(3), F.lit(0.0)).alias("none")).first()
     assert r.put == {"a": 9, "b": 2} and r.deleted == {"a": 1} and r.known == "x" and r.parts == [1.0, 1.0] and r.none is None
     assert [tuple(x) for x in r.same] == [("dhar", "ध"), ("ma", "र्म")] and r.other is None
+
+
+def test_sum_does_not_depend_on_the_order(spark):
+    rows = [(1, x / 100) for x in range(7, 60_000, 7)] + [(2, 0.1)] * 10 + [(3, 1e300), (3, 1.5)] + [(4, float("inf")), (4, 1.0)] + [(5, None)] + [(6, 1e-15)] * 2 + [(7, None), (7, 0.25)]
+    data = spark.createDataFrame(rows, "k int, x double")
+    for n in (1, 3, 7):
+        found = {r["k"]: r["s"] for r in data.repartition(n, "x").groupBy("k").agg(U.exact_sum(F.col("x")).alias("s")).collect()}
+        assert found == {1: sum(range(7, 60_000, 7)) / 100, 2: 1.0, 3: 1e300, 4: float("inf"), 5: None, 6: 2e-15, 7: 0.25}
