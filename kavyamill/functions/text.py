@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kavyamill.functions.prosody import bound
+
 # Letters of Devanagari and their roman forms.
 DEVA_CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḻ".split(), strict=True))
 DEVA_VOWELS = dict(zip("अआइईउऊऋॠऌॡएऐओऔ", "a ā i ī u ū ṛ ṝ ḷ ḹ e ai o au".split(), strict=True))
@@ -20,19 +22,27 @@ _CONS = "".join(DEVA_CONSONANTS)
 _SIGN = "".join(DEVA_SIGNS)
 
 
+def beyond_ascii(text: Column) -> Column:
+    """The characters of a text beyond ASCII, in order. An ASCII text, which has a byte a character, is not searched."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.when(text.isNotNull(), "")).otherwise(F.regexp_replace(text, r"[\x00-\x7F]++", ""))
+
+
 def script_of(text: Column) -> Column:
     """Block of the first character that is in one of ten Brahmic blocks; devanagari without any."""
-    first = F.regexp_extract(text, "([" + "".join(r for _, r in SCRIPTS) + "])", 1)
-    out = F.lit("devanagari")
-    for name, block in reversed(SCRIPTS):
-        out = F.when(first.rlike(f"[{block}]"), name).otherwise(out)
-    return out
+
+    def block_of(first: Column) -> Column:
+        out = F.lit("devanagari")
+        for name, block in reversed(SCRIPTS):
+            out = F.when(first.rlike(f"[{block}]"), name).otherwise(out)
+        return out
+
+    return bound(F.regexp_extract(beyond_ascii(text), "([" + "".join(r for _, r in SCRIPTS) + "])", 1), block_of)
 
 
 def script_by_share(text: Column) -> Column:
     """devanagari above 30 % of the characters, else iast with a roman diacritic, else unknown."""
-    deva = F.regexp_count(text, F.lit(r"[ऀ-ॿ]"))
-    return F.when(deva > F.length(text) * 0.3, "devanagari").when(text.rlike(f"[{IAST_LETTERS}]"), "iast").otherwise("unknown")
+    size = F.length(text)
+    return bound(beyond_ascii(text), lambda x: F.when(F.regexp_count(x, F.lit(r"[ऀ-ॿ]")) > size * 0.3, "devanagari").when(x.rlike(f"[{IAST_LETTERS}]"), "iast").otherwise("unknown"))
 
 
 def script_strict(text: Column) -> Column:

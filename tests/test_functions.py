@@ -108,3 +108,11 @@ def test_sum_does_not_depend_on_the_order(spark):
     for n in (1, 3, 7):
         found = {r["k"]: r["s"] for r in data.repartition(n, "x").groupBy("k").agg(U.exact_sum(F.col("x")).alias("s")).collect()}
         assert found == {1: sum(range(7, 60_000, 7)) / 100, 2: 1.0, 3: 1e300, 4: float("inf"), 5: None, 6: 2e-15, 7: 0.25}
+
+
+def test_script_searches_a_text_once(spark):
+    texts = ["", None, "plain", "ab ক क", "x\n" * 9 + "ஃ", "rāma 𑌅 ಕ", "é", "क" * 3 + "a" * 7, "क" * 4 + "a" * 6, "12 |"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.script_of(F.col("t")).alias("a"), X.script_by_share(F.col("t")).alias("b"), X.script_strict(F.col("t")).alias("c"))
+    plain = ("devanagari", "unknown", "iast")
+    assert [tuple(r) for r in df.collect()] == [("devanagari", "unknown", "none"), ("devanagari", "unknown", "none"), plain, ("bengali", "unknown", "mixed"), ("tamil", "unknown", "iast"), ("grantha", "iast", "iast"), plain, ("devanagari", "unknown", "mixed"), ("devanagari", "devanagari", "mixed"), ("devanagari", "unknown", "none")]
+    assert df.select("a")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
