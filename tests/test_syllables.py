@@ -79,3 +79,19 @@ def test_long_runs_of_letters(spark):
     text = "k" * 20000 + "a" + "ta" * 3000
     rows = S.analyses(spark.createDataFrame([(1, text), (2, "k" * 30000)], "verse_id int, text string")).select("verse_id", "pattern", "unread").collect()
     assert sorted(map(tuple, rows)) == [(1, "L" * 3001, None), (2, "", "no-vowel")]
+
+
+def test_syllables_are_judged_in_their_row(spark):
+    """No syllable is shuffled: verses are read without an exchange, and only counts and faults are gathered by verse."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    verses = spark.createDataFrame(list(VERSES.items()), "verse_id string, text string")
+    made = S.analyses(verses)
+    assert "Exchange" not in plan(made)
+    assert plan(S.recheck(made)).count("Exchange") == 1
+
+
+def test_a_long_line_is_read_in_linear_time(spark):
+    """A line of 80,000 syllables: places are found in blocks, not from the line's beginning."""
+    text = "rāma kṛṣṇa " * 20_000
+    (row,) = S.verified(spark.createDataFrame([("long", text)], "verse_id string, text string")).collect()
+    assert (row.status, row.syllables, row.guru) == ("verified", 80_000, 40_000)
