@@ -132,7 +132,12 @@ def deva_to_iast(text: Column) -> Column:
 
 def iast_to_deva(text: Column) -> Column:
     """Devanagari: a consonant before no vowel takes a virama."""
-    out = F.replace(F.replace(F.lower(F.trim(text)), F.lit("’"), F.lit("'")), F.lit("`"), F.lit("'"))
+    return lowered_to_deva(F.lower(F.trim(text)))
+
+
+def lowered_to_deva(text: Column) -> Column:
+    """iast_to_deva() of a text in lower case without blanks at its ends."""
+    out = F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("`"), F.lit("'"))
     letters = {**{v: k for k, v in DEVA_CONSONANTS.items()}}
     for roman in sorted(letters, key=len, reverse=True):
         out = F.replace(out, F.lit(roman), F.lit(letters[roman] + VIRAMA))

@@ -29,6 +29,7 @@ SOUND, SILENT = "\ue000", "\ue001"
 END, DIGIT, OTHER = "\ue002", "\ue003", "\ue00f"
 #: Characters of a block of a text that is cut at many places.
 BLOCK = 512
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKED.upper()
 
 _V, _M = P.VOWELS, P.MARKS
 _UNIT = rf"(?i:(?:{ROMAN_PAIRS})(?!\p{{M}})|\P{{M}}\p{{M}}*|\p{{M}}+)"
@@ -65,7 +66,10 @@ def _dotted(text: Column, script: Column) -> Column:
 def _read(units: Column, script: Column) -> Column:
     voiced = F.regexp_replace(units, f"(?<![^{END}])[{UNVOICED}][^{END}]*+", "")
     marked = F.regexp_replace(voiced, f"(?<![^{END}])[3३](?={END})", DIGIT)
-    roman = P.canonical_iast(composed(F.lower(marked)))
+    # Letters whose lower case is known are translated, which is much faster than the general way.
+    known = F.translate(marked, _UPPER, _UPPER.lower())
+    lowered = F.when(marked.rlike(f"[^\\x00-\\x7F{_UPPER}{_UPPER.lower()}{END}{DIGIT}]"), F.lower(marked)).otherwise(known)
+    roman = P.canonical_lower(composed(lowered))
     read = F.when(script == "devanagari", F.translate(X.deva_to_slp1(F.replace(marked, F.lit(":"), F.lit("ः"))), "'", "")).otherwise(F.translate(roman, "~", "M"))
     sounds = F.translate(F.regexp_replace(F.translate(read, "~", "M"), f"[^{P.ALPHABET}{END}{DIGIT}]", "?"), DIGIT, "3")
     dots = F.regexp_replace(units, f"[^{END}]", SOUND)
@@ -119,7 +123,7 @@ def analyses(verses: DataFrame) -> DataFrame:
     head = f"[^{_V}{END}]*+[{_V}]"
     rows = rows.withColumn("latin", X.slp1_to_iast(F.col("slp1"))).withColumn("onsets", F.regexp_replace("slp1", f"([^{_V}{END}]*+)[{_V}][^{END}]*+", "$1"))
     rows = rows.withColumns({
-        "sizes": counts(F.col("dots")), "silences": counts(F.regexp_replace("dots", f"{SOUND}[^{END}]*+", "")), "iast": parts(F.col("latin")), "deva": parts(F.replace(X.iast_to_deva(F.col("latin")), F.lit("3"), F.lit("३"))), "onset": parts(X.slp1_to_iast(F.col("onsets"))), "crowds": counts(F.col("onsets")),
+        "sizes": counts(F.col("dots")), "silences": counts(F.regexp_replace("dots", f"{SOUND}[^{END}]*+", "")), "iast": parts(F.col("latin")), "deva": parts(F.replace(X.lowered_to_deva(F.col("latin")), F.lit("3"), F.lit("३"))), "onset": parts(X.slp1_to_iast(F.col("onsets"))), "crowds": counts(F.col("onsets")),
         "vowel": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"[^{_V}{END}]*+([{_V}])[^{END}]*+", "$1"))), "mark": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"{head}3?+([{_M}]?+)[^{END}]*+", "$1"))), "coda": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"{head}3?+[{_M}]?+([^{END}]*+)", "$1"))),
         "from": _point(F.col("source"), F.col("start")), "blocks": _blocks(F.col("text")),
     })
@@ -191,7 +195,7 @@ def _expected(cut: Column) -> Column:
         onset = part(f"((?:[Oo]{one})*+)V")
         crowd = F.regexp_replace(F.regexp_replace(onset, f"o{one}", ""), f"O{one}", "O")
         shown = written(joined)
-        deva = F.replace(X.iast_to_deva(shown), F.lit("3"), F.lit("३"))
+        deva = F.replace(X.lowered_to_deva(shown), F.lit("3"), F.lit("३"))
         columns = {"iast": shown, "deva": deva, "onset": written(onset), "vowel": written(part(f"(?:[Oo]{one})*+(V{one}(?:v{one})?+)")), "mark": written(part(f"{head}(?:P{one})?+((?:M{one})?+)")), "coda": written(part(f"{head}(?:P{one})?+(?:M{one})?+((?:[Oo]{one})*+)")), "pluta": part(f"{head}((?:P{one})?+)")}
         crowds = F.transform(following(parts(crowd)), F.char_length)
         return F.arrays_zip(*[parts(x).alias(name) for name, x in columns.items()], following(parts(shown)).alias("next"), crowds.alias("crowd"))
