@@ -116,3 +116,17 @@ def test_script_searches_a_text_once(spark):
     plain = ("devanagari", "unknown", "iast")
     assert [tuple(r) for r in df.collect()] == [("devanagari", "unknown", "none"), ("devanagari", "unknown", "none"), plain, ("bengali", "unknown", "mixed"), ("tamil", "unknown", "iast"), ("grantha", "iast", "iast"), plain, ("devanagari", "unknown", "mixed"), ("devanagari", "devanagari", "mixed"), ("devanagari", "unknown", "none")]
     assert df.select("a")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_weights_by_classes(spark):
+    """The second scanner has no fold over letters, and finds by its own rules what the first one does."""
+    import random
+
+    from kavyamill.functions import prosody as P
+
+    rng = random.Random(3)
+    texts = ["", None, "krt", "a", "ak", "akt", "aM", "akM", "A", "MHa", "kaH~", "x" * 3] + ["".join(rng.choice("aiuAeOkKtnMH~é") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.pattern(F.col("t")).alias("a"), P.class_pattern(F.col("t")).alias("b"))
+    rows = df.collect()
+    assert [r.b for r in rows[:12]] == ["", None, "", "L", "L", "G", "G", "G", "G", "L", "G", "LLL"]
+    assert all(r.a == r.b for r in rows if r.t is not None)
