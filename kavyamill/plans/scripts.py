@@ -12,7 +12,7 @@ from kavyamill.functions import prosody as P
 from kavyamill.functions import text as X
 from kavyamill.functions import units as U
 from kavyamill.operators import verse as V
-from kavyamill.plans.registry import query, table
+from kavyamill.plans.registry import query, words
 
 _CONS = [c for c in X.DEVA_CONSONANTS.values() if c.isascii()]
 _VOWS = ["a", "i", "u", "e", "o", "ai", "au"]
@@ -38,8 +38,7 @@ _WEIGHTS = "array_to_string(list_transform(tokens, lambda x, i: CASE WHEN contai
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).distinct()
-    rows = words.where("word rlike '[aeiou]' and not word rlike '[fqwxz]'").withColumn("deva", X.iast_to_deva(F.col("word")))
+    rows = words(spark, sf_dir).where("word rlike '[aeiou]' and not word rlike '[fqwxz]'").withColumn("deva", X.iast_to_deva(F.col("word")))
     return rows.withColumn("slp1", X.deva_to_slp1(F.col("deva")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kavyamill.functions import prosody as P
 from kavyamill.operators import syllables as S
-from kavyamill.plans.registry import query, table
+from kavyamill.plans.registry import query, table, words
 
 _V, _LONG = P.VOWELS, P.LONG
 _PAIRS = "lower(p)"
@@ -59,8 +59,7 @@ SELECT word, code, CAST(CASE WHEN kind < {len(FORGED)} OR code = 'PADA_INDEX_MIS
 UNION ALL SELECT word, 'PADA_INDEX_MISMATCH', unnest(range(len(regexp_extract_all(word, 'ai|au|[aeiou]')))) FROM k WHERE kind = {len(FORGED) + 3}""")
 def forged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second reading says of every readable word of the documents after one thing in its analysis was forged."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).distinct()
-    rows = S.analyses(words.select(F.col("word").alias("verse_id"), F.col("word").alias("text"))).where("unread is null")
+    rows = S.analyses(words(spark, sf_dir).select(F.col("word").alias("verse_id"), F.col("word").alias("text"))).where("unread is null")
     kind = F.expr(_KIND.replace("word", "verse_id"))
 
     def change(x, i):
