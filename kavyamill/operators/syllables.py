@@ -316,7 +316,9 @@ def annotated(analysis: DataFrame) -> DataFrame:
     piece has the weight of the syllable whose vowel stands in it, and none where only consonants do. Syllables and
     words meet by their places in the source, in the row.
     """
-    rows = analysis.where("unread is null and size(syllables) > 0")
+    # Exploded, as a filter on the syllables themselves is derived down to where they are made, and makes them all again.
+    held = F.when(F.col("unread").isNull() & (F.size("syllables") > 0), F.array("syllables"))
+    rows = analysis.select("verse_id", "pada_index", "source", F.explode_outer(held).alias("syllables")).where("syllables is not null")
     begin, end = F.get("syllables", F.lit(0))["start"], F.element_at("syllables", -1)["end"]
     line = F.substr(F.col("source"), begin + 1, end - begin)
     # A word's blanks before it travel with it, so that lengths add up to places.
