@@ -50,9 +50,9 @@ def identified(verses: DataFrame, tradition: str = "auto") -> DataFrame:
         F.struct(F.lit(DOUBLED).alias("strategy"), F.concat("lines", "lines").alias("lines")),
         F.when(several, F.struct(F.lit(FIRST).alias("strategy"), F.slice("lines", 1, 1).alias("lines"))),
     )
-    laid = clean.select("verse_id", F.explode(readings).alias("r")).where("r is not null")
-    units = laid.select(F.struct("verse_id", "r.strategy").alias("verse_id"), F.posexplode_outer("r.lines").alias("unit_no", "pattern"))
-    verdicts = M.identify(units, tradition).where("status <> 'unidentified'").select("verse_id.verse_id", "verse_id.strategy", F.col("primary_id").alias("meter_id"), "status")
+    laid = clean.select("verse_id", F.explode_outer(readings).alias("r")).where("r is not null")
+    laid = laid.select("verse_id", "r.strategy", F.col("r.lines").alias("units"), F.lit(tradition).alias("asked"))
+    verdicts = M.verdicts(laid).where("status <> 'unidentified'").select("verse_id", "strategy", F.col("primary_id").alias("meter_id"), "status")
     verdicts = verdicts.where((F.col("strategy") != DOUBLED) | (F.col("meter_id") != NOT_DOUBLED)).withColumn("syllables", F.lit(None).cast("int"))
     whole = clean.select("verse_id", F.lit(EXACT).alias("strategy"), F.array_join("lines", "").alias("pattern"))
     first = clean.where(several).select("verse_id", F.lit(FIRST_EXACT).alias("strategy"), F.get("lines", F.lit(0)).alias("pattern"))

@@ -1,17 +1,18 @@
-"""A second opinion on meter reports: rules written anew as regular expressions and exploded places, never the maker's.
+"""A second opinion on meter reports: rules written anew as regular expressions, shapes and places, never the maker's.
 
-Each issue is a row (verse_id, code, id); a report without a row stands. Verses are shuffled by their id and the tables
-of meters are broadcast, as in the maker.
+Each issue is a row (verse_id, code, id); a report without a row stands. The tables of meters are broadcast, and a report is
+checked in its row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kavyamill import dims
+from kavyamill.functions import prosody as P
 
 # The weights of the parts that the counted families are made of.
 FOOT, ODD_FOOT, SIXTH = "(?:GG|GLL|LGL|LLG|LLLL)", "(?:GG|GLL|LLG|LLLL)", "(?:LGL|LLLL)"
@@ -23,75 +24,76 @@ HALVES = {
 SLOKA = "(?:(?:(?!.LL)(?:....LGG.|.GLGGGG.|.GLGGLL.|.GGGGLL.|...GLLL.|...GGLG.))(?:(?!.LL)(?!.GLG)....LGL.))+"
 
 
-def _lines(units: DataFrame) -> DataFrame:
-    """(verse_id, unit_no, pattern, start, verse, n_units): where each line begins and the whole verse beside it."""
-    order = Window.partitionBy("verse_id").orderBy("unit_no")
-    every = Window.partitionBy("verse_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.sum(F.length("pattern")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    verse = F.array_join(F.collect_list("pattern").over(every), "")
-    return units.withColumn("start", before.cast("int")).withColumn("verse", verse).withColumn("n_units", F.count("*").over(every))
-
-
-def _cut_at(lines: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """Verses of n syllables all of whose lines end where a pāda of (keys, n, end) ends."""
-    met = lines.withColumn("end", F.col("start") + F.length("pattern")).withColumn("n", F.length("verse")).join(F.broadcast(ends), ["n", "end"])
-    return met.groupBy("verse_id", "verse", "n_units", *keys).agg(F.count_distinct("unit_no").alias("met")).where("met = n_units")
-
-
-def expected_candidates(units: DataFrame) -> DataFrame:
-    """(verse_id, id, family) of all that fits by these rules: fixed, upajati, sloka, jati, vedic and partial."""
-    spark, lines = units.sparkSession, _lines(units)
-    rows, fixed_ends = [], []
+def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Shapes of the fixed meters and Vedic counts by the size of a verse, and meters of equal pādas by a line without its last."""
+    shapes: dict[int, dict[tuple, list]] = {}
+    stems: dict[str, list] = {}
     for r in dims.meter_rows():
-        at, n = 0, sum(map(len, r[6]))
+        sizes = tuple(map(len, r[6]))
         # All finals are free: the two licensed one way end in a heavy syllable, for which a light one may stand.
-        rows.append((r[1], "^" + "".join(p[:-1] + "." for p in r[6]) + "$"))
-        for p in r[6]:
-            at += len(p)
-            fixed_ends.append((r[1], n, at))
-    shapes = F.broadcast(spark.createDataFrame(rows, "id string, shape string"))
-    fixed = _cut_at(lines, spark.createDataFrame(fixed_ends, "id string, n int, end int"), ["id"]).join(shapes, "id").where("verse rlike shape").select("verse_id", "id", F.lit("fixed").alias("family"))
-
+        shapes.setdefault(sum(sizes), {}).setdefault(sizes, []).append(("".join(p[:-1] + "." for p in r[6]), r[1]))
+        if r[3] == "sama-vrtta":
+            stems.setdefault(r[5][0][:-1], []).append(r[1])
+    counts: dict[int, list] = {}
+    for base, ident, lengths, rank in dims.vedic_rows():
+        counts.setdefault(sum(lengths), []).append((base, ident, rank, [sum(lengths[: i + 1]) for i in range(len(lengths))]))
+    rows = [(n, [([sum(z[: i + 1]) for i in range(4)], list(z), x) for z, x in shapes.get(n, {}).items()], counts.get(n, [])) for n in {*shapes, *counts}]
+    sized = spark.createDataFrame(rows, "n int, fixed array<struct<ends:array<int>,sizes:array<int>,of:array<struct<shape:string,id:string>>>>, counts array<struct<base:string,id:string,grade:int,ends:array<int>>>")
+    return F.broadcast(sized), F.broadcast(spark.createDataFrame([*stems.items()], "stem string, alike array<string>"))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with what is seen of a verse's lines, `given`, none of which may be null: units, verse, n, n_units, where they end."""
+    rows = rows.withColumn("units", F.when(~F.exists("given", lambda x: x.isNull()), F.col("given"))).withColumn("verse", F.array_join("units", "")).withColumn("n", F.length("verse")).withColumn("n_units", F.size("units"))
+    upto = lambda i: F.length(F.array_join(F.slice("units", F.lit(1), i), ""))
+    rows = rows.withColumn("until", F.when(F.col("n_units") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n_units", F.lit(1))), upto)))
+    line = F.get("units", F.lit(0))
+    return rows.withColumn("stem", F.when(F.col("n_units").between(1, 2), F.left(line, F.length(line) - 1)))
+
+
+def expected_candidates() -> Column:
+    """Structs (id, family) of all that fits a row of _read() with its _tables(): fixed, upajati, sloka, jati, vedic and partial."""
+    one = lambda ident, family: F.struct(ident.alias("id"), F.lit(family).alias("family"))
+    cut_at = lambda ends: F.size(F.array_except("until", ends)) == 0
+    none = F.array().cast("array<struct<id:string,family:string>>")
+
+    def fixed(s: Column) -> Column:
+        bare = F.array_join(F.zip_with(s["ends"], s["sizes"], lambda end, size: F.concat(F.substr(F.col("verse"), end - size + 1, size - 1), F.lit("."))), "")
+        return F.transform(P.bound(bare, lambda b: F.filter(s["of"], lambda x: x["shape"] == b)), lambda x: one(x["id"], "fixed"))
+
+    found = [F.flatten(F.transform(F.filter("fixed", lambda s: cut_at(s["ends"])), fixed))]
     by_id = {r[1]: r[5][0] for r in dims.meter_rows()}
-    pairs = [(ident, f"^(?:(?:{by_id[a][:-1]}|{by_id[b][:-1]}).){{4}}$", f"^(?:{by_id[a][:-1]}.){{4}}$|^(?:{by_id[b][:-1]}.){{4}}$", 4 * len(by_id[a]), end * len(by_id[a])) for ident, _, a, b in dims.UPAJATI for end in range(1, 5)]
-    mixes = spark.createDataFrame(pairs, "id string, mix string, pure string, n int, end int")
-    mixed = _cut_at(lines, mixes, ["id", "mix", "pure"]).where("verse rlike mix and not verse rlike pure").select("verse_id", "id", F.lit("upajati").alias("family"))
-
-    counts = [(base, ident, rank, sum(lengths), sum(lengths[: i + 1])) for base, ident, lengths, rank in dims.vedic_rows() for i in range(len(lengths))]
-    classes = _cut_at(lines, spark.createDataFrame(counts, "base string, id string, grade int, n int, end int"), ["base", "id", "grade"])
-    closest = classes.groupBy("verse_id", "base").agg(F.min("grade").alias("grade"))
-    vedic = classes.join(closest, ["verse_id", "base", "grade"]).select("verse_id", "id", F.lit("vedic").alias("family"))
-
+    for ident, _, a, b in dims.UPAJATI:
+        size, first, second = len(by_id[a]), by_id[a][:-1], by_id[b][:-1]
+        fits = (F.col("n") == 4 * size) & cut_at(F.array(*[F.lit(size * i) for i in range(1, 5)])) & F.col("verse").rlike(f"^(?:(?:{first}|{second}).){{4}}$") & ~F.col("verse").rlike(f"^(?:{first}.){{4}}$|^(?:{second}.){{4}}$")
+        found.append(F.when(fits, F.array(one(F.lit(ident), "upajati"))))
+    grades = lambda met: F.filter(met, lambda c: ~F.exists(met, lambda d: (d["base"] == c["base"]) & (d["grade"] < c["grade"])))
+    found.append(F.transform(P.bound(F.filter("counts", lambda c: cut_at(c["ends"])), grades), lambda c: one(c["id"], "vedic")))
+    eights = (F.col("n") >= 32) & (F.col("n") % 16 == 0) & F.forall("units", lambda u: F.length(u) % 8 == 0)
+    found.append(F.when(eights, F.array(one(F.lit("anustubh-sloka"), "sloka"))))
     # Times of the lines' ends: a heavy syllable counts two.
     times = lambda x: F.length(x) + F.length(F.replace(x, F.lit("L"), F.lit("")))
-    spans = lines.withColumn("until", times(F.substr("verse", F.lit(1), F.col("start") + F.length("pattern"))))
-    per_verse = spans.groupBy("verse_id", "verse").agg(F.collect_set("until").alias("untils"), F.bool_and(F.length("pattern") % 8 == 0).alias("eights"))
-    families = [F.when(F.col("eights") & (F.length("verse") >= 32) & (F.length("verse") % 16 == 0), F.struct(F.lit("anustubh-sloka").alias("id"), F.lit("sloka").alias("family")))]
+    untils = F.transform("until", lambda e: times(F.substr("verse", F.lit(1), e)))
     for ident, _, quarters, halves in dims.JATI:
         ends = F.array(*[F.lit(sum(quarters[: i + 1])) for i in range(4)])
-        fits = F.col("verse").rlike(f"^{HALVES[halves[0]]}{HALVES[halves[1]]}$") & (F.size(F.array_except("untils", ends)) == 0)
-        families.append(F.when(fits, F.struct(F.lit(ident).alias("id"), F.lit("jati").alias("family"))))
-    counted = per_verse.select("verse_id", F.explode(F.array_compact(F.array(*families))).alias("f")).select("verse_id", "f.*")
-
-    single = F.broadcast(spark.createDataFrame([(r[1], len(r[5][0]), r[5][0][:-1]) for r in dims.meter_rows() if r[3] == "sama-vrtta"], "id string, size int, stem string"))
-    alike = lines.where("n_units <= 2").withColumn("size", F.length("pattern")).join(single, "size").where("startswith(pattern, stem)")
-    partial = alike.groupBy("verse_id", "id", "n_units").agg(F.count_distinct("unit_no").alias("met")).where("met = n_units").select("verse_id", "id", F.lit("partial").alias("family"))
-    return reduce(DataFrame.unionByName, [fixed, mixed, counted, vedic, partial])
-
-
-def omitted(units: DataFrame, reports: DataFrame) -> DataFrame:
-    """What fits and is not listed, for the tradition that each report says it was asked for."""
-    listed = reports.select("verse_id", "requested", F.transform("candidates", lambda c: c["id"]).alias("ids"), F.exists("candidates", lambda c: c["match_type"] == "near").alias("near"))
-    found = expected_candidates(units)
-    settled = found.groupBy("verse_id").agg(F.bool_or(F.col("family").isin("fixed", "upajati", "jati")).alias("exact"), F.bool_or(F.col("family") == "sloka").alias("sloka"), F.bool_or((F.col("family") == "vedic")).alias("counts"))
-    exact_sloka = _lines(units).select("verse_id", "verse").distinct().where(F.col("verse").rlike(f"^{SLOKA}$")).select("verse_id", F.lit(True).alias("clean"))
-    rows = found.join(settled, "verse_id").join(exact_sloka, "verse_id", "left").join(listed, "verse_id")
-    exact = F.col("exact") | (F.col("sloka") & F.coalesce("clean", F.lit(False)))
-    is_vedic = F.col("family") == "vedic"
+        fits = (times(F.col("verse")) == sum(quarters)) & F.col("verse").rlike(f"^{HALVES[halves[0]]}{HALVES[halves[1]]}$") & (F.size(F.array_except(untils, ends)) == 0)
+        found.append(F.when(fits, F.array(one(F.lit(ident), "jati"))))
+    same = F.forall("units", lambda u: (F.length(u) == F.length("stem") + 1) & u.startswith(F.col("stem")))
+    found.append(F.when(same, F.transform("alike", lambda x: one(x, "partial"))))
+    return F.concat(*[F.coalesce(x, none) for x in found])
+
+
+def omitted() -> Column:
+    """What fits and is not listed, for the tradition that each report says it was asked for, of a row with `due`, what fits."""
+    of = lambda *families: F.exists("due", lambda x: x["family"].isin(*families))
+    exact = of("fixed", "upajati", "jati") | (of("sloka") & F.col("verse").rlike(f"^{SLOKA}$"))
+    rows_near = F.exists("candidates", lambda c: c["match_type"] == "near")
     wants_vedic = (F.col("requested") == "vedic") | ((F.col("requested") == "auto") & ~exact)
-    whole = F.col("exact") | F.col("sloka") | F.col("near") | (F.col("counts") & wants_vedic)
-    due = F.when(is_vedic, wants_vedic).when(F.col("family") == "partial", (F.col("requested") != "vedic") & ~whole).otherwise(F.col("requested") != "vedic")
-    return rows.where(due & ~F.array_contains("ids", F.col("id"))).select("verse_id", F.lit("EXPECTED_CANDIDATE_OMITTED").alias("code"), "id")
+    whole = of("fixed", "upajati", "jati", "sloka") | rows_near | (of("vedic") & wants_vedic)
+    state = F.struct(wants_vedic.alias("vedic"), ((F.col("requested") != "vedic") & ~whole).alias("partial"), (F.col("requested") != "vedic").alias("other"), F.transform("candidates", lambda c: c["id"]).alias("ids"))
+    wanted = lambda s, x: F.when(x["family"] == "vedic", s["vedic"]).when(x["family"] == "partial", s["partial"]).otherwise(s["other"])
+    left = P.bound(state, lambda s: F.filter("due", lambda x: wanted(s, x) & ~F.array_contains(s["ids"], x["id"])))
+    return F.transform(left, lambda x: F.struct(F.lit("EXPECTED_CANDIDATE_OMITTED").alias("code"), x["id"].alias("id")))
 
 
 def _order_key(c: Column) -> Column:
@@ -101,41 +103,34 @@ def _order_key(c: Column) -> Column:
     return F.concat(match, evidence, F.lpad(c["distance"].cast("string"), 9, "0"), F.lpad(c["boundary_transformations"].cast("string"), 9, "0"), F.when(c["tradition"] == "vedic", "1").otherwise("0"))
 
 
-def list_issues(units: DataFrame, reports: DataFrame) -> DataFrame:
-    """Issues of whole reports: the lines, repeated ids, order, first candidate, status and flag."""
-    given = units.groupBy("verse_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_no", F.coalesce("pattern", F.lit("?")).alias("p")))).alias("m"))
-    rows = reports.join(given.select("verse_id", F.concat_ws(" ", F.transform(F.array_sort(F.map_keys("m")), lambda k: F.element_at("m", k))).alias("given")), "verse_id", "left")
+def list_issues(rows: DataFrame) -> DataFrame:
+    """Rows with `issues`, those of whole reports: the lines, repeated ids, order, first candidate, status and flag."""
+    shown = lambda name: F.concat_ws(" ", F.transform(name, lambda p: F.coalesce(p, F.lit("?"))))
+    rows = rows.withColumn("read", F.when(F.col("given").isNotNull(), shown("given")))
     rows = rows.withColumn("keys", F.transform("candidates", _order_key)).withColumn("ids", F.transform("candidates", lambda c: c["id"]))
     full_keys = F.transform(F.arrays_zip("keys", "ids"), lambda x: F.concat(x["keys"], x["ids"]))
     first = F.get("candidates", F.lit(0))
     rivals = F.size(F.filter("keys", lambda k: k == F.get("keys", F.lit(0))))
     sure = (first["match_type"] == "exact") & (first["evidence"] != "count-only") & (first["evidence"] != "fragment") & first["id"].isin(*dims.DUAL_AUTHORITY)
-    readable = ~F.coalesce(F.contains("given", F.lit("?")), F.lit(True))
+    readable = ~F.coalesce(F.contains("read", F.lit("?")), F.lit(True))
     due = F.when(~readable, "invalid-analysis").when((F.size("candidates") == 0) | (first["match_type"] == "near"), "unidentified").when(first["match_type"] == "partial", "insufficient-evidence").when(rivals >= 2, "ambiguous").when(sure, "identified").otherwise("provisional")
     codes = {
-        "UNIT_PATTERNS_CHANGED": ~F.concat_ws(" ", F.transform("unit_patterns", lambda p: F.coalesce(p, F.lit("?")))).eqNullSafe(F.col("given")),
+        "UNIT_PATTERNS_CHANGED": ~shown("unit_patterns").eqNullSafe(F.col("read")),
         "DUPLICATE_CANDIDATE_ID": F.size(F.array_distinct("ids")) != F.size("ids"),
         "CANDIDATES_OUT_OF_ORDER": F.concat_ws(" ", full_keys) != F.concat_ws(" ", F.array_sort(full_keys)),
         "PRIMARY_MISMATCH": ~first["id"].eqNullSafe(F.col("primary_id")),
         "STATUS_MISMATCH": F.col("status") != due,
         "IDENTIFIED_FLAG_MISMATCH": F.col("identified") != (due == "identified"),
     }
-    return _issues(rows, codes, F.lit(None).cast("string"))
+    return rows.withColumn("issues", _issues(codes, F.lit(None).cast("string")))
 
 
-def _issues(rows: DataFrame, codes: dict[str, Column], ident: Column) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(bad, code) for code, bad in codes.items()]))
-    return rows.select("verse_id", F.explode(found).alias("code"), ident.alias("id"))
+def _issues(codes: dict[str, Column], ident: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), ident.alias("id"))) for code, bad in codes.items()]))
 
 
-def candidate_issues(units: DataFrame, reports: DataFrame) -> DataFrame:
-    """Issues of single candidates: target, observed pādas, distance and match, evidence, display and notes."""
-    spark = units.sparkSession
-    fixed = spark.createDataFrame([(r[1], r[2], r[6], r[8], " / ".join(" · ".join({"b": "bha", "G": "G", "L": "L"}.get(c, c + "a") for c in f) for f in r[4])) for r in dims.meter_rows()], "id string, true_name string, target array<string>, true_yati array<int>, formula string")
-    members = spark.createDataFrame([(u[0], n, p[:-1]) for u in dims.UPAJATI for n, p in ((r[2], r[5][0]) for r in dims.meter_rows() if r[1] in u[2:])], "id string, member string, stem string").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "member"))).alias("by_stem"))
-    verses = _lines(units).select("verse_id", "verse", "n_units").distinct()
-    rows = reports.select("verse_id", F.explode("candidates").alias("c")).join(verses, "verse_id").withColumn("id", F.col("c.id"))
-    rows = rows.join(F.broadcast(fixed), "id", "left").join(F.broadcast(members), "id", "left")
+def candidate_issues() -> Column:
+    """Issues of a candidate `c` of a row of _described(): target, observed pādas, distance and match, evidence, display and notes."""
     is_fixed, c = F.col("target").isNotNull(), F.col("c")
     pieces = F.size(c["observed"])
     whole = pieces == 4
@@ -173,7 +168,31 @@ def candidate_issues(units: DataFrame, reports: DataFrame) -> DataFrame:
         "CLASSIFICATION_CHANGED": is_fixed & (~c["classification"]["gana_formula"].eqNullSafe(F.col("formula")) | (c["classification"]["system"] != "varna-vrtta")),
         "AUTHORITY_CHANGED": (c["authority"] == "dual-root-bhasya") != F.col("id").isin(*dims.DUAL_AUTHORITY),
     }
-    return _issues(rows, codes, F.col("id"))
+    return _issues(codes, F.col("id"))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows of a candidate `c` with what is known of its id: name, target, caesuras and feet, or the members of a mixed meter."""
+    spark = rows.sparkSession
+    fixed = spark.createDataFrame([(r[1], r[2], r[6], r[8], " / ".join(" · ".join({"b": "bha", "G": "G", "L": "L"}.get(c, c + "a") for c in f) for f in r[4])) for r in dims.meter_rows()], "id string, true_name string, target array<string>, true_yati array<int>, formula string")
+    members = spark.createDataFrame([(u[0], {p[:-1]: n for n, p in ((r[2], r[5][0]) for r in dims.meter_rows() if r[1] in u[2:])}) for u in dims.UPAJATI], "id string, by_stem map<string,string>")
+    return rows.withColumn("id", F.col("c.id")).join(F.broadcast(fixed), "id", "left").join(F.broadcast(members), "id", "left")
+
+
+def of_rows(rows: DataFrame) -> DataFrame:
+    """check() of reports that hold the lines of their verse as an array, `given`: rows of verse_id, code and id.
+
+    Nothing is shuffled: a report meets fixed tables by broadcast joins, and what is wrong with it is found in its row; only
+    its candidates become rows, with the report as a whole, whose candidate is null, before them.
+    """
+    sized, stems = _tables(rows.sparkSession)
+    made = _read(rows).join(sized, "n", "left").join(stems, "stem", "left").withColumn("due", expected_candidates())
+    made = list_issues(made).withColumn("whole", F.concat("issues", omitted()))
+    kind = rows.schema["candidates"].dataType
+    parts = F.concat(F.array(F.lit(None).cast(kind.elementType)), F.when(F.col("verse").isNotNull(), F.col("candidates")).otherwise(F.array().cast(kind)))
+    parts = made.select("verse_id", "verse", "n_units", "whole", F.posexplode_outer(parts).alias("place", "c"))
+    found = F.when(F.col("place") == 0, F.col("whole")).otherwise(candidate_issues())
+    return _described(parts).select("verse_id", F.explode_outer(found).alias("x")).where("x is not null").select("verse_id", "x.code", "x.id")
 
 
 def check(units: DataFrame, reports: DataFrame) -> DataFrame:
@@ -181,7 +200,5 @@ def check(units: DataFrame, reports: DataFrame) -> DataFrame:
 
     Verses with a null pattern have no candidates to look for: for them only the report as a whole is checked.
     """
-    broken = units.where("pattern is null").select("verse_id").distinct()
-    readable = units.join(broken, "verse_id", "left_anti")
-    parts = [list_issues(units, reports), omitted(readable, reports), candidate_issues(readable, reports)]
-    return reduce(DataFrame.unionByName, parts).select("verse_id", "code", "id")
+    lines = units.groupBy("verse_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "pattern"))).alias("given"))
+    return of_rows(reports.join(lines.withColumn("given", F.transform("given", lambda x: x["pattern"])), "verse_id", "left"))

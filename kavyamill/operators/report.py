@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kavyamill import dims
@@ -16,24 +18,24 @@ SYSTEMS = {"vedic": "vedic-chandas", "jati": "matra-jati"}
 #: What an error of the analysis leaves of a verdict.
 INVALID = "invalid-analysis"
 
-_NAMED_DDL = "id string, name string, forms array<string>, lengths array<int>, matra_ends array<int>, feet array<string>, yati array<int>, members array<struct<name:string,stem:string>>"
+_NAMED = "map<string,struct<name:string,forms:array<string>,lengths:array<int>,matra_ends:array<int>,feet:array<string>,yati:array<int>,members:array<struct<name:string,stem:string>>>>"
 
 
-def named(spark: SparkSession) -> DataFrame:
-    """A row for each id that a candidate may have: its name, pādas, quarters, feet, caesuras, members and template."""
+def named() -> Column:
+    """By each id that a candidate may have: its name, pādas, quarters, feet, caesuras and members. A fixed table of a few
+    hundred entries, folded into the plan."""
     by_id = {r[1]: r for r in dims.meter_rows()}
-    rows: list[tuple] = [(r[1], r[2], r[6], [len(p) for p in r[6]], None, r[4], r[8], None) for r in by_id.values()]
+    rows: dict[str, dict] = {r[1]: {"name": r[2], "forms": r[6], "lengths": [len(p) for p in r[6]], "feet": r[4], "yati": r[8]} for r in by_id.values()}
     for ident, name, *pair in dims.UPAJATI:
-        rows.append((ident, name, None, [len(by_id[pair[0]][5][0])] * 4, None, None, None, [(by_id[x][2], by_id[x][5][0][:-1]) for x in pair]))
-    rows += [(ident, name, None, None, [sum(quarters[: i + 1]) for i in range(4)], None, None, None) for ident, name, quarters, _ in dims.JATI]
+        rows[ident] = {"name": name, "lengths": [len(by_id[pair[0]][5][0])] * 4, "members": [{"name": by_id[x][2], "stem": by_id[x][5][0][:-1]} for x in pair]}
+    for ident, name, quarters, _ in dims.JATI:
+        rows[ident] = {"name": name, "matra_ends": [sum(quarters[: i + 1]) for i in range(4)]}
     names = {ident: name for ident, name, _ in dims.VEDIC}
     for base, ident, lengths, _ in dims.vedic_rows():
         variant = ident.removeprefix(base).strip("-").replace("-", " ")
-        rows.append((ident, f"{names[base]} {variant}".strip(), None, lengths, None, None, None, None))
-    rows.append(("anustubh-sloka", "anuṣṭubh (śloka)", None, None, None, None, None, None))
-    table = spark.createDataFrame(rows, _NAMED_DDL)
-    template = F.array_join(F.transform(F.array_distinct("forms"), lambda p: P.template(p, F.col("yati"))), " / ")
-    return table.withColumn("template", template).withColumn("gana_formula", gana_formula(F.col("feet")))
+        rows[ident] = {"name": f"{names[base]} {variant}".strip(), "lengths": lengths}
+    rows["anustubh-sloka"] = {"name": "anuṣṭubh (śloka)"}
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _NAMED)
 
 
 def gana_formula(feet: Column) -> Column:
@@ -85,35 +87,56 @@ def report(units: DataFrame, tradition: str = "auto", include_near: bool = True)
     A null pattern is a line that could not be scanned: its verse is an invalid analysis without candidates. A column
     `asked` of the units overrides `tradition` by verse. Nothing is collected beyond one verse's candidates.
     """
-    asked = units if "asked" in units.columns else units.withColumn("asked", F.lit(tradition))
-    lines = F.array_sort(F.collect_list(F.struct("unit_no", "pattern")))
-    whole = asked.groupBy("verse_id").agg(lines.alias("u"), F.first("asked").alias("requested"), F.bool_or(F.col("pattern").isNull()).alias("broken"))
-    whole = whole.select("verse_id", "requested", "broken", F.transform("u", lambda x: x["pattern"]).alias("unit_patterns"))
-    v = M.verses(asked).select("verse_id", "pattern", "units", "matra_cum", "n")
-    found = M.candidates(asked, include_near=include_near).drop("asked").join(v, "verse_id").join(F.broadcast(named(units.sparkSession)), "id")
+    return of_rows(M.verses(units, tradition), include_near)
+
+
+def of_rows(rows: DataFrame, include_near: bool = True) -> DataFrame:
+    """Rows of (units, asked), a verse each, without these but with what report() says of it; nothing is shuffled."""
+    made = M.listed(rows, include_near)
+    others = [x for x in rows.columns if x not in ("units", "asked")]
+    words = lambda c: {"tied": M.tied(c).cast("long"), **M.named_fields(c)}
+    made = made.withColumn("c", F.transform("found", lambda c, i: F.struct((i + 1).alias("rank"), *[x.alias(name) for name, x in words(c).items()], F.element_at(named(), c["id"]).alias("named"))))
     eights = F.transform(F.sequence(F.lit(1), F.greatest((F.col("n") / 8).cast("int"), F.lit(1))), lambda i: i * 8)
-    ends = F.when(F.col("match_type") == "partial", P.prefix_sums(F.transform("units", F.length))).when(F.col("kind") == "sloka", eights).when(F.col("kind") == "jati", F.transform("matra_ends", lambda m: F.array_position("matra_cum", m).cast("int"))).otherwise(P.prefix_sums(F.col("lengths")))
-    found = found.withColumn("ends", ends)
-    observed = F.transform("ends", lambda e, i: (lambda begin: F.substr(F.col("pattern"), begin + 1, e - begin))(F.when(i > 0, F.get(F.col("ends"), i - 1)).otherwise(0)))
-    found = found.withColumn("observed", observed).withColumn("expected", F.when(F.col("forms").isNotNull(), F.slice("forms", F.lit(1), F.size("observed"))))
-    licence = F.array_compact(F.transform("observed", lambda p, i: F.when(F.right(p, F.lit(1)) != F.right(F.get("expected", i), F.lit(1)), F.concat(F.lit("final-licence-"), i + 1))))
-    member = lambda p: F.element_at(F.transform(F.filter("members", lambda m: p.startswith(m["stem"])), lambda m: m["name"]), 1)
-    subtypes = F.when(F.col("kind") == "upajati", F.transform("observed", member)).when(F.col("kind") == "sloka", F.transform("observed", lambda p, i: M.sloka_pada(p, i % 2 == 1)["subtype"])).otherwise(F.array().cast("array<string>"))
-    sizes = F.transform("observed", F.length)
-    candidate = F.struct(
-        "rank", "id", "name", "kind", "tradition", "match_type", "distance", "boundary_transformations", "evidence", "tied", "observed", "expected", "template", "yati",
-        subtypes.alias("subtypes"), F.coalesce(licence, F.array().cast("array<string>")).alias("notes"), V.authority(F.col("id"), F.col("tradition")).alias("authority"),
-        classification(F.col("id"), F.col("kind"), F.col("tradition"), sizes, F.col("name"), F.col("gana_formula"), F.col("yati")).alias("classification"),
-    )
-    listed = found.groupBy("verse_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
-    rows = whole.join(listed, "verse_id", "left").withColumn("candidates", F.when(F.col("broken") | F.col("candidates").isNull(), F.slice(F.coalesce("candidates", F.array().cast(listed.schema["candidates"].dataType)), 1, 0)).otherwise(F.col("candidates")))
-    first = F.get("candidates", F.lit(0))
+    before = lambda m: F.length(F.translate(F.substr("moras", F.lit(1), m), M.LATER, ""))
+
+    def ends(c: Column) -> Column:
+        return F.when(c["match_type"] == "partial", F.col("cum")).when(c["kind"] == "sloka", eights).when(c["kind"] == "jati", F.transform(c["named"]["matra_ends"], before)).otherwise(P.prefix_sums(c["named"]["lengths"]))
+
+    def observed(c: Column) -> Column:
+        return F.transform(c["ends"], lambda e, i: P.bound(F.when(i > 0, F.get(c["ends"], i - 1)).otherwise(0), lambda begin: F.substr(F.col("pattern"), begin + 1, e - begin)))
+
+    expected = lambda c: F.when(c["named"]["forms"].isNotNull(), F.slice(c["named"]["forms"], F.lit(1), F.size(c["observed"])))
+    steps = {"ends": ends, "observed": observed, "expected": expected}
+    adding = lambda name, step: lambda c: c.withField(name, step(c))
+    for name, step in steps.items():  # a column for each, so that what is used twice is worked out once
+        made = made.withColumn("c", F.transform("c", adding(name, step)))
+    none = F.array().cast("array<string>")
+
+    def shown(c: Column) -> Column:
+        held, seen = c["named"], c["observed"]
+        licence = F.array_compact(F.transform(seen, lambda p, i: F.when(F.right(p, F.lit(1)) != F.right(F.get(c["expected"], i), F.lit(1)), F.concat(F.lit("final-licence-"), i + 1))))
+        member = lambda p: F.get(F.transform(F.filter(held["members"], lambda m: p.startswith(m["stem"])), lambda m: m["name"]), F.lit(0))
+        subtypes = F.when(c["kind"] == "upajati", F.transform(seen, member)).when(c["kind"] == "sloka", F.transform(seen, lambda p, i: M.sloka_pada(p, i % 2 == 1)["subtype"])).otherwise(none)
+        template = F.array_join(F.transform(F.array_distinct(held["forms"]), lambda p: P.template(p, held["yati"])), " / ")
+        kept = ("rank", "id", "name", "kind", "tradition", "match_type", "distance", "boundary_transformations", "evidence", "tied", "observed", "expected")
+        return F.struct(
+            *[(held if x == "name" else c)[x].alias(x) for x in kept], template.alias("template"), held["yati"].alias("yati"),
+            subtypes.alias("subtypes"), F.coalesce(licence, none).alias("notes"), V.authority(c["id"], c["tradition"]).alias("authority"),
+            classification(c["id"], c["kind"], c["tradition"], F.transform(seen, F.length), held["name"], gana_formula(held["feet"]), held["yati"]).alias("classification"),
+        )
+
+    made = made.select(*others, "asked", "unit_patterns", F.explode_outer(F.array(F.transform("c", shown))).alias("candidates"))  # as in listed()
+    first, broken = F.get("candidates", F.lit(0)), F.exists("unit_patterns", lambda u: u.isNull())
     full = (first["match_type"] == "exact") & first["evidence"].isin("full-verse", "extended-stanza")
     covered = first["authority"] == "dual-root-bhasya"
-    status = F.when(F.col("broken"), INVALID).when(first.isNull() | (first["match_type"] == "near"), "unidentified").when(first["match_type"] == "partial", "insufficient-evidence").when(first["tied"] > 1, "ambiguous").when(full & covered, "identified").otherwise("provisional")
-    rows = rows.withColumn("status", status).withColumn("identified", F.col("status") == "identified").withColumn("primary_id", first["id"])
+    status = F.when(broken, INVALID).when(first.isNull() | (first["match_type"] == "near"), "unidentified").when(first["match_type"] == "partial", "insufficient-evidence").when(first["tied"] > 1, "ambiguous").when(full & covered, "identified").otherwise("provisional")
+    made = made.withColumn("status", status).withColumn("identified", F.col("status") == "identified").withColumn("primary_id", first["id"])
     diagnostics = F.array_compact(F.array(diagnostic(F.col("status"), first["match_type"], first["tradition"], covered, first["tied"])))
-    return rows.select("verse_id", "requested", "status", "identified", "primary_id", "unit_patterns", diagnostics.alias("diagnostics"), "candidates")
+    return made.select(*others, F.col("asked").alias("requested"), "status", "identified", "primary_id", "unit_patterns", diagnostics.alias("diagnostics"), "candidates")
+
+
+#: Columns of a report beside its verse's own.
+REPORT = ("requested", "status", "identified", "primary_id", "unit_patterns", "diagnostics", "candidates")
 
 
 def summary(reports: DataFrame) -> DataFrame:
@@ -122,7 +145,7 @@ def summary(reports: DataFrame) -> DataFrame:
     c = first["classification"]
     label = V.verdict_label(first["name"], c["count_class"], c["syllables_per_pada"], F.when(F.col("status") != "unidentified", F.col("status")))
     return reports.select(
-        "verse_id", (F.col("status") != INVALID).alias("ok"), F.when(first.isNotNull() & ~F.col("status").isin("unidentified", INVALID), label).otherwise("unidentified metre").alias("label"), "status", "identified",
+        *[x for x in reports.columns if x not in REPORT], (F.col("status") != INVALID).alias("ok"), F.when(first.isNotNull() & ~F.col("status").isin("unidentified", INVALID), label).otherwise("unidentified metre").alias("label"), "status", "identified",
         *[first[x].alias(x) for x in ("name", "kind", "tradition", "match_type", "template", "yati", "subtypes", "authority")], c["count_class"].alias("count_class"), c["gana_formula"].alias("gana_formula"), "diagnostics",
     )
 

@@ -4,6 +4,7 @@ import random
 
 from kavyamill import dims
 from kavyamill.operators import checks as K
+from kavyamill.operators import meter as M
 from kavyamill.operators import report as R
 from kavyamill.plans.registry import meter as Q
 
@@ -67,3 +68,15 @@ def test_scan(spark):
     texts = spark.createDataFrame([("a", "\n".join(Q.VERSES["bg-15-15"])), ("b", "janmādy 2 yat"), ("c", None), ("d", "")], "verse_id string, text string")
     found = {x.verse_id: (x.ok, x.meter.status, x.meter.primary_id) for x in R.scan(texts).collect()}
     assert found == {"a": (True, "identified", "indravajra"), "b": (False, "invalid-analysis", None), "c": (False, "invalid-analysis", None), "d": (False, "invalid-analysis", None)}
+
+
+def test_a_verse_is_judged_in_its_row(spark):
+    """What is made of a verse's row is not shuffled, whatever is asked of it, so no task holds more for larger tables."""
+    rows = spark.createDataFrame([(1, ["GGLGGLLGLGG"] * 4, "classical"), (2, ["GGLGGLLGLGG"], "auto"), (3, ["GL", None], "auto"), (4, None, "auto")], "verse_id int, units array<string>, asked string")
+    reports = R.of_rows(rows.selectExpr("*", "units as given"))
+    found = K.of_rows(reports.withColumn("identified", ~reports.identified))
+    for frame in (M.verdicts(rows), reports, found):
+        shuffles = [x for x in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+        assert shuffles == []
+    assert sorted((x.verse_id, x.code) for x in found.collect() if x.verse_id < 4) == [(k, "IDENTIFIED_FLAG_MISMATCH") for k in (1, 2, 3)]
+    assert [(x.status, x.primary_id) for x in M.verdicts(rows).orderBy("verse_id").collect()] == [("identified", "indravajra"), ("insufficient-evidence", "indravajra"), ("unidentified", None), ("unidentified", None)]
