@@ -137,11 +137,10 @@ CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN v.n = 22 THEN CASE WHEN w.tied > 1
 FROM v LEFT JOIN a USING (conv_id, turn, n, k) LEFT JOIN w USING (conv_id, turn, n, k) LEFT JOIN o USING (conv_id, turn, n, k)""")
 def turn_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A meter for every two lines of eleven and every three of seven of every turn, by the first reading that holds."""
-    # Dealt again as patterns, which the readings share, so that a turn is scanned once.
-    turns, parts = dealt(_turns(spark, sf_dir), "conv_id", "turn", "p"), None
-    for n, m in ((22, 11), (21, 7)):
-        rows = turns.select("conv_id", "turn", F.posexplode_outer(F.regexp_extract_all("p", F.lit(f"(.{{{n}}})"), F.lit(1))).alias("k", "x")).where("x is not null")
-        laid = rows.select(F.struct("conv_id", "turn", F.lit(n).alias("n"), "k").alias("verse_id"), F.regexp_extract_all("x", F.lit(f"(.{{{m}}})"), F.lit(1)).alias("lines"))
-        parts = laid if parts is None else parts.unionByName(laid)
+    cut = lambda x, n: F.regexp_extract_all(x, F.lit(f"(.{{{n}}})"), F.lit(1))
+    laid = F.array(*[F.struct(F.lit(n).alias("n"), cut("p", n).alias("verses")) for n in (22, 21)])
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.inline_outer(laid)).select("conv_id", "turn", "n", F.posexplode_outer("verses").alias("k", "x")).where("x is not null")
+    lines = F.when(F.col("n") == 22, cut("x", 11)).otherwise(cut("x", 7))
+    parts = rows.select(F.struct("conv_id", "turn", "n", "k").alias("verse_id"), lines.alias("lines"))
     found = A.identified(parts)
     return found.select("verse_id.conv_id", "verse_id.turn", "verse_id.n", F.col("verse_id.k").cast("long").alias("k"), "strategy", "meter_id", "status", "syllables")

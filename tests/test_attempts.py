@@ -1,7 +1,12 @@
 """Readings of a verse, laid out together: which one wins."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from kavyamill import dims
 from kavyamill.operators import attempts as A
+from kavyamill.operators import meter as M
 
 IV, UV = "GGLGGLLGLGG", "LGLGGLLGLGG"
 SLOKA = ["GGGGLGGG", "GLGLLGLL", "GGLLLGGG", "GGGGLGLL"]
@@ -43,3 +48,44 @@ def test_repeated_against_a_loop(spark):
                 break
     frame = spark.createDataFrame([(p,) for p in sorted(set(patterns))], "p string").selectExpr("p as id", "p")
     assert {r.id: (r.meter_id, r.syllables) for r in A.repeated(frame, "p", ["id"]).collect()} == wanted
+
+
+def test_a_verse_is_read_in_its_row(spark):
+    """Nothing is shuffled, so verses need no ids of their own."""
+    frame = spark.createDataFrame([("a", [IV, UV]), ("a", [IV] * 3), (None, [IV])], "verse_id string, lines array<string>")
+    found = A.identified(frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert rows == [("a", A.DOUBLED, "akhyanaki", "ambiguous", None), ("a", A.EXACT, "indravajra", "exact", 11), (None, A.EXACT, "indravajra", "exact", 11)]
+
+
+def test_settled_against_verdicts(spark):
+    """All but near and partial first candidates, of the catalogue's verses whole, in halves and in lines, with changes."""
+    draw = random.Random(3)
+    verses = []
+    for r in dims.meter_rows():
+        four = list(r[6])
+        verses += [four, ["".join(four)], ["".join(four[:2]), "".join(four[2:])], four[:2], four[:1], [four[0], "".join(four[1:])]]
+        verses += [[p[:-1] + draw.choice("LGX") for p in four] for _ in range(2)] + [[p[:-1] + "L" for p in four], [four[0][:3] + "X" + four[0][4:], *four[1:]]]
+        i = draw.randrange(len(four[0]))
+        verses += [[four[0][:i] + draw.choice("LG") + four[0][i + 1 :], *four[1:]], [four[0] + "G", *four[1:]]]
+    for a, b in (("GGLGGLLGLGG", "LGLGGLLGLGG"), ("LGLGGLLGLGLG", "GGLGGLLGLGLG")):
+        verses += [[draw.choice((a, b))[:-1] + draw.choice("LG") for _ in range(4)] for _ in range(12)]
+    for _, _, lengths in dims.VEDIC:
+        for step in (-2, -1, 0, 1):
+            verses.append(["".join(draw.choice("LG") for _ in range(n + step * (i == 1))) for i, n in enumerate(lengths)])
+    feet = {4: ["GG", "GLL", "LGL", "LLG", "LLLL"], 2: ["G", "LL"], 1: ["L", "X"]}
+    for _, _, quarters, halves in dims.JATI:
+        for tries in range(40):
+            made = [[draw.choice(["GG", "GLL", "LLG", "LLLL"] if n == 4 and i % 2 == 0 else ["LGL", "LLLL"] if n == 4 and i == 5 and tries % 3 else ["G"] if n == 2 and tries % 4 else feet[n]) for i, n in enumerate(dims.JATI_FEET[h])] for h in halves]
+            verses += [["".join(made[0]), "".join(made[1])], ["".join(made[0][:3]), "".join(made[0][3:]), "".join(made[1][:3]), "".join(made[1][3:])], ["".join(made[0]) + made[1][0], "".join(made[1][1:])]]
+    sloka = [SLOKA, SLOKA[:2] * 3, ["".join(SLOKA[:2]), "".join(SLOKA[2:])], [SLOKA[0], *SLOKA[:3]], SLOKA * 2, SLOKA[:3], ["".join(SLOKA) * 2]]
+    verses = [x for x in verses + sloka if all(x)]
+    rows = [(i, asked, x) for i, x in enumerate(verses) for asked in ("auto", "classical", "vedic")]
+    frame = spark.createDataFrame([*rows, (-1, "auto", None)], "id int, asked string, units array<string>")
+    wanted = {(r.id, r.kept): (r.status, r.primary_id) if r.match_type in ("exact", "class-compatible") else (None, None) for r in M.verdicts(frame.withColumn("kept", F.col("asked"))).collect()}
+    found = {(r.id, r.kept): (r.status, r.primary_id) for r in M.settled(spark, ["id", "kept"])(frame.withColumn("kept", F.col("asked"))).collect()}
+    assert found == wanted
+    told = {x for x in found.values()}
+    assert {x[0] for x in told} == {None, "identified", "provisional", "ambiguous"} and {x[0] for x in dims.JATI} | {"anustubh-sloka", "vedic-pankti", "upajati-jagati"} <= {x[1] for x in told}
