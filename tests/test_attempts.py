@@ -89,3 +89,9 @@ def test_settled_against_verdicts(spark):
     assert found == wanted
     told = {x for x in found.values()}
     assert {x[0] for x in told} == {None, "identified", "provisional", "ambiguous"} and {x[0] for x in dims.JATI} | {"anustubh-sloka", "vedic-pankti", "upajati-jagati"} <= {x[1] for x in told}
+
+
+def test_a_doubled_half_of_a_giti(spark):
+    """A half that keeps the rules by mātrās is no mere count of syllables; the query's SQL does not know these."""
+    frame = spark.createDataFrame([(1, ["LLLLLLGLLLL", "LLGGGLGLGGG"])], "verse_id int, lines array<string>")
+    assert [tuple(r) for r in A.identified(frame).collect()] == [(1, A.DOUBLED, "giti", "provisional", None)]
