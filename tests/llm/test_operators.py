@@ -294,6 +294,22 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert found == wanted
 
 
+def test_substring_dedup_of_a_crowd(spark, monkeypatch):
+    """A passage in very many different surroundings is compared in groups of bounded size."""
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    short, long, odd, near = made(360), made(640), made(430), made(900)
+    texts = [made(rng.randrange(0, 250)) + p + made(rng.randrange(0, 450)) for p in (short, long, odd) for _ in range(150)]
+    texts += [made(100) + "-" * rng.randrange(380, 480) + made(100) for _ in range(60)]
+    texts += [near[:i] + "x" + near[i + 1 :] for i in rng.sample(range(900), 100)] + [texts[0], texts[200], texts[200]]
+    seen, compared = [], substring_dedup.compared
+    monkeypatch.setattr(substring_dedup, "CROWD", 30)
+    monkeypatch.setattr(substring_dedup, "compared", lambda context: seen.append(context) or compared(context))
+    found, wanted = cut_rows(spark, [*enumerate(texts), (400, texts[400]), (None, texts[160])])
+    assert found == wanted
+    assert seen[0].groupBy("part", "side").count().agg(F.max("count")).first()[0] <= 30
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     from kavyamill.llm import queries
 
