@@ -79,6 +79,14 @@ def is_monotonic(df: DataFrame, keys: list[str], order: str, value: str) -> Data
     return df.withColumn("_before", F.lag(value).over(_w(keys, order))).where(F.col(value) <= F.col("_before")).drop("_before")
 
 
+def ordered_totals(df: DataFrame, keys: list[str], order: str | list[str], value: str) -> DataFrame:
+    """keys, n (rows) and total: each group's values added one after the other, as a sum of doubles depends on their order.
+    Null values count as rows only; a total of none is null. A group is sorted, with spill, and never held as an array."""
+    w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    running = df.select(*keys, F.count("*").over(w).alias("_n"), F.sum(value).over(w).alias("_total"))
+    return running.groupBy(*keys).agg(F.max("_n").alias("n"), F.max_by("_total", "_n").alias("total"))
+
+
 def clamp_rising(values: Column, step: float) -> Column:
     """An ordered array made to rise: a value not above the one before becomes that plus `step`."""
     start = F.array().cast("array<double>")

@@ -10,6 +10,7 @@ from kavyamill.functions import prosody as P
 from kavyamill.functions import text as X
 from kavyamill.functions import units as U
 from kavyamill.operators import meter as M
+from kavyamill.operators import timeline as T
 from kavyamill.plans.prosody import LG
 from kavyamill.plans.registry import golden, query, table, values
 
@@ -51,8 +52,9 @@ def match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH w AS (SELECT user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY user_id) SELECT user_id, CASE WHEN total > 0 THEN round(5.0 + n * total, 4) END AS budget, list_resize([CAST(n AS DOUBLE)], CAST(1 + n % 3 AS BIGINT), 2.0::DOUBLE) AS fitted, [greatest(total, 2.0) / 2, greatest(total, 2.0) / 2, greatest(n, 1.0)] AS spread FROM w")
 def unit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budgets, padded vectors and even shares of each user's sums."""
-    sums = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), U.exact_sum(F.col("value")).alias("total"))
+    """Budgets, padded vectors and even shares of each user's sums, added in the order of the files' rows."""
+    events = table(spark, sf_dir, "events").select("user_id", "value", "_metadata.file_path", "_metadata.row_index")
+    sums = T.ordered_totals(events, ["user_id"], ["file_path", "row_index"], "value")
     return sums.select(
         "user_id",
         F.round(U.duration_budget(F.lit(5.0), F.col("n"), F.col("total")), 4).alias("budget"),

@@ -110,6 +110,33 @@ def test_sum_does_not_depend_on_the_order(spark):
         assert found == {1: sum(range(7, 60_000, 7)) / 100, 2: 1.0, 3: 1e300, 4: float("inf"), 5: None, 6: 2e-15, 7: 0.25}
 
 
+def test_durations_add_values_in_the_order_of_rows(spark, tmp_path):
+    """Bit for bit what one addition after the other gives, however the rows are split into files, row groups and tasks."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from kavyamill.plans import units
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3, 3, 3, None]), rng.choice([None, rng.randint(0, 60_000) / 100, rng.random(), 1e16, -1e16])) for _ in range(6_000)] + [(7, None), (8, float("nan")), (8, 1.0), (9, -0.5)]
+    totals, counts = {}, {}
+    for user, x in rows:
+        counts[user] = counts.get(user, 0) + 1
+        totals[user] = totals.get(user) if x is None else (totals.get(user) or 0.0) + x
+    (tmp_path / "events.parquet").mkdir()
+    for k, part in enumerate((rows[:2_500], rows[2_500:])):
+        pq.write_table(pa.table({"user_id": pa.array([r[0] for r in part], pa.int64()), "value": pa.array([r[1] for r in part], pa.float64())}), tmp_path / "events.parquet" / f"part-{k}.parquet", row_group_size=300)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = {r.user_id: list(map(repr, r.spread)) for r in units.unit_durations(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    share = lambda x: x / 2 if x is not None and not x <= 2.0 else 1.0
+    assert found == {u: [repr(share(totals[u]))] * 2 + [repr(float(n))] for u, n in counts.items()}
+
+
 def test_script_searches_a_text_once(spark):
     texts = ["", None, "plain", "ab ক क", "x\n" * 9 + "ஃ", "rāma 𑌅 ಕ", "é", "क" * 3 + "a" * 7, "क" * 4 + "a" * 6, "12 |"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.script_of(F.col("t")).alias("a"), X.script_by_share(F.col("t")).alias("b"), X.script_strict(F.col("t")).alias("c"))
