@@ -29,6 +29,8 @@ SOUND, SILENT = "\ue000", "\ue001"
 END, DIGIT, OTHER = "\ue002", "\ue003", "\ue00f"
 #: Characters of a block of a text that is cut at many places.
 BLOCK = 512
+#: Letters and digits that no reading of roman text knows, as they stand, whatever marks follow them.
+FOREIGN = "FQWXZfqwxz0-24-9À-ÐÒ-ÖØ-ðò-öø-ÿ"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKED.upper()
 
 _V, _M = P.VOWELS, P.MARKS
@@ -91,13 +93,15 @@ def _cut(text: Column, blocks: Column, start: Column, size: Column) -> Column:
     return F.when(size <= BLOCK, F.substr(F.concat(F.get(blocks, k), F.coalesce(F.get(blocks, k + 1), F.lit(""))), start - k * BLOCK + 1, size)).otherwise(F.substr(text, start + 1, size))
 
 
-def analyses(verses: DataFrame) -> DataFrame:
+def analyses(verses: DataFrame, spelled: bool = True) -> DataFrame:
     """A row for each pāda of (verse_id, text): verse_id, pada_index, source (the verse), script, normalized, unread,
     pattern, matras and syllables, an array of SYLLABLE in order.
 
     Null and blank verses, and those without a pāda, have no row. What can't be read as Sanskrit stands in `unread` and
     the pāda has no syllables. Give each verse its own id. A verse is read in its row, and nothing is shuffled; what
     syllables have in common is worked out for a pāda's syllables at once, joined with END, in time linear in its length.
+    Without `spelled` a roman pāda with one of FOREIGN is read no further: it is unread (unknown-character) whatever else
+    it holds, and only its `normalized` is another, ? alone.
     """
     rows = verses.select("verse_id", F.col("text").alias("source"), X.script_strict(F.col("text")).alias("script"), boundary_mode(F.col("text")).alias("mode"))
     rows = rows.select("verse_id", "source", "script", source_padas(F.col("source"), F.col("mode")).alias("padas"))
@@ -108,7 +112,8 @@ def analyses(verses: DataFrame) -> DataFrame:
     # Each piece: silence before, the syllable with all dots inside it, and those of its last sound.
     cut = lambda p: F.regexp_extract_all(p["dotted"], F.lit(f"({SILENT}*)({syllable}(?:(?=[^{_V}]*$){last})?{SOUND}*)"), F.lit(0))
     left = lambda p: F.regexp_replace(p["bare"], f"[^{_V}{_M}3?]*+[{_V}]3?+[{_M}]?+", "")
-    steps = {"dotted": lambda p: _dotted(p["text"], F.col("script")), "bare": lambda p: F.translate(p["dotted"], SOUND + SILENT, ""), "good": lambda p: p["bare"].rlike(f"[{_V}]") & ~left(p).rlike(f"[{_M}3?]"), "pieces": lambda p: F.when(p["good"], cut(p)).otherwise(F.array().cast("array<string>"))}
+    foreign = lambda p: F.lit(not spelled) & (F.col("script") != "devanagari") & p["text"].rlike(f"[{FOREIGN}]")
+    steps = {"dotted": lambda p: F.when(foreign(p), "?").otherwise(_dotted(p["text"], F.col("script"))), "bare": lambda p: F.translate(p["dotted"], SOUND + SILENT, ""), "good": lambda p: p["bare"].rlike(f"[{_V}]") & ~left(p).rlike(f"[{_M}3?]"), "pieces": lambda p: F.when(p["good"], cut(p)).otherwise(F.array().cast("array<string>"))}
     adding = lambda name, step: lambda p: p.withField(name, step(p))
     for name, step in steps.items():  # a column for each, so that what is used twice is worked out once
         rows = rows.withColumn("padas", F.transform("padas", adding(name, step)))
@@ -125,7 +130,7 @@ def analyses(verses: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "sizes": counts(F.col("dots")), "silences": counts(F.regexp_replace("dots", f"{SOUND}[^{END}]*+", "")), "iast": parts(F.col("latin")), "deva": parts(F.replace(X.lowered_to_deva(F.col("latin")), F.lit("3"), F.lit("३"))), "onset": parts(X.slp1_to_iast(F.col("onsets"))), "crowds": counts(F.col("onsets")),
         "vowel": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"[^{_V}{END}]*+([{_V}])[^{END}]*+", "$1"))), "mark": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"{head}3?+([{_M}]?+)[^{END}]*+", "$1"))), "coda": parts(X.slp1_to_iast(F.regexp_replace("slp1", f"{head}3?+[{_M}]?+([^{END}]*+)", "$1"))),
-        "from": _point(F.col("source"), F.col("start")), "blocks": _blocks(F.col("text")),
+        "from": _point(F.col("source"), F.col("start")), "blocks": F.when(F.col("good"), _blocks(F.col("text"))),
     })
     long = [dict(zip(X.SLP1_VOWELS, X.DEVA_VOWELS.values(), strict=True))[v] for v in P.LONG]
     rule = lambda x: F.when(F.contains(x["iast"], F.lit("3")), "pluta-guru").when(x["vowel"].isin(*long), "dirgha-guru").when(x["mark"] != "", "mark-guru").when(x["coda"] != "", "closed-guru").when(x["crowd"] >= 2, "position-guru").otherwise("hrasva-laghu")
@@ -218,7 +223,9 @@ def _expected(cut: Column) -> Column:
 def _judged(analysis: DataFrame) -> DataFrame:
     """Pādas of analyses() with faults, an array of (position, code), and disordered, true in one row of a verse whose pādas
     aren't in order. Syllables are judged in their row; what is gathered by verse is counts and faults alone."""
-    read = analysis.select("verse_id", "pada_index", "script", "source", "normalized", "unread", "pattern", "matras", "syllables", F.when(F.col("unread").isNull(), _reread(F.col("normalized"))).otherwise("").alias("read"))
+    readable = F.col("unread").isNull()
+    # The source of a pāda that is not judged is its verse's key alone.
+    read = analysis.select("verse_id", "pada_index", "script", F.sha2("source", 256).alias("text_key"), F.when(readable, F.col("source")).alias("source"), "unread", "pattern", "matras", "syllables", F.when(readable, _reread(F.col("normalized"))).otherwise("").alias("read"))
     valid = (F.col("read") != "") & F.col("left").rlike("^(?:[Oo].)*+$") & (F.col("left") != F.col("read"))
     rows = read.withColumn("left", F.regexp_replace("read", _READ, "")).withColumn("valid", valid)
     rows = rows.withColumn("cut", F.when(F.col("valid"), F.regexp_extract_all("read", F.lit(f"({_READ}(?:(?:[Oo].)++$)?+)"), F.lit(1))).otherwise(F.array().cast("array<string>")))
@@ -256,10 +263,9 @@ def _judged(analysis: DataFrame) -> DataFrame:
     ok = F.col("valid")
     whole = {"CHECKER_PARSE_FAILED": ok, "PADA_COUNT_MISMATCH": ~ok | (F.size("syllables") == size), "PATTERN_MISMATCH": ~ok | (F.col("pattern") == pattern), "PADA_MATRAS_MISMATCH": ~ok | (F.col("matras") == F.aggregate("expected", F.lit(0), lambda a, e: a + e["matras"]))}
     of_pada = F.array_compact(F.array(*[F.when(~F.coalesce(fine, F.lit(False)), F.struct(F.lit(None).cast("int").alias("position"), F.lit(code).alias("code"))) for code, fine in whole.items()]))
-    readable = F.col("unread").isNull()
     # Numbers in the verse are compared where it is gathered: only how far each is from its place goes there, and one for all where they agree.
     offsets = F.transform(F.slice("syllables", F.lit(1), F.least(F.size("syllables"), size)), lambda x, i: x["index"] - i)
-    rows = rows.select("verse_id", F.sha2("source", 256).alias("text_key"), "pada_index", "unread", "pattern", "matras", F.when(readable, size).otherwise(0).alias("size"), F.when(readable, F.concat(of_pada, of_syllables)).alias("found"), F.when(readable, offsets).otherwise(F.array().cast("array<int>")).alias("offsets"))
+    rows = rows.select("verse_id", "text_key", "pada_index", "unread", "pattern", "matras", F.when(readable, size).otherwise(0).alias("size"), F.when(readable, F.concat(of_pada, of_syllables)).alias("found"), F.when(readable, offsets).otherwise(F.array().cast("array<int>")).alias("offsets"))
     rows = rows.withColumn("numbered", F.size("offsets")).withColumn("offsets", F.when(F.size(F.array_distinct("offsets")) == 1, F.slice("offsets", 1, 1)).otherwise(F.col("offsets"))).repartition("verse_id")
     order = Window.partitionBy("verse_id", "text_key").orderBy("pada_index")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -294,12 +300,18 @@ def verified(verses: DataFrame) -> DataFrame:
     """verse_id, script, padas, syllables, laghu, guru, matras, errors, status and ok of every verse, null ones too.
 
     errors: mixed-script, no-letters, ascii-scheme, and what pādas could not be read for. status is not-run with an
-    error or without a syllable, failed if recheck() has a row, else verified; ok only then.
+    error or without a syllable, failed if recheck() has a row, else verified; ok only then. Verses of one roman pāda with
+    one of FOREIGN are known to be unread and meet the others where pādas are counted; those are dealt over tasks by number.
     """
-    analysis = _judged(analyses(verses))
+    script = X.script_strict(F.col("text"))
+    # With a roman letter there is a pāda, and without a break just one.
+    closed = script.isin("iast", "mixed") & F.col("text").rlike(f"[{FOREIGN}]") & (boundary_mode(F.col("text")) == "single")
+    tasks = int(verses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = _judged(analyses(verses.where(~closed).repartition(tasks, F.xxhash64("verse_id")), spelled=False)).select("verse_id", "unread", "pattern", "matras", "faults", "disordered")
+    nothing = {"unread": F.lit("unknown-character"), "pattern": F.lit(""), "matras": F.lit(0), "faults": F.array().cast(read.schema["faults"].dataType), "disordered": F.lit(False)}
+    analysis = read.unionByName(verses.where(closed).select("verse_id", *[c.alias(name) for name, c in nothing.items()]))
     heavy = F.char_length(F.translate("pattern", "L", ""))
     per_verse = analysis.groupBy("verse_id").agg(F.count("*").alias("padas"), F.sum(F.char_length("pattern")).alias("syllables"), F.sum(F.char_length("pattern") - heavy).alias("laghu"), F.sum(heavy).alias("guru"), F.sum("matras").alias("matras"), F.array_sort(F.collect_set("unread")).alias("unread"), F.sum(F.size("faults") + F.col("disordered").cast("int")).alias("faults"))
-    script = X.script_strict(F.col("text"))
     flags = {"mixed-script": script == "mixed", "no-letters": script == "none", "ascii-scheme": (script == "iast") & X.ascii_scheme_guard(F.col("text"))}
     errors = F.array_compact(F.array(*[F.when(bad, name) for name, bad in flags.items()]))
     rows = verses.select("verse_id", script.alias("script"), errors.alias("errors")).join(per_verse, "verse_id", "left")

@@ -59,7 +59,7 @@ SELECT word, code, CAST(CASE WHEN kind < {len(FORGED)} OR code = 'PADA_INDEX_MIS
 UNION ALL SELECT word, 'PADA_INDEX_MISMATCH', unnest(range(len(regexp_extract_all(word, 'ai|au|[aeiou]')))) FROM k WHERE kind = {len(FORGED) + 3}""")
 def forged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second reading says of every readable word of the documents after one thing in its analysis was forged."""
-    rows = S.analyses(words(spark, sf_dir).select(F.col("word").alias("verse_id"), F.col("word").alias("text"))).where("unread is null")
+    rows = S.analyses(words(spark, sf_dir).select(F.col("word").alias("verse_id"), F.col("word").alias("text")), spelled=False).where("unread is null")
     kind = F.expr(_KIND.replace("word", "verse_id"))
 
     def change(x, i):

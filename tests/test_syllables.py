@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from kavyamill.operators import syllables as S
 
@@ -95,3 +96,27 @@ def test_a_long_line_is_read_in_linear_time(spark):
     text = "rāma kṛṣṇa " * 20_000
     (row,) = S.verified(spark.createDataFrame([("long", text)], "verse_id string, text string")).collect()
     assert (row.status, row.syllables, row.guru) == ("verified", 80_000, 40_000)
+
+
+def test_foreign_letters_are_unread_whatever_else_is_there(spark):
+    """Each letter of FOREIGN, alone, with marks, after others, beside another script: the reading of every unit finds the same."""
+    import re
+
+    letters = [c for c in map(chr, range(0x250)) if re.match(f"[{S.FOREIGN}]", c)]
+    assert set("fqwxzFQWXZ0124é") < set(letters) and not set("abcñÑ3~ṭ") & set(letters)
+    verses = [(f"{c!r} {i}", t) for c in letters for i, t in enumerate((f"a{c}ta", f"{c}̣̄a", f"rāma-{c}", f"kRāma{c}3ḥ", f"धर्म a{c}"))]
+    rows = S.analyses(spark.createDataFrame(verses, "verse_id string, text string")).select("verse_id", "unread", F.size("syllables").alias("n")).collect()
+    assert len(rows) == len(verses) and all((r.unread, r.n) == ("unknown-character", 0) for r in rows)
+
+
+def test_foreign_padas_are_not_read_further(spark):
+    verses = [("one", "the wolf"), ("some", "rāma | wolf | sītā"), ("lines", "rāma\r\nquiz 3"), ("digit", "rāma 2"), ("number", "rāma || 2 ||"), ("deva", "धर्म २ 2"), ("mixed", "धर्म wolf"), ("only", "12"), ("null", None), ("twice", "fox"), ("twice", "rāma"), ("twice", "fox")]
+    data = spark.createDataFrame(verses, "verse_id string, text string")
+    full, brief = ({(r.verse_id, r.pada_index, r.source): (r.unread, r.pattern, r.matras, len(r.syllables)) for r in S.analyses(data, *how).collect()} for how in ((), (False,)))
+    assert full == brief and len(brief) == 12
+    assert {r.normalized for r in S.analyses(data, False).where("source like '%wolf' or source = 'fox'").collect()} == {"?"}
+    out = {}
+    for r in S.verified(data).collect():
+        out.setdefault(r.verse_id, []).append((r.padas, r.syllables, r.guru, r.matras, " ".join(r.errors), r.status))
+    assert {k: v for k, v in out.items() if k != "twice"} == {"one": [(1, 0, 0, 0, "unknown-character", "not-run")], "some": [(3, 4, 3, 7, "unknown-character", "not-run")], "lines": [(2, 2, 1, 3, "unknown-character", "not-run")], "digit": [(1, 0, 0, 0, "unknown-character", "not-run")], "number": [(1, 2, 1, 3, "", "verified")], "deva": [(1, 0, 0, 0, "unknown-character", "not-run")], "mixed": [(1, 0, 0, 0, "mixed-script unknown-character", "not-run")], "only": [(0, 0, 0, 0, "no-letters", "not-run")], "null": [(0, 0, 0, 0, "no-letters", "not-run")]}
+    assert out["twice"] == [(3, 2, 1, 3, "unknown-character", "not-run")] * 3
