@@ -302,17 +302,21 @@ def verified(verses: DataFrame) -> DataFrame:
     errors: mixed-script, no-letters, ascii-scheme, and what pādas could not be read for. status is not-run with an
     error or without a syllable, failed if recheck() has a row, else verified; ok only then. Verses of one roman pāda with
     one of FOREIGN are known to be unread and meet the others where pādas are counted; those are dealt over tasks by number.
+    A verse that is known to have an error is read for its counts, but not a second time.
     """
-    script = X.script_strict(F.col("text"))
+    text, script = F.col("text"), X.script_strict(F.col("text"))
+    flags = {"mixed-script": script == "mixed", "no-letters": script == "none", "ascii-scheme": (script == "iast") & X.ascii_scheme_guard(text)}
     # With a roman letter there is a pāda, and without a break just one.
-    closed = script.isin("iast", "mixed") & F.col("text").rlike(f"[{FOREIGN}]") & (boundary_mode(F.col("text")) == "single")
-    tasks = int(verses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = _judged(analyses(verses.where(~closed).repartition(tasks, F.xxhash64("verse_id")), spelled=False)).select("verse_id", "unread", "pattern", "matras", "faults", "disordered")
-    nothing = {"unread": F.lit("unknown-character"), "pattern": F.lit(""), "matras": F.lit(0), "faults": F.array().cast(read.schema["faults"].dataType), "disordered": F.lit(False)}
-    analysis = read.unionByName(verses.where(closed).select("verse_id", *[c.alias(name) for name, c in nothing.items()]))
+    closed = text.rlike(f"[{FOREIGN}]") & script.isin("iast", "mixed") & (boundary_mode(text) == "single")
+    # A letter stands in a pāda, where a digit may be a verse's number.
+    faulty = reduce(Column.__or__, flags.values()) | ((script == "iast") & text.rlike(f"[{FOREIGN}&&[^0-9]]"))
+    dealt = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("verse_id"))
+    judged = _judged(analyses(dealt(verses.where(~closed & ~faulty)), spelled=False)).select("verse_id", "unread", "pattern", "matras", (F.size("faults") + F.col("disordered").cast("int")).alias("faults"))
+    counted = analyses(dealt(verses.where(~closed & faulty)), spelled=False).select("verse_id", "unread", "pattern", "matras", F.lit(0).alias("faults"))
+    unread = verses.where(closed).select("verse_id", F.lit("unknown-character").alias("unread"), F.lit("").alias("pattern"), F.lit(0).alias("matras"), F.lit(0).alias("faults"))
+    analysis = judged.unionByName(counted).unionByName(unread)
     heavy = F.char_length(F.translate("pattern", "L", ""))
-    per_verse = analysis.groupBy("verse_id").agg(F.count("*").alias("padas"), F.sum(F.char_length("pattern")).alias("syllables"), F.sum(F.char_length("pattern") - heavy).alias("laghu"), F.sum(heavy).alias("guru"), F.sum("matras").alias("matras"), F.array_sort(F.collect_set("unread")).alias("unread"), F.sum(F.size("faults") + F.col("disordered").cast("int")).alias("faults"))
-    flags = {"mixed-script": script == "mixed", "no-letters": script == "none", "ascii-scheme": (script == "iast") & X.ascii_scheme_guard(F.col("text"))}
+    per_verse = analysis.groupBy("verse_id").agg(F.count("*").alias("padas"), F.sum(F.char_length("pattern")).alias("syllables"), F.sum(F.char_length("pattern") - heavy).alias("laghu"), F.sum(heavy).alias("guru"), F.sum("matras").alias("matras"), F.array_sort(F.collect_set("unread")).alias("unread"), F.sum("faults").alias("faults"))
     errors = F.array_compact(F.array(*[F.when(bad, name) for name, bad in flags.items()]))
     rows = verses.select("verse_id", script.alias("script"), errors.alias("errors")).join(per_verse, "verse_id", "left")
     rows = rows.withColumn("errors", F.concat("errors", F.coalesce("unread", F.array().cast("array<string>"))))

@@ -120,3 +120,12 @@ def test_foreign_padas_are_not_read_further(spark):
         out.setdefault(r.verse_id, []).append((r.padas, r.syllables, r.guru, r.matras, " ".join(r.errors), r.status))
     assert {k: v for k, v in out.items() if k != "twice"} == {"one": [(1, 0, 0, 0, "unknown-character", "not-run")], "some": [(3, 4, 3, 7, "unknown-character", "not-run")], "lines": [(2, 2, 1, 3, "unknown-character", "not-run")], "digit": [(1, 0, 0, 0, "unknown-character", "not-run")], "number": [(1, 2, 1, 3, "", "verified")], "deva": [(1, 0, 0, 0, "unknown-character", "not-run")], "mixed": [(1, 0, 0, 0, "mixed-script unknown-character", "not-run")], "only": [(0, 0, 0, 0, "no-letters", "not-run")], "null": [(0, 0, 0, 0, "no-letters", "not-run")]}
     assert out["twice"] == [(3, 2, 1, 3, "unknown-character", "not-run")] * 3
+
+
+def test_a_verse_with_an_error_is_not_read_twice(spark, monkeypatch):
+    seen, judged = [], S._judged
+    monkeypatch.setattr(S, "_judged", lambda analysis: seen.append({r.verse_id for r in analysis.select("verse_id").collect()}) or judged(analysis))
+    verses = [("good", "rāma | sītā"), ("deva", "धर्म"), ("unread", "rāma ka:"), ("ascii", "raama"), ("mixed", "राम rāma"), ("foreign", "rāma | wolf"), ("number", "rāma || 2 ||"), ("null", None)]
+    out = {r.verse_id: (r.syllables, r.matras, r.status) for r in S.verified(spark.createDataFrame(verses, "verse_id string, text string")).collect()}
+    assert seen == [{"good", "deva", "unread", "number"}]
+    assert out == {"good": (4, 7, "verified"), "deva": (2, 3, "verified"), "unread": (0, 0, "not-run"), "ascii": (3, 3, "not-run"), "mixed": (0, 0, "not-run"), "foreign": (2, 3, "not-run"), "number": (2, 3, "verified"), "null": (0, 0, "not-run")}
